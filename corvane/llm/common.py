@@ -69,6 +69,11 @@ def words_column(text: Column | str) -> Column:
     return F.array_remove(F.split(flat, " ", -1), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words as a long."""
     return F.size(words_column(text)).cast("long")
