@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.common import shared_dir, stored
+from corvane.llm.decontaminate import drop_leaks
 from corvane.llm.minhash import drop_near_duplicates
+from corvane.llm.mixing import mixed_documents
+from corvane.llm.queries import tokenizer_path
+from corvane.llm.tokens import token_output
+from corvane.llm.toxicity import toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity machine rejects; rows of a null id stay."""
+    judged = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    gone = judged.where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +26,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that leak a benchmark item."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a document taken twice is two rows."""
+    return mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token files and describe each document from them."""
+    return token_output(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
 
 #: SQL can express neither the trained stages nor the tokenizer; tests hold them against brute force.
 ORACLE_SQL = None
