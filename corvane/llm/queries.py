@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, sharding, urlfilter
 from .decontaminate import leaks
 from .minhash import near_duplicates
+from .pii import find_personal_data
 from .quality_cnn import quality
 from .quality_rules import quality_rules
 from .tokens import token_output
@@ -36,6 +37,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of disclosing terms in all documents."""
+    return find_personal_data(_read(spark, sf_dir, "documents")).drop("terms")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the listed sites, for every page's url."""
     return urlfilter.filter_urls(_read(spark, sf_dir, "pages"), urlfilter.listed_urls(spark))
@@ -74,6 +80,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_personal_data": op3_personal_data,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
