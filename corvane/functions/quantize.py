@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 
@@ -51,7 +52,7 @@ def uniform_decode(codes: Column, low: float, high: float, whole: bool = False,
     return F.transform(codes, lambda c: c / F.lit(scale) + low)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def fp16(vectors: pd.Series) -> pd.Series:
     """Numbers rounded to half precision."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(np.float16).astype(np.float32))

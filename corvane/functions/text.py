@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidArgument, NotSupported
 from .stem import stem
@@ -49,7 +50,7 @@ def _ngram(text: Column, least: int, most: int, classes: tuple[str, ...]) -> Col
     return F.flatten(F.transform(runs, grams))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _fold(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [fold(t) for t in ts])
 
@@ -63,7 +64,7 @@ def fold(token: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", out) if not unicodedata.combining(x))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,31 @@ def _signature(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, path: str) -> DataFrame:
+#: Edges up to which one task joins them in memory, 16 bytes each; beyond, the star operations run on all executors.
+SMALL = 1 << 19
+
+
+def _join_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[a], low[b])
+        for side in (low[a], low[b], a, b):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], ["node", "component"])
+
+
+def components(edges: DataFrame, path: str, small: int = SMALL) -> DataFrame:
     """(node, component) of every node that has an edge; component is its smallest reachable node.
 
     ``edges`` has longs ``u`` and ``v``. Each round takes a large-star and a
@@ -26,6 +54,8 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(edges, f"{path}/0")
     before, step = _signature(edges), 0
+    if before[0] <= small:
+        return stored(edges.coalesce(1).mapInArrow(_join_small, "node long, component long"), f"{path}/out")
     while before[0]:
         step += 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval and exact checks.
 
 Passages are rows of a TF-IDF matrix over hashed words. A randomised SVD, whose products
-run on the executors, gives a latent space; every 32-word and 64-word passage of every document (half
-of it shared with the next) is folded in and held against all benchmark items by
-cosine. Candidates are then checked on the words themselves: an item leaks if its longest common
+run on the executors, gives a latent space. Its term vectors are brought to one length, so that what a language
+has in common does not drown its rare words, and passages are centred and whitened in it; every 32-word and
+64-word passage of every document (half of it shared with the next) is folded in and held
+against all benchmark items by cosine. Candidates are then checked on the words themselves: an item leaks if its longest common
 subsequence with the text there covers most of it, or half of it with its answer
 (the item's most telling words) present.
 """
@@ -22,7 +23,7 @@ from .common import buffers, mix64, shared_dir, slices, stored, word_hashes
 BUCKETS, BLOCK, LATENT, EXTRA = 1 << 15, 16, 64, 8
 #: Passages on which the latent space is fitted at most, on average; drawn from the whole corpus by a hash.
 SAMPLE = 120_000
-COSINE = 0.35
+COSINE = 0.5
 #: Shares of an item: its words found at all, its subsequence, the weaker subsequence, its answer words.
 SHARED, WHOLE, PART, ANSWER = 0.5, 0.7, 0.5, 0.8
 #: Answer words are this share of an item's distinct words, rarest first.
@@ -34,6 +35,40 @@ def _buckets(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(49)).astype(np.int64)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Rows of BLOCK buckets with repeats within a row left out: a word counts once a block."""
+    rows = np.sort(rows, axis=1)
+    again = np.zeros(rows.shape, bool)
+    again[:, 1:] = rows[:, 1:] == rows[:, :-1]
+    rows[again] = BUCKETS
+    return rows
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+class Space:
+    """Term vectors of the latent space, and what centres and whitens a passage in it."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray):
+        self.weight = weight
+        self.table = np.vstack([_unit(terms) * (weight[:, None] ** 2), np.zeros((1, terms.shape[1]))]).astype(np.float32)
+        self.mean, self.turn = np.zeros(terms.shape[1], np.float32), np.eye(terms.shape[1], dtype=np.float32)
+
+    def whiten(self, moments: np.ndarray) -> None:
+        """From the summed products of [1, passage]."""
+        n = max(moments[0, 0], 1.0)
+        mean = moments[0, 1:] / n
+        values, vectors = np.linalg.eigh(moments[1:, 1:] / n - np.outer(mean, mean))
+        self.mean = mean.astype(np.float32)
+        self.turn = (vectors / np.sqrt(np.maximum(values, max(values.max(), 1e-12) * 1e-6))).astype(np.float32)
+
+    def place(self, sums: np.ndarray) -> np.ndarray:
+        """Unit vectors of passages from the sums of their term vectors."""
+        return _unit((_unit(sums) - self.mean) @ self.turn)
+
+
 def _counts(rate: float):
     """Passage frequency of each bucket, summed per task, and the buckets of sampled passages."""
 
@@ -75,16 +110,24 @@ def _padded(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def _product(weights, basis, gram: bool):
-    """Partial sums over passages of Aᵀ(A basis), in blocks of 1024 buckets, or of (A basis)ᵀ(A basis)."""
+    """Partial sums over passages of A'(A basis), in blocks of 1024 buckets, or of (A basis)'(A basis).
+
+    Where ``basis`` is a Space, the sums are of products of [1, passage in the space].
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, q = weights.value, basis.value
-        scaled = np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
-        out = np.zeros((q.shape[1], q.shape[1]) if gram else (BUCKETS + 1, q.shape[1]))
+        space = isinstance(q, Space)
+        scaled = q.table if space else np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
+        size = scaled.shape[1] + space
+        out = np.zeros((size, size) if gram else (BUCKETS + 1, size))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 rows = np.frombuffer(b"".join(batch.column(0).slice(at, 2048).to_pylist()), "<i4").reshape(-1, 2 * BLOCK)
+                rows = _distinct(rows.reshape(-1, BLOCK)).reshape(-1, 2 * BLOCK)
                 z = scaled[rows].sum(1)
+                if space:
+                    z = np.hstack([np.ones((len(z), 1)), _unit(z)])
                 if gram:
                     out += z.T.astype(np.float64) @ z
                 else:
@@ -110,16 +153,16 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def _reduced(passages: DataFrame, idf, basis: np.ndarray, gram: bool) -> np.ndarray:
+def _reduced(passages: DataFrame, idf, basis, gram: bool, columns: int = LATENT + EXTRA) -> np.ndarray:
     """The product, a matrix of fixed size, on the driver."""
     held = passages.sparkSession.sparkContext.broadcast(basis)
     parts = passages.mapInArrow(_product(idf, held, gram), "block long, part binary")
     got = parts.groupBy("block").applyInArrow(_summed, "block long, part binary").orderBy("block").collect()
-    return np.concatenate([np.frombuffer(r["part"]).reshape(-1, basis.shape[1]) for r in got]) if got else np.zeros((0, basis.shape[1]))
+    return np.concatenate([np.frombuffer(r["part"]).reshape(-1, columns) for r in got]) if got else np.zeros((0, columns))
 
 
-def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(BUCKETS + 1, LATENT) fold-in matrix and the weight of each bucket.
+def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> Space:
+    """The latent space of the passages of ``docs``.
 
     Frequencies cover every passage of ``docs`` (text); the SVD is fitted on about ``sample`` passages drawn by
     a hash of their words. Two rounds of subspace iteration from a random start.
@@ -145,8 +188,11 @@ def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[np.n
     gram = _reduced(passages, idf, basis, True)
     values, vectors = np.linalg.eigh(gram if len(gram) else np.eye(LATENT + EXTRA))
     values, vectors = values[::-1][:LATENT], vectors[:, ::-1][:, :LATENT]
-    fold = basis @ (vectors / np.sqrt(np.maximum(values, values[0] * 1e-9 + 1e-12)))
-    return np.vstack([fold * weight[:, None], np.zeros((1, LATENT))]).astype(np.float32), weight
+    space = Space(basis @ (vectors / np.sqrt(np.maximum(values, values[0] * 1e-9 + 1e-12))), weight)
+    moments = _reduced(passages, idf, space, True, LATENT + 1)
+    if len(moments):
+        space.whiten(moments)
+    return space
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -166,16 +212,16 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
 class Items:
     """Benchmark items ready for the search; grows with the benchmark alone."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], fold: np.ndarray, weight: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[str | None], space: Space):
         words, at = word_hashes(*buffers(pa.array(texts, pa.string())))
         rows = [(i, words[at[k] : at[k + 1]]) for k, i in enumerate(ids) if at[k + 1] > at[k]]
         self.ids, self.words = [i for i, _ in rows], [w for _, w in rows]
         self.sets = [np.unique(w) for w in self.words]
-        vectors = np.array([fold[_buckets(w)].sum(0) for w in self.words]).reshape(-1, LATENT)
-        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
+        sums = np.array([space.table[np.unique(_buckets(w))].sum(0) for w in self.words]).reshape(-1, LATENT)
+        self.vectors = np.ascontiguousarray(space.place(sums).T, np.float32)
         self.answers = []
         for s in self.sets:
-            rare = np.lexsort((s, -weight[_buckets(s)]))
+            rare = np.lexsort((s, -space.weight[_buckets(s)]))
             self.answers.append(s[rare[: max(1, int(np.ceil(ANSWER_WORDS * len(s))))]])
 
     def verdict(self, k: int, text: np.ndarray) -> tuple[float, float, bool]:
@@ -187,26 +233,26 @@ class Items:
 
 def _search(held, folding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, fold = held.value, folding.value
+        items, space = held.value, folding.value
         for whole in batches:
             for batch in slices(whole, limit=4 << 20):
                 words, at = word_hashes(*buffers(batch.column("text")))
                 found: dict[tuple[int, int], tuple[float, float, float]] = {}
                 rows, doc, start = _padded(words, at, BLOCK)
                 step = _SLICE // BLOCK
-                blocks = np.concatenate([fold[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
+                rows = _distinct(rows)
+                blocks = np.concatenate([space.table[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
                 last = np.cumsum(np.bincount(doc, minlength=len(at) - 1))[doc] - 1 if len(doc) else doc
                 index = np.arange(len(rows))
                 for width, hop in ((2, 1), (4, 2)):
                     heads = index[((start // BLOCK) % hop == 0) & ((index + width - 1 <= last) | (start == 0) | (index + width - hop <= last))]
-                    for k in range(0, len(heads), 8192):
-                        head = heads[k : k + 8192]
+                    for k in range(0, len(heads), 1 << 15):
+                        head = heads[k : k + (1 << 15)]
                         total = blocks[head].copy()
                         for j in range(1, width):
                             inside = head + j <= last[head]
                             total[inside] += blocks[head[inside] + j]
-                        total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-                        cosine = total @ items.vectors
+                        cosine = space.place(total) @ items.vectors
                         near, which = np.nonzero(cosine >= COSINE)
                         if not len(near):
                             continue
@@ -253,9 +299,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> DataFr
     path = shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text").collect()
-    fold, weight = latent_space(docs, path, sample)
-    held = spark.sparkContext.broadcast(Items([r["item_id"] for r in items], [r["text"] for r in items], fold, weight))
-    return docs.mapInArrow(_search(held, spark.sparkContext.broadcast(fold)), "doc_id long, item_id long, lcs double, answer double, cosine double")
+    space = latent_space(docs, path, sample)
+    held = spark.sparkContext.broadcast(Items([r["item_id"] for r in items], [r["text"] for r in items], space))
+    return docs.mapInArrow(_search(held, spark.sparkContext.broadcast(space)), "doc_id long, item_id long, lcs double, answer double, cosine double")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

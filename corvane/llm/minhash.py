@@ -6,8 +6,8 @@ Five neighbouring registers form one of forty bands: two documents of Jaccard
 similarity 0.8 miss all bands with probability (1 - 0.8**5)**40 = 1.3e-7.
 
 No step emits all pairs of a group. Documents with equal shingle sets are one
-class from the start. A bucket of classes first gives a star around its smallest
-class. Links that hold on full sets join classes into components, and only then
+class from the start. A bucket of classes first gives a star around one of its classes, drawn
+by a hash so that the buckets of a group have different ones. Links that hold on full sets join classes into components, and only then
 are pairs *between different components* of a bucket looked at, so that large
 groups of near copies, which the stars have joined, give none. Every such pair is
 looked at, so no link found by banding is lost.
@@ -30,8 +30,10 @@ ROWS, BANDS, MANTISSA = 5, 40, 10
 REGISTERS = ROWS * BANDS
 #: Standard errors below the threshold at which an estimate rules a pair out: 1e-9 of true pairs.
 MARGIN = 6.0
-#: Residual pairs per class beyond which another round of stars goes first.
-RESIDUAL = 16
+#: Residual pairs per class and band beyond which another round of stars goes first, while it finds links.
+RESIDUAL = 64
+#: Most bits of the filter of ids whose full sets are built: 8 MB on the driver and in a broadcast.
+FILTER_BITS = 26
 
 _rng = np.random.default_rng(20240)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -101,10 +103,15 @@ def _sketches(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
         for whole in batches:
-            for batch in slices(whole, limit=2 << 20):
+            ok = np.ones(whole.num_rows, bool)
+            for name in ("h1", "h2"):
+                h = whole.column(name).to_numpy(zero_copy_only=False).astype(np.uint64)
+                ok &= (held[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for batch in slices(whole.filter(pa.array(ok)), limit=2 << 20):
                 words, at = word_hashes(*buffers(batch.column("text")))
                 sets = [shingle_hashes(words[at[r] : at[r + 1]], k).view(np.int64) for r in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
@@ -112,6 +119,21 @@ def _sets(k: int):
     return run
 
 
+def _hashes(name: str, bits: int) -> list:
+    return [F.expr(f"xxhash64({name}, {seed}L) & {bits - 1}L").alias(f"h{seed}") for seed in (1, 2)]
+
+
+def _id_filter(ids: DataFrame) -> tuple[int, object]:
+    """Size and broadcast words of a Bloom filter of ``id``. Its size is bounded: past it more ids pass, and the joins that follow drop them."""
+    spark = ids.sparkSession
+    bits = 1 << min(FILTER_BITS, max(16, (16 * ids.count()).bit_length()))
+    at = ids.select(F.explode(F.array(*_hashes("id", bits))).alias("h"))
+    words = at.groupBy(F.expr("shiftright(h, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.uint64)
+    held[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return bits, spark.sparkContext.broadcast(held)
+
+
 def _likely(threshold: float):
     margin = MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
 
@@ -148,54 +170,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    bands = reps.select("cid", "regs", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cid")
-    buckets = bands.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size"))
+    bands = reps.select("cid", "regs", band.alias("band")).select("band", F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cid")
+    buckets = bands.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size"), F.min_by("cid", F.xxhash64("cid", "key")).alias("hub"))
     buckets = stored(buckets.where("low < high"), f"{path}/buckets")
-    large = bands.join(buckets.where("size > 2").select("key", "low"), "key")
-    members = stored(large.select("key", "cid", "low"), f"{path}/members")
+    members = bands.join(buckets.where("size > 2").select("key", "hub"), "key")
+    members = stored(members.select("key", "band", "cid", "hub"), f"{path}/members")
 
     pairs = buckets.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.union(members.where("cid > low").select(F.col("low").alias("a"), F.col("cid").alias("b")))
+    pairs = pairs.union(members.where("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")))
     seen = stored(pairs.distinct(), f"{path}/pairs0")
-    links = _verified(docs, reps, seen, k, percent, f"{path}/v0")
+    links = _verified(docs, _with_sketches(seen, reps), k, percent, f"{path}/v0")
+    found, bound = -1, RESIDUAL * max(classes.count(), 10_000)
     for step in range(1, 64):
         labels = components(links, f"{path}/c{step}")
-        comp = F.coalesce("component", "cid")
-        rest = members.join(labels, members.cid == labels.node, "left").select("key", "cid", comp.alias("comp"))
-        sizes = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("head"))
-        mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("comps"), F.max_by("head", F.struct("n", "head")).alias("head"), F.max_by("comp", F.struct("n", "head")).alias("main"))
+        rest = members.join(labels, members.cid == labels.node, "left").select("key", "band", "cid", F.coalesce("component", "cid").alias("comp"))
+        rest = stored(rest, f"{path}/rest{step}")
+        sizes = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
         mixed = stored(mixed.where("comps > 1"), f"{path}/mixed{step}")
         left, total = mixed.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0)), F.count(F.lit(1))).first()
         if not total:
             break
-        rest = rest.join(mixed.select("key", "head", "main"), "key")
-        final = left <= RESIDUAL * max(reps.count(), 1000) or step > 8
-        if final:
-            rest = stored(rest.select("key", "cid", "comp"), f"{path}/rest{step}")
-            x, y = rest.alias("x"), rest.alias("y")
-            new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        else:  # another star: every class that the bucket's largest component lacks, against a class of that component drawn anew
-            drawn = rest.where("comp = main").groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", F.lit(step))).alias("hub"))
+        rest = rest.join(mixed.select("key", "main"), "key")
+        if left > bound and found:  # another star: what a bucket's largest component lacks, against one of its classes drawn anew
+            drawn = rest.where("comp = main").groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", "key", F.lit(step))).alias("hub"))
             new = rest.where("comp != main").join(drawn, "key").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-        new = stored(new.distinct().join(seen, ["a", "b"], "left_anti"), f"{path}/pairs{step}")
-        more = _verified(docs, reps, new, k, percent, f"{path}/v{step}")
-        seen, links = seen.union(new), links.union(more)
-        if final:
-            labels = components(links, f"{path}/cend")
-            break
+            new = stored(new.distinct().join(seen, ["a", "b"], "left_anti"), f"{path}/pairs{step}")
+            more = _verified(docs, _with_sketches(new, reps), k, percent, f"{path}/v{step}")
+            found = more.count()
+            seen, links = seen.union(new), links.union(more)
+            continue
+        rest = stored(rest.select("key", "band", "cid", "comp").join(reps, "cid"), f"{path}/full{step}")
+        x, y = (rest.select("key", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "comp", "n", "regs")]) for s in "ab")
+        near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        # a pair stands in the first band that it shares, once
+        cut = lambda c, b: F.substring(c, F.lit(b * width + 1), F.lit(width))
+        first = F.lit(True)
+        for b in range(BANDS - 1):
+            first = first & ((F.col("band") <= b) | (cut(F.col("regs_a"), b) != cut(F.col("regs_b"), b)))
+        new = x.join(y, ["key", "band"]).where((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & near & first)
+        new = new.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b", "regs_a", "regs_b")
+        links = links.union(_verified(docs, new, k, percent, f"{path}/v{step}"))
+        labels = components(links, f"{path}/cend")
+        break
     out = rows.join(classes, ["k1", "k2"], "left").join(labels, F.col("cid") == labels.node, "left")
     comp = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "cid")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, path: str) -> DataFrame:
-    """Links (u, v) among candidate pairs (a, b): estimate on sketches first, then count on full sets."""
+def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda s: reps.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = stored(likely.mapInArrow(_likely(percent / 100), "a long, b long"), f"{path}/likely")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str) -> DataFrame:
+    """Links (u, v) among candidate pairs (a, b) with sketches: estimate first, then count on full sets."""
+    likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long").distinct(), f"{path}/likely")
     ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "cid long, shingles array<long>")
+    bits, held = _id_filter(ids)
+    sets = docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "cid long, shingles array<long>")
     sets = stored(sets, f"{path}/sets")
     full = likely.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))

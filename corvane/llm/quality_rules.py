@@ -11,23 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, words_column
+from .common import let, words_column
 
+#: A power of two.
 BUCKETS = 4096
+#: Trusted documents up to which their ids are broadcast (8 bytes each).
+TRUSTED = 1_000_000
 #: Pseudo-count of each bucket in both multinomials.
 SMOOTH = 1.0
 #: Mean log ratio under which a document goes.
-THRESHOLD = -0.75
+THRESHOLD = -0.1
 #: n-grams fewer than which the score is shrunk towards 0 as if so many neutral ones stood beside them.
 PRIOR = 20
 WINDOW = 5
 
 
-def _buckets(words: Column, buckets: int) -> Column:
-    """Bucket of each word and of each pair of neighbours, as an array."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(words, lambda w, i: F.when(i > 0, F.pmod(F.xxhash64(w, F.get(words, i - 1)), F.lit(buckets)).cast("int")))
-    return F.concat(one, F.slice(two, 2, F.greatest(F.size(words) - 1, F.lit(0))))
+def _grams(words: Column, buckets: int) -> tuple[Column, Column]:
+    """Bucket of each word, and of each word with the one before it (the first word: with none), as arrays of ints."""
+    cut = lambda h: h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+    return F.transform(words, lambda w: cut(F.xxhash64(w))), F.transform(words, lambda w, i: cut(F.xxhash64(w, F.get(words, i - 1))))
 
 
 def _windows(words: Column) -> Column:
@@ -65,9 +67,12 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     Counts are summed in each task before anything moves, so at most ``buckets`` rows a task are shuffled
     and ``buckets`` rows reach the driver. Without trusted documents every ratio is 0.
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_trusted")).distinct()
-    grams = docs.join(trusted, F.col("doc_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().cast("long").alias("good"), F.explode(let(words_column(lower_ascii(F.col("text"))), lambda w: _buckets(w, buckets))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
+    if trusted.count() <= TRUSTED:  # else both sides are shuffled
+        trusted = F.broadcast(trusted)
+    rows = docs.join(trusted, F.col("doc_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("good"), words_column(F.lower("text")).alias("words"))
+    grams = rows.select("good", F.explode(F.concat(*_grams(F.col("words"), buckets))).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
     raw, good = [SMOOTH] * buckets, [SMOOTH] * buckets
     for r in counts:
         raw[r["bucket"]] += r["raw"]
@@ -90,14 +95,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ratios = bucket_ratios(docs, labels, buckets)
-    rows = docs.withColumn("words", words_column("text")).select("doc_id", "words", *[c.alias(k) for k, c in base_columns(F.col("text")).items()])
+    rows = docs.withColumn("words", words_column("text")).select("doc_id", "words", words_column(F.lower("text")).alias("low"), *[c.alias(k) for k, c in base_columns(F.col("text")).items()])
     table = F.lit(ratios)
-    low = F.transform(F.col("words"), lower_ascii)
-    rows = rows.withColumn("low", low).withColumn("hashes", _windows(F.col("words")))
-    total = F.aggregate(_buckets(F.col("low"), buckets), F.lit(0.0), lambda s, k: s + F.get(table, k))
+    rows = rows.withColumn("hashes", _windows(F.col("words")))
+    ratio = lambda h: F.get(table, h.bitwiseAND(F.lit(buckets - 1)).cast("int"))
+    each = F.transform("low", lambda w, i: ratio(F.xxhash64(w)) + ratio(F.xxhash64(w, F.get(F.col("low"), i - 1))))
+    total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     repeats = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _covered(F.col("hashes"))).otherwise(0).cast("long")
     n = F.size("words").cast("long")
-    grams = F.greatest(2 * n - 1, F.lit(0))
+    grams = 2 * n
     rows = rows.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), (total / (grams + PRIOR)).alias("score"))
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)

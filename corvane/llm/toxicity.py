@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 FIT_ROWS = 1500
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 96
 SPAN, DECAY, POWER, LENGTH = 5, 0.6, 2, 20
-#: Upper bound of a kernel value under which a word counts as unlike every landmark.
+#: Largest kernel value under which a word counts as unlike every landmark: its features are 0.
 SCREEN = 0.4
 #: Words that a worker remembers the values of.
 CACHE = 400_000
@@ -112,20 +112,29 @@ class Machine:
         rows = np.searchsorted(self.used, index) if at is None else at[index]
         return np.einsum("np,npm->nm", weight, self.table[rows], optimize=False)
 
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks) kernel values; words that the screen holds unlike all have zeros."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for at in range(0, len(words), 4096):
-            index, weight = _features([letters(w) for w in words[at : at + 4096]])
-            near = np.flatnonzero((weight * self.most[self.place[index]]).sum(1) >= SCREEN)
-            for some in np.array_split(near, max(1, len(near) // 128)):
-                if len(some):
-                    out[at + some] = self._raw(index[some], weight[some]) ** POWER
-        return out
+    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which words the screen holds like a landmark, and their kernel values with all landmarks."""
+        places, rows = [], []
+        for at in range(0, len(words), 2048):
+            index, weight = _features([letters(w) for w in words[at : at + 2048]])
+            some = np.flatnonzero((weight * self.most[self.place[index]]).sum(1) >= SCREEN)
+            for part in np.array_split(some, max(1, len(some) // 128)):
+                if len(part):
+                    raw = self._raw(index[part], weight[part])
+                    like = raw.max(1) >= SCREEN
+                    places.append(at + part[like])
+                    rows.append(raw[like] ** POWER)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
+        return np.concatenate(places), np.concatenate(rows)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word."""
-        return self.kernel(words) @ self.alpha + np.float32(self.bias)
+        """The machine's value of each word; that of a word unlike all landmarks is the bias."""
+        out = np.full(len(words), self.bias, np.float32)
+        for at in range(0, len(words), 16_384):
+            places, rows = self.near(words[at : at + 16_384])
+            out[at + places] += rows @ self.alpha
+        return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * (value - self.shift), -30, 30)))
@@ -152,7 +161,8 @@ def _train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine | None:
     """Fit a machine on labelled documents; None if one of the classes is missing."""
-    bags = [sorted({letters(w) for s in _sentences(t) for w in tokens(s)} - {""}) for t in texts]
+    one: dict[str, str] = {}
+    bags = [sorted({one.setdefault(x, x) for s in _sentences(t) for x in map(letters, tokens(s))} - {""}) for t in texts]
     good, bad = [b for b, y in zip(bags, labels, strict=True) if not y], [b for b, y in zip(bags, labels, strict=True) if y]
     if not good or not bad:
         return None
@@ -162,18 +172,18 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     # clean landmarks: the words of clean documents that are most like a toxic one
     probe = Machine(toxic)
     pool = [w for w, n in sorted(n_good.items(), key=lambda x: (-x[1], x[0]))[:60_000] if len(w) > 2]
-    like = probe.kernel(pool).max(1)
+    like, near = np.zeros(len(pool)), probe.near(pool)
+    like[near[0]] = near[1].max(1)
     clean = [pool[k] for k in np.lexsort((np.arange(len(pool)), -like))[:CLEAN_LANDMARKS]]
     machine = Machine(list(dict.fromkeys(toxic + clean)))
 
     words = sorted(n_good.keys() | n_bad.keys())
     number = {w: k for k, w in enumerate(words)}
-    kernel = machine.kernel(words)
-    seen = np.flatnonzero(kernel.any(1))  # all others share the feature 0
+    seen, kernel = machine.near(words)  # all others share the feature 0
     row = np.zeros(len(words), np.int64)
     row[seen] = np.arange(1, len(seen) + 1)
-    mapped = np.vstack([np.zeros((1, machine.root.shape[1])), kernel[seen] @ machine.root])
-    mapped = np.hstack([mapped, np.ones((len(mapped), 1))])
+    kernel = np.vstack([np.zeros((1, kernel.shape[1]), np.float32), kernel])
+    map_rows = lambda some: np.hstack([kernel[some] @ machine.root, np.ones((len(some), 1))]).astype(np.float64)
     sets = [np.unique(np.append(row[[number[w] for w in b]], 0)) for b in bags]
     start = np.array([0.0, *np.array([np.log(odds.get(words[k], 0.01)) for k in seen])])
     y = np.array(labels)
@@ -187,11 +197,11 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
         pos, count = np.unique(strongest[y == 1], return_counts=True)
         keep = pos > 0
         pos, count = pos[keep], count[keep]
-        x = mapped[np.concatenate([pos, neg])]
+        x = map_rows(np.concatenate([pos, neg]))
         target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         weight = np.concatenate([np.minimum(count, 50) * 1.0, np.ones(len(neg))])
         w, bias = _train_svm(x, target, weight)
-        value = mapped[:, :-1] @ w + bias
+        value = kernel @ (machine.root @ w).astype(np.float32) + bias
     machine.alpha, machine.bias = (machine.root @ w).astype(np.float32), bias
     best = np.array([value[s].max() for s in sets])
     # a logistic curve whose point of 0.3 lies where the training classes part best

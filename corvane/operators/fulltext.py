@@ -29,6 +29,10 @@ def _occurrences(tokens: Column, words: tuple[str, ...]) -> Column:
     return (F.size(tokens) >= len(words)) & held & F.when(F.size(tokens) >= len(words), there).otherwise(False)
 
 
+def _count(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
+
+
 def matches(node, tokens: Column) -> Column:
     """Whether a document matches a tree."""
     if node is Q.EMPTY:
@@ -79,7 +83,7 @@ def search(df: DataFrame, column: str, tree, k: int | None, key: str = "_id", wh
     made = F.col(tokens) if tokens else text.analyze(F.col(f"`{column}`"), tokenizer, filters, **options)
     if not words:
         return df.withColumn("_score", F.lit(0.0)).where(F.lit(False))
-    counts = [F.size(F.filter("_tokens", lambda t, w=w: t == w)).alias(f"_tf{i}") for i, w in enumerate(words)]
+    counts = [_count("_tokens", w).alias(f"_tf{i}") for i, w in enumerate(words)]
     rows = df.withColumn("_tokens", made)
     stats = rows.where("_tokens is not null").agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.size("_tokens")).alias("_mean"), *[F.count_if(F.array_contains("_tokens", w)).alias(f"_df{i}") for i, w in enumerate(words)]
