@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,11 +51,6 @@ def _ngram(text: Column, least: int, most: int, classes: tuple[str, ...]) -> Col
     return F.flatten(F.transform(runs, grams))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fold(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [fold(t) for t in ts])
-
-
 _FOLDED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D", "ı": "i", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
 
 
@@ -64,9 +60,26 @@ def fold(token: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", out) if not unicodedata.combining(x))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+def _rewritten(tokens: Column, names: tuple[str, ...]) -> Column:
+    """Tokens after Python filters, all of them in one Arrow pass."""
+    steps = [{"lowercase": str.lower, "ascii_folding": fold, "stemmer": stem}[n] for n in names]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(rows: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(token: str) -> str:
+            out = known.get(token)
+            if out is None:
+                out = token
+                for step in steps:
+                    out = step(out)
+                known[token] = out
+            return out
+
+        return rows.map(lambda ts: None if ts is None else [one(t) for t in ts])
+
+    return run(tokens)
 
 
 def analyze(text: Column, tokenizer: str = "standard", filters: tuple[str, ...] | list[str] = ("lowercase",), **options) -> Column:
@@ -86,17 +99,15 @@ def analyze(text: Column, tokenizer: str = "standard", filters: tuple[str, ...]
     else:
         raise InvalidArgument(f"no tokenizer {tokenizer!r}")
     for name in filters:
-        if name == "lowercase":
-            out = F.transform(out, F.lower)
-        elif name == "ascii_folding":
-            out = _fold(out)
-        elif name == "stemmer":
-            if options.get("stemmer_lang", "english") not in ("english", "en"):
-                raise NotSupported("the stemmer knows English")
-            out = _stem(out)
-        else:
+        if name not in ("lowercase", "ascii_folding", "stemmer"):
             raise InvalidArgument(f"no token filter {name!r}")
-    return out
+        if name == "stemmer" and options.get("stemmer_lang", "english") not in ("english", "en"):
+            raise NotSupported("the stemmer knows English")
+    native = list(takewhile(lambda n: n == "lowercase", filters))
+    if native:
+        out = F.transform(out, F.lower)
+    rest = tuple(filters[len(native) :])
+    return _rewritten(out, rest) if rest else out
 
 
 def analyze_query(spark, texts: list[str], tokenizer: str = "standard", filters=("lowercase",), **options) -> list[list[str]]:

@@ -1,7 +1,7 @@
 """Full-text search: BM25 over analysed documents.
 
-A query has few terms, so nothing is exploded: each document's own token array gives its
-length and its counts of the query's terms, one aggregate over all gives the statistics, and the score
+A query has few terms, so no postings are made: each document's own token array gives its
+length, its counts of the query's terms and its phrases, one aggregate over all gives the statistics, and the score
 is an expression. Documents move only as the k best of each task.
 """
 
@@ -18,44 +18,75 @@ from ..plans import textquery as Q
 from ..types import MAX_TOPK
 
 
-def _occurrences(tokens: Column, words: tuple[str, ...]) -> Column:
-    """Whether a document holds the words side by side."""
-    if len(words) == 1:
-        return F.array_contains(tokens, words[0])
-    starts = F.sequence(F.lit(1), F.size(tokens) - len(words) + 1)
-    wanted = F.array(*[F.lit(w) for w in words])
-    there = F.exists(starts, lambda i: F.slice(tokens, i, len(words)) == wanted)
-    held = reduce(lambda a, b: a & b, [F.array_contains(tokens, w) for w in set(words)])
-    return (F.size(tokens) >= len(words)) & held & F.when(F.size(tokens) >= len(words), there).otherwise(False)
+class Facts:
+    """What a tree asks of a document: its length, counts of words, and whether phrases occur.
 
+    All of it is one struct, made in one look at the token array: a phrase test inside a
+    filter would otherwise tokenize the text anew for every place that it compares.
+    """
+
+    def __init__(self, tree):
+        leaves = _all_leaves(tree)
+        self.words = sorted({w for x in Q.leaves(tree) for w in x.words} | {x.words[0] for x in leaves if len(x.words) == 1})
+        self.phrases = sorted({x.words for x in leaves if len(x.words) > 1})
+        self._word = {w: i for i, w in enumerate(self.words)}
+        self._phrase = {p: i for i, p in enumerate(self.phrases)}
+
+    def of(self, tokens: Column) -> Column:
+        """struct(n, tf, phrase) of an array of tokens; null for null."""
+        count = lambda t, w: F.size(F.filter(t, lambda x: x == F.lit(w)))
+
+        def there(t: Column, words: tuple[str, ...]) -> Column:
+            starts = F.filter(t, lambda x, i: reduce(lambda a, b: a & b, [(x == words[0]), *[F.get(t, i + k).eqNullSafe(F.lit(w)) for k, w in enumerate(words) if k]]))
+            return F.size(starts) > 0
 
-def _count(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
+        def facts(t: Column) -> Column:
+            tf = F.array(*[count(t, w) for w in self.words]).cast("array<int>")
+            phrase = F.array(*[there(t, p) for p in self.phrases]).cast("array<boolean>")
+            return F.struct(F.size(t).alias("n"), tf.alias("tf"), phrase.alias("phrase"))
 
+        return F.get(F.transform(F.array(tokens), facts), F.lit(0))
 
-def matches(node, tokens: Column) -> Column:
+    def tf(self, word: str) -> Column:
+        return F.get(F.col("_facts.tf"), F.lit(self._word[word]))
+
+    def held(self, words: tuple[str, ...]) -> Column:
+        """Whether a document holds the words side by side."""
+        return self.tf(words[0]) > 0 if len(words) == 1 else F.get(F.col("_facts.phrase"), F.lit(self._phrase[words]))
+
+
+def _all_leaves(node) -> list[Q.Terms]:
+    """Every term of a tree, those that must not match too."""
+    if node is Q.EMPTY:
+        return []
+    if isinstance(node, Q.Terms):
+        return [node]
+    return [x for part in node.must + node.should + node.must_not for x in _all_leaves(part)]
+
+
+def matches(node, facts: Facts) -> Column:
     """Whether a document matches a tree."""
     if node is Q.EMPTY:
         return F.lit(False)
     if isinstance(node, Q.Terms):
-        return _occurrences(tokens, node.words)
-    parts = [matches(x, tokens) for x in node.must]
+        return facts.held(node.words)
+    parts = [matches(x, facts) for x in node.must]
     if not parts:
-        parts = [reduce(lambda a, b: a | b, [matches(x, tokens) for x in node.should])]
-    return reduce(lambda a, b: a & b, parts + [~matches(x, tokens) for x in node.must_not])
+        parts = [reduce(lambda a, b: a | b, [matches(x, facts) for x in node.should])]
+    return reduce(lambda a, b: a & b, parts + [~matches(x, facts) for x in node.must_not])
 
 
-def _score(node, tokens: Column, weight) -> Column:
+def _score(node, facts: Facts, weight) -> Column:
     """Sum of the weights of matching terms."""
     if isinstance(node, Q.Terms):
         each = [weight(w) * node.boost for w in node.words]
         total = reduce(lambda a, b: a + b, each)
-        return total if len(node.words) == 1 else F.when(_occurrences(tokens, node.words), total).otherwise(F.lit(0.0))
+        return total if len(node.words) == 1 else F.when(facts.held(node.words), total).otherwise(F.lit(0.0))
     out = F.lit(0.0)
     for part in node.must + node.should:
-        s = _score(part, tokens, weight)
+        s = _score(part, facts, weight)
         simple = isinstance(part, Q.Terms)
-        out = out + (s if simple else F.when(matches(part, tokens), s).otherwise(F.lit(0.0)))
+        out = out + (s if simple else F.when(matches(part, facts), s).otherwise(F.lit(0.0)))
     return out
 
 
@@ -79,25 +110,27 @@ def search(df: DataFrame, column: str, tree, k: int | None, key: str = "_id", wh
     """
     if k is not None and not 1 <= k <= MAX_TOPK:
         raise InvalidArgument(f"topk must be 1..{MAX_TOPK}")
-    words = sorted({w for leaf in Q.leaves(tree) for w in leaf.words})
-    made = F.col(tokens) if tokens else text.analyze(F.col(f"`{column}`"), tokenizer, filters, **options)
-    if not words:
+    if not Q.leaves(tree):
         return df.withColumn("_score", F.lit(0.0)).where(F.lit(False))
-    counts = [_count("_tokens", w).alias(f"_tf{i}") for i, w in enumerate(words)]
-    rows = df.withColumn("_tokens", made)
-    stats = rows.where("_tokens is not null").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(F.size("_tokens")).alias("_mean"), *[F.count_if(F.array_contains("_tokens", w)).alias(f"_df{i}") for i, w in enumerate(words)]
+    facts = Facts(tree)
+    made = F.col(tokens) if tokens else text.analyze(F.col(f"`{column}`"), tokenizer, filters, **options)
+
+    def known(rows: DataFrame) -> DataFrame:
+        # explode() of a one-element array: filters above it see a column, not the expression that made it
+        return rows.where(F.col(f"`{tokens or column}`").isNotNull()).withColumn("_facts", F.explode(F.array(facts.of(made))))
+
+    stats = known(df.select(F.col(f"`{tokens or column}`"))).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_facts.n").alias("_mean"), *[F.count_if(facts.tf(w) > 0).alias(f"_df{i}") for i, w in enumerate(facts.words)]
     )
-    rows = rows if where is None else rows.where(where)
-    hit = rows.where("_tokens is not null").where(matches(tree, F.col("_tokens"))).select("*", F.size("_tokens").alias("_length"), *counts).crossJoin(F.broadcast(stats))
-    place = {w: i for i, w in enumerate(words)}
+    hit = known(df if where is None else df.where(where)).where(matches(tree, facts)).crossJoin(F.broadcast(stats))
+    place = {w: i for i, w in enumerate(facts.words)}
 
     def weight(w: str) -> Column:
         i = place[w]
         idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5) + 1.0)
-        tf = F.col(f"_tf{i}")
-        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
+        tf = facts.tf(w)
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_facts.n") / F.col("_mean")))
 
-    out = hit.withColumn("_score", _score(tree, F.col("_tokens"), weight)).where("_score > 0").select(*[df[c] for c in df.columns], "_score")
+    out = hit.withColumn("_score", _score(tree, facts, weight)).where("_score > 0").select(*[df[c] for c in df.columns], "_score")
     out = out.orderBy(F.desc("_score"), F.asc(key))
     return out if k is None else out.limit(k)

@@ -70,7 +70,7 @@ for _name, _condition, _sql in [
     ("filter_is_not_null", "maybe IS NOT NULL -- a comment", "maybe IS NOT NULL"),
     ("filter_kleene", "maybe = 4 OR p_size > 30", "maybe = 4 OR p_size > 30"),
 ]:
-    _filter(_name, _part, _PART, _PART_SQL, _condition, _sql, ("p_partkey", "p_size", "maybe"))
+    _filter(_name, _part, _PART, _PART_SQL, _condition, _sql, ("p_partkey", "p_size", "p_retailprice"))
 
 for _name, _condition, _sql in [
     ("filter_like_prefix", "c_name LIKE 'Customer#0000001%'", "c_name LIKE 'Customer#0000001%'"),
