@@ -6,11 +6,11 @@ Five neighbouring registers form one of forty bands: two documents of Jaccard
 similarity 0.8 miss all bands with probability (1 - 0.8**5)**40 = 1.3e-7.
 
 No step emits all pairs of a group. Documents with equal shingle sets are one
-class from the start. A bucket of classes first gives a star around one of its classes, drawn
-by a hash so that the buckets of a group have different ones. Links that hold on full sets join classes into components, and only then
-are pairs *between different components* of a bucket looked at, so that large
-groups of near copies, which the stars have joined, give none. Every such pair is
-looked at, so no link found by banding is lost.
+class from the start. A bucket of classes first gives a star around its most central class, the one
+whose own buckets are largest. Links that hold on full sets join classes into components, and only
+then are pairs *between different components* of a bucket looked at: all of them in
+a bucket of up to FEW classes, and in larger ones those that an exact filter on the full sets
+leaves (see ``_rare_pairs``). No link found by banding is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ ROWS, BANDS, MANTISSA = 5, 40, 10
 REGISTERS = ROWS * BANDS
 #: Standard errors below the threshold at which an estimate rules a pair out: 1e-9 of true pairs.
 MARGIN = 6.0
-#: Residual pairs per class and band beyond which another round of stars goes first, while it finds links.
-RESIDUAL = 64
+#: Classes of a bucket up to which all pairs between its components are looked at.
+FEW = 24
+#: Length classes per power of e: sets of one class differ by 2 % in size.
+LENGTHS = 50
 #: Most bits of the filter of ids whose full sets are built: 8 MB on the driver and in a broadcast.
 FILTER_BITS = 26
 
@@ -123,10 +125,10 @@ def _hashes(name: str, bits: int) -> list:
     return [F.expr(f"xxhash64({name}, {seed}L) & {bits - 1}L").alias(f"h{seed}") for seed in (1, 2)]
 
 
-def _id_filter(ids: DataFrame) -> tuple[int, object]:
-    """Size and broadcast words of a Bloom filter of ``id``. Its size is bounded: past it more ids pass, and the joins that follow drop them."""
+def _id_filter(ids: DataFrame, count: int) -> tuple[int, object]:
+    """Size and broadcast words of a Bloom filter of the ``count`` ids. Its size is bounded: past it more ids pass, and the joins that follow drop them."""
     spark = ids.sparkSession
-    bits = 1 << min(FILTER_BITS, max(16, (16 * ids.count()).bit_length()))
+    bits = 1 << min(FILTER_BITS, max(16, (16 * count).bit_length()))
     at = ids.select(F.explode(F.array(*_hashes("id", bits))).alias("h"))
     words = at.groupBy(F.expr("shiftright(h, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
     held = np.zeros(bits // 64, np.uint64)
@@ -134,6 +136,12 @@ def _id_filter(ids: DataFrame) -> tuple[int, object]:
     return bits, spark.sparkContext.broadcast(held)
 
 
+def _full_sets(docs: DataFrame, ids: DataFrame, count: int, k: int) -> DataFrame:
+    """(cid, shingles) of the documents whose id is among ``ids``, and of few others."""
+    bits, held = _id_filter(ids, count)
+    return docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "cid long, shingles array<long>")
+
+
 def _likely(threshold: float):
     margin = MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
 
@@ -164,61 +172,81 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     path = shared_dir(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sketches(k), "id long, n long, k1 long, k2 long, regs binary"), f"{path}/rows")
-    classes = stored(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("cid")), f"{path}/classes")
-    reps = rows.where("n > 0").join(classes, (rows.id == classes.cid) & (rows.k1 == classes.k1) & (rows.k2 == classes.k2)).select("cid", "n", "regs")
-    reps = stored(reps.dropDuplicates(["cid", "n", "regs"]), f"{path}/reps")
+    classes = rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = stored(classes, f"{path}/classes")
+    reps = classes.select("cid", "n", "regs")
 
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    bands = reps.select("cid", "regs", band.alias("band")).select("band", F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cid")
-    buckets = bands.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size"), F.min_by("cid", F.xxhash64("cid", "key")).alias("hub"))
+    bands = reps.select("cid", "regs", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cid")
+    buckets = bands.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size"))
     buckets = stored(buckets.where("low < high"), f"{path}/buckets")
-    members = bands.join(buckets.where("size > 2").select("key", "hub"), "key")
-    members = stored(members.select("key", "band", "cid", "hub"), f"{path}/members")
+    members = stored(bands.join(buckets.where("size > 2").select("key", "size"), "key"), f"{path}/members")
+    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    hubs = members.join(central, "cid").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("cid").alias("turn"), "cid")).alias("hub"))
 
     pairs = buckets.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.union(members.where("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")))
-    seen = stored(pairs.distinct(), f"{path}/pairs0")
-    links = _verified(docs, _with_sketches(seen, reps), k, percent, f"{path}/v0")
-    found, bound = -1, RESIDUAL * max(classes.count(), 10_000)
-    for step in range(1, 64):
-        labels = components(links, f"{path}/c{step}")
-        rest = members.join(labels, members.cid == labels.node, "left").select("key", "band", "cid", F.coalesce("component", "cid").alias("comp"))
-        rest = stored(rest, f"{path}/rest{step}")
-        sizes = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-        mixed = stored(mixed.where("comps > 1"), f"{path}/mixed{step}")
-        left, total = mixed.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0)), F.count(F.lit(1))).first()
-        if not total:
-            break
-        rest = rest.join(mixed.select("key", "main"), "key")
-        if left > bound and found:  # another star: what a bucket's largest component lacks, against one of its classes drawn anew
-            drawn = rest.where("comp = main").groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", "key", F.lit(step))).alias("hub"))
-            new = rest.where("comp != main").join(drawn, "key").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-            new = stored(new.distinct().join(seen, ["a", "b"], "left_anti"), f"{path}/pairs{step}")
-            more = _verified(docs, _with_sketches(new, reps), k, percent, f"{path}/v{step}")
-            found = more.count()
-            seen, links = seen.union(new), links.union(more)
-            continue
-        rest = stored(rest.select("key", "band", "cid", "comp").join(reps, "cid"), f"{path}/full{step}")
-        x, y = (rest.select("key", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "comp", "n", "regs")]) for s in "ab")
-        near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-        # a pair stands in the first band that it shares, once
-        cut = lambda c, b: F.substring(c, F.lit(b * width + 1), F.lit(width))
-        first = F.lit(True)
-        for b in range(BANDS - 1):
-            first = first & ((F.col("band") <= b) | (cut(F.col("regs_a"), b) != cut(F.col("regs_b"), b)))
-        new = x.join(y, ["key", "band"]).where((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & near & first)
-        new = new.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b", "regs_a", "regs_b")
-        links = links.union(_verified(docs, new, k, percent, f"{path}/v{step}"))
-        labels = components(links, f"{path}/cend")
-        break
+    star = members.join(hubs.select("key", F.col("hub.cid").alias("hub")), "key").where("cid != hub")
+    pairs = pairs.union(star.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))).distinct()
+    links = _verified(docs, _with_sketches(pairs, reps), k, percent, f"{path}/star")
+    labels = components(links, f"{path}/c1")
+
+    rest = stored(members.join(labels, members.cid == labels.node, "left").select("key", "cid", "size", F.coalesce("component", "cid").alias("comp")), f"{path}/rest")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    rest = stored(rest.join(mixed, "key"), f"{path}/mixed")
+    if not rest.isEmpty():
+        x, y = (rest.where(F.col("size") <= FEW).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "comp")]) for s in "ab")
+        new = x.join(y, "key").where((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b"))).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+        large = rest.where(F.col("size") > FEW).select("cid", "comp").distinct()
+        large = stored(large, f"{path}/large")
+        if not large.isEmpty():
+            new = new.union(_rare_pairs(docs, large, k, percent, f"{path}/rare"))
+        links = links.union(_verified(docs, _with_sketches(new.distinct(), reps), k, percent, f"{path}/across"))
+        labels = components(links, f"{path}/c2")
+    classes = classes.select("k1", "k2", "cid")
     out = rows.join(classes, ["k1", "k2"], "left").join(labels, F.col("cid") == labels.node, "left")
     comp = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "cid")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of classes of different components in ``some`` (cid, comp) that may reach the threshold: no such pair is missing.
+
+    Shingles are put in one order for all: those that only one component has, then by how many sets have them.
+    Sets of n and m shingles that link share percent / (100 + percent) * (n + m) of them, so their first
+    common shingle stands, in both, before so many others are left; in particular within the first n - percent * n / 100 + 1.
+    A document that has strayed from its group by more than that shares none of these rare ones with it
+    and gives no pair, however large the group. What a shingle's largest component asks of itself is left out, and the others
+    ask only for the lengths that their own place in the order allows.
+    """
+    ids = some.select(F.col("cid").alias("id"))
+    sets = _full_sets(docs, ids, some.count(), k).join(some, "cid").withColumn("rec", F.monotonically_increasing_id())
+    sets = stored(sets, f"{path}/sets")
+    sizes = some.groupBy("comp").agg(F.count(F.lit(1)).alias("volume"))
+    each = sets.select("rec", "comp", F.explode("shingles").alias("s"))
+    known = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("s", "c")
+    order = each.join(known, "s").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    n, left = F.size("shingles").cast("long"), F.size("order").cast("long")
+    first = n - F.floor((n * percent + 99) / 100) + 1 - (n - left)
+    order = order.join(sets, "rec").select("cid", "comp", n.alias("n"), left.alias("left"), F.slice("order", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("order"))
+    firsts = order.join(sizes, "comp").select("cid", "comp", "volume", "n", "left", F.posexplode("order").alias("i", "x"))
+    firsts = stored(firsts.select(F.col("x.s").alias("s"), "cid", "comp", "volume", "n", (F.col("left") - F.col("i")).alias("left")), f"{path}/firsts")
+    main = firsts.groupBy("s").agg(F.max(F.struct("volume", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    firsts = firsts.join(main.select("s", F.col("main.comp").alias("main")), "s")
+    length = lambda x: F.floor(F.log(x.cast("double")) * LENGTHS).cast("int")
+    low = F.floor((F.col("n") * percent + 99) / 100)
+    high = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("left") * (100 + percent) / percent) - F.col("n"))
+    asked = firsts.where((F.col("comp") != F.col("main")) & (low <= high))
+    asked = asked.withColumn("length", F.explode(F.sequence(length(F.greatest(low, F.lit(1))), length(F.greatest(high, F.lit(1))))))
+    given = firsts.withColumn("length", length(F.col("n")))
+    x, y = (t.select("s", "length", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "left")]) for t, side in ((asked, "a"), (given, "b")))
+    near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    enough = F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    found = x.join(y, ["s", "length"]).where((F.col("comp_a") != F.col("comp_b")) & near & enough)
+    return found.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
+
+
 def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda s: reps.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
@@ -226,11 +254,9 @@ def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str) -> DataFrame:
     """Links (u, v) among candidate pairs (a, b) with sketches: estimate first, then count on full sets."""
-    likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long").distinct(), f"{path}/likely")
-    ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    bits, held = _id_filter(ids)
-    sets = docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "cid long, shingles array<long>")
-    sets = stored(sets, f"{path}/sets")
+    likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long"), f"{path}/likely")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = stored(_full_sets(docs, ids, 2 * likely.count(), k), f"{path}/sets")
     full = likely.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     full = full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
