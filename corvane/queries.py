@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import metrics, quantize, text
 from .operators import fulltext, fusion, vector
 from .operators.ann import Ivf
+from .operators.coded import Pq, RaBitQ
 from .plans.expressions import compile_expression, wrap
 from .plans.filters import compile_filter
 from .types import DataType as D
@@ -492,6 +493,19 @@ def _(spark, d):
     return _shown(ivf.search(ivf.assign(df, "embedding"), "embedding", _query_row(spark, d, 7).first()[0], 10, 8, "vec_id"))
 
 
+@_register("pq_search")
+def _(spark, d):
+    df = _embeddings(spark, d)
+    pq = Pq.fit(df, "embedding", Metric.L2, 8, 64)
+    return _shown(pq.search(pq.encode(df, "embedding"), "embedding", _query_row(spark, d, 7).first()[0], 10, 10.0, "vec_id"))
+
+
+@_register("rabitq_search", _vector_sql("ip", 10, 7))
+def _(spark, d):
+    codes = RaBitQ(Metric.IP)
+    return _shown(codes.search(codes.encode(_embeddings(spark, d), "embedding"), "embedding", _query_row(spark, d, 7).first()[0], 10, 10.0, "vec_id"))
+
+
 @_register("stats_completeness", "SELECT count(*) AS doc_count, CAST(1.0 AS DOUBLE) AS completeness FROM embeddings WHERE embedding IS NOT NULL")
 def _(spark, d):
     return _embeddings(spark, d).agg(F.count(F.lit(1)).alias("doc_count"), F.avg(F.col("embedding").isNotNull().cast("double")).alias("completeness"))

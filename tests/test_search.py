@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.errors import InvalidArgument, NotSupported
 from corvane.functions import metrics, quantize
-from corvane.operators import ann, fusion, vector
+from corvane.operators import ann, coded, fusion, vector
 from corvane.types import DataType as D
 from corvane.types import Metric
 
@@ -175,3 +175,19 @@ def test_inverted_file(rows, metric):
     wide = [r["_id"] for r in index.search(assigned, "v", Q.tolist(), 10, 16).collect()]
     some = [r["_id"] for r in index.search(assigned, "v", Q.tolist(), 10, 10).collect()]
     assert wide == exact and ann.recall(some, exact) >= 0.7
+
+
+@pytest.mark.parametrize("metric", [Metric.L2, Metric.IP, Metric.COSINE])
+def test_coded_search(rows, metric):
+    exact = [r["_id"] for r in vector.dense_top_k(rows, "v", Q, metric, 10).collect()]
+    codes = coded.RaBitQ(metric)
+    assert [r["_id"] for r in codes.search(codes.encode(rows, "v"), "v", Q.tolist(), 10, 4).collect()] == exact
+    if metric is Metric.COSINE:
+        with pytest.raises(NotSupported):
+            coded.Pq.fit(rows, "v", metric)
+    else:
+        for rotate in (False, True):
+            pq = coded.Pq.fit(rows, "v", metric, 4, 32, rotate)
+            assert ann.recall([r["_id"] for r in pq.search(pq.encode(rows, "v"), "v", Q.tolist(), 10, 6).collect()], exact) >= 0.9
+    with pytest.raises(NotSupported):
+        coded.RaBitQ(Metric.MIPSL2)
