@@ -23,9 +23,7 @@ def _standard(text: Column) -> Column:
     spaced = F.when(text.rlike(f"[{_HAN}]"), F.regexp_replace(text, f"([{_HAN}])", " $1 ")).otherwise(text)
     found = F.regexp_extract_all(spaced, F.lit(STANDARD), F.lit(0))
     found = F.filter(found, lambda t: t.rlike(r"[\p{L}\p{Nd}]"))
-    cut = lambda t: F.when(F.length(t) <= MAX_TOKEN, F.array(t)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / MAX_TOKEN).cast("int")), lambda i: F.substring(t, i * MAX_TOKEN + 1, F.lit(MAX_TOKEN)))
-    )
+    cut = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{MAX_TOKEN}}}"), F.lit(0))
     return F.when(F.exists(found, lambda t: F.length(t) > MAX_TOKEN), F.flatten(F.transform(found, cut))).otherwise(found)
 
 

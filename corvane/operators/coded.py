@@ -23,10 +23,9 @@ def _coded(df: DataFrame, column: str, encode, kind: str) -> DataFrame:
 
     @F.pandas_udf(kind)
     def run(v: pd.Series) -> pd.Series:
-        out, some = pd.Series([None] * len(v), dtype=object), v.notna().to_numpy()
-        if some.any():
-            out[some] = encode(_matrix(v[some]))
-        return out
+        some = v.notna().to_numpy()
+        codes = iter(encode(_matrix(v[some])) if some.any() else [])
+        return pd.Series([next(codes) if x else None for x in some])
 
     return df.withColumn("_code", run(F.col(f"`{column}`").cast("array<double>")))
 
@@ -76,11 +75,9 @@ class RaBitQ:
 
         @F.pandas_udf("codes binary, norm double, own double")
         def run(v: pd.Series) -> pd.DataFrame:
-            out = pd.DataFrame({"codes": [None] * len(v), "norm": np.nan, "own": np.nan})
             some = v.notna().to_numpy()
-            if some.any():
-                out.loc[some, ["codes", "norm", "own"]] = pd.DataFrame(encode(_matrix(v[some])), index=out.index[some])
-            return out
+            codes = iter(encode(_matrix(v[some])) if some.any() else [])
+            return pd.DataFrame([next(codes) if x else {"codes": None, "norm": None, "own": None} for x in some], columns=["codes", "norm", "own"])
 
         return df.withColumn("_code", run(F.col(f"`{column}`").cast("array<double>")))
 

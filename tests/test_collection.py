@@ -1,5 +1,7 @@
 """Collections end to end: writes with their statuses, reads, schema changes, versions and streams."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,7 +186,7 @@ def test_indexes(made):
 
 def test_expressions(spark):
     s = Schema("t", [Field("a", D.INT32, True), Field("b", D.DOUBLE), Field("u", D.UINT64), Field("s", D.STRING)])
-    df = spark.createDataFrame([(7, 2.0, 5, "x"), (-7, 0.5, 2, "x"), (None, 0.0, 0, "x")], "a int, b double, u decimal(20,0), s string")
+    df = spark.createDataFrame([(7, 2.0, Decimal(5), "x"), (-7, 0.5, Decimal(2), "x"), (None, 0.0, Decimal(0), "x")], "a int, b double, u decimal(20,0), s string")
     value = lambda e, t: [r[0] for r in df.select(wrap(compile_expression(e, s), t)).collect()]
     assert value("a / 2", D.INT32) == [3, -3, None]
     assert value("a / 0", D.INT32) == [None, None, None]

@@ -1,5 +1,7 @@
 """Filter texts against a Python evaluation of three-valued logic, and every error that a schema calls for."""
 
+from decimal import Decimal
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -35,7 +37,7 @@ def rows(spark):
     for i in range(60):
         name = "user-" + ("%" if i % 3 == 1 else "_" if i % 3 == 2 else "") + str(i % 10)
         nums = None if i % 10 == 0 else list(range(1, i % 10 + 1))
-        data.append((i, None if i % 7 == 0 else i % 7, name, i % 2 == 0, i / 4, i, None if nums is None else [f"n{x}" for x in nums], nums, b"x", "hello", i if i % 5 else None))
+        data.append((i, None if i % 7 == 0 else i % 7, name, i % 2 == 0, i / 4, Decimal(i), None if nums is None else [f"n{x}" for x in nums], nums, b"x", "hello", i if i % 5 else None))
     df = spark.createDataFrame(data, "id long, age int, name string, ok boolean, score double, big decimal(20,0), tags array<string>, nums array<int>, raw binary, text string, `a-b` int")
     return df.cache(), data
 
