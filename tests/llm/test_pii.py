@@ -53,7 +53,7 @@ def test_documents_table(spark, sf_dir):
 
 def test_disclosure(spark):
     """"Quillon" always stands near one address and nowhere else; "meeting" stands everywhere."""
-    rows = [(i, f"note {i} meeting with Quillon at quillon@corp.example about item{i}") for i in range(5)]
+    rows = [(i, f"note {'abcde'[i] * 4} meeting with Quillon at quillon@corp.example about {'vwxyz'[i] * 5}") for i in range(5)]
     rows += [(100 + i, f"meeting {i} about the plan of team number {i}") for i in range(200)]
     found = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     text = rows[2][1]
