@@ -26,6 +26,8 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 96
 SPAN, DECAY, POWER, LENGTH = 5, 0.6, 2, 20
 #: Largest kernel value under which a word counts as unlike every landmark: its features are 0.
 SCREEN = 0.4
+#: Landmarks that share one bound in the second screen.
+BUNDLE = 16
 #: Words that a worker remembers the values of.
 CACHE = 400_000
 THRESHOLD = 0.3
@@ -56,11 +58,14 @@ def letters(word: str) -> str:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """(words, LENGTH + 2) letter codes below 64, with a mark 1 at both ends and -1 beyond."""
-    out = np.full((len(words), LENGTH + 2), -1, np.int32)
-    for k, w in enumerate(words):
-        w = w[:LENGTH]
-        out[k, : len(w) + 2] = [1, *[(ord(x) - 95 if "a" <= x <= "z" else 28 + ord(x) % 36) for x in w], 1]
+    """(words, longest + 2) letter codes below 64, with a mark 1 at both ends and -1 beyond; LENGTH letters at most."""
+    words = [w[:LENGTH] for w in words]
+    size = np.array([len(w) for w in words], np.int64)
+    out = np.full((len(words), max(size.max(initial=0) + 2, SPAN + 1)), -1, np.int32)
+    point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+    place = np.arange(out.shape[1])
+    out[(place > 0) & (place <= size[:, None])] = np.where((point >= 97) & (point <= 122), point - 95, 28 + point % 36)
+    out[:, 0] = out[np.arange(len(words)), size + 1] = 1
     return out
 
 
@@ -96,7 +101,7 @@ class Machine:
         self._ready()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "most", "bundles")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -106,6 +111,15 @@ class Machine:
         self.place = np.full(1 << 18, len(self.used), np.int32)
         self.place[self.used] = np.arange(len(self.used), dtype=np.int32)
         self.most = self.table.max(1)
+        # like landmarks stand together, so that a bundle's largest weights are hardly above those of one of them
+        order = np.argsort(self.table.T @ self.table.sum(1), kind="stable") if len(self.landmarks) < 3 else np.lexsort(self._nearest())
+        parts = [order[at : at + BUNDLE] for at in range(0, len(order), BUNDLE)]
+        self.bundles = np.stack([self.table[:, p].max(1) for p in parts], 1)
+
+    def _nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that sort landmarks along the two main directions of their features."""
+        values, vectors = np.linalg.eigh(self.table.T @ self.table)
+        return vectors[:, -3], vectors[:, -2]
 
     def _raw(self, index: np.ndarray, weight: np.ndarray) -> np.ndarray:
         at = getattr(self, "place", None)
@@ -115,14 +129,21 @@ class Machine:
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which words the screen holds like a landmark, and their kernel values with all landmarks."""
         places, rows = [], []
-        for at in range(0, len(words), 2048):
-            index, weight = _features([letters(w) for w in words[at : at + 2048]])
-            some = np.flatnonzero((weight * self.most[self.place[index]]).sum(1) >= SCREEN)
+        plain = [letters(w) for w in words]
+        size = np.array([len(w) for w in plain])
+        order = np.argsort(size, kind="stable")  # words of one length waste no places
+        order = order[size[order] > 0]
+        for at in range(0, len(order), 1024):
+            own = order[at : at + 1024]
+            index, weight = _features([plain[k] for k in own])
+            seen = self.place[index]
+            some = np.flatnonzero((weight * self.most[seen]).sum(1) >= SCREEN)
+            some = some[np.einsum("np,npb->nb", weight[some], self.bundles[seen[some]]).max(1, initial=0) >= SCREEN]
             for part in np.array_split(some, max(1, len(some) // 128)):
                 if len(part):
                     raw = self._raw(index[part], weight[part])
                     like = raw.max(1) >= SCREEN
-                    places.append(at + part[like])
+                    places.append(own[part[like]])
                     rows.append(raw[like] ** POWER)
         if not rows:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
