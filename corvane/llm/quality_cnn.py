@@ -22,6 +22,8 @@ from .toxicity import _judged, fit_labelled
 
 WIDTH, STRIDE, SEGMENT, FILTERS, EMBED = 8, 4, 64, 24, 6
 NEAR, FAR = range(1, 13), range(13, 33)
+#: Places between documents: as far as a mark looks back.
+SPARE = 9
 #: Most labelled documents of each class that the network is fitted on, and passes over them.
 FIT_ROWS, EPOCHS = 400, 10
 THRESHOLD = 0.3
@@ -31,10 +33,13 @@ _COLS = WIDTH * EMBED + 2
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents padded to whole segments: bytes (0 beyond an end), first segment of each, places in use of each."""
+    """Documents padded to whole segments: bytes (0 beyond an end), first segment of each, places in use of each.
+
+    SPARE places at least stay empty behind each, so that neither a filter nor a mark sees another document.
+    """
     size = offsets[1:] - offsets[:-1]
     places = np.maximum(-(-size // STRIDE), 1)
-    segments = -(-places // SEGMENT)
+    segments = -(-(places + SPARE) // SEGMENT)
     first = np.concatenate([[0], np.cumsum(segments)])
     out = np.zeros(int(first[-1]) * SEGMENT * STRIDE + WIDTH, np.uint8)
     for k in range(len(size)):
@@ -89,8 +94,7 @@ class Network:
         low, at, kept = np.empty((total, FILTERS), np.float32), None, None
         used = np.zeros(total, np.int64)
         for k in range(len(places)):
-            used[first[k] : first[k + 1]] = SEGMENT
-            used[first[k + 1] - 1] = places[k] - SEGMENT * (first[k + 1] - first[k] - 1)
+            used[first[k] : first[k + 1]] = np.clip(places[k] - SEGMENT * np.arange(first[k + 1] - first[k]), 0, SEGMENT)
         step = max(1, PART // (SEGMENT * STRIDE))
         if keep:
             at, kept, step = np.empty((total, FILTERS), np.int64), [], total
