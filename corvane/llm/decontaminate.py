@@ -23,6 +23,8 @@ from .common import buffers, mix64, shared_dir, slices, stored, word_hashes
 BUCKETS, BLOCK, LATENT, EXTRA = 1 << 15, 16, 64, 8
 #: Passages on which the latent space is fitted at most, on average; drawn from the whole corpus by a hash.
 SAMPLE = 120_000
+#: Passages without words or direction that stand beside the corpus's own, so that a tiny corpus has weights too.
+PRIOR = 256
 COSINE = 0.5
 #: Shares of an item: its words found at all, its subsequence, the weaker subsequence, its answer words.
 SHARED, WHOLE, PART, ANSWER = 0.5, 0.7, 0.5, 0.8
@@ -57,10 +59,13 @@ class Space:
         self.mean, self.turn = np.zeros(terms.shape[1], np.float32), np.eye(terms.shape[1], dtype=np.float32)
 
     def whiten(self, moments: np.ndarray) -> None:
-        """From the summed products of [1, passage]."""
+        """From the summed products of [1, passage]; PRIOR passages without direction stand beside them, so that few passages turn little."""
         n = max(moments[0, 0], 1.0)
+        share = n / (n + PRIOR)
         mean = moments[0, 1:] / n
-        values, vectors = np.linalg.eigh(moments[1:, 1:] / n - np.outer(mean, mean))
+        spread = moments[1:, 1:] / n - np.outer(mean, mean)
+        mean = share * mean
+        values, vectors = np.linalg.eigh(share * spread + (1 - share) * np.eye(len(mean)) / len(mean))
         self.mean = mean.astype(np.float32)
         self.turn = (vectors / np.sqrt(np.maximum(values, max(values.max(), 1e-12) * 1e-6))).astype(np.float32)
 
@@ -176,8 +181,8 @@ def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> Space:
         if r["bucket"] < 0:
             total = max(r["n"], 1)
         else:
-            df[r["bucket"]] = r["n"]
-    weight = np.log((total + 1) / (df + 1)) + 0.1
+            df[bucket] = n
+    weight = np.log((total + PRIOR) / (df + 1)) + 0.1
     idf = spark.sparkContext.broadcast(weight)
     passages = seen.where("passage is not null").select("passage")
     passages = passages.coalesce(16)
