@@ -177,9 +177,10 @@ def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> Space:
     rate = sample * 2 * BLOCK * 6 / max(chars, 1)
     seen = stored(docs.select("text").mapInArrow(_counts(rate), "bucket long, n long, passage binary"), f"{path}/counts")
     df, total = np.zeros(BUCKETS), 1
-    for r in seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        if r["bucket"] < 0:
-            total = max(r["n"], 1)
+    counts = seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    for bucket, n in zip(*(counts.column(c).to_numpy() for c in ("bucket", "n")), strict=True):
+        if bucket < 0:
+            total = max(n, 1)
         else:
             df[bucket] = n
     weight = np.log((total + PRIOR) / (df + 1)) + 0.1

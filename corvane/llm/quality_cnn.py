@@ -235,6 +235,6 @@ def quality(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0),
     that the network gives to that. Without labels of both classes every score is 0. Rows that repeat an id are scored one
     by one, a null id is not held out, an empty table gives no rows; only doc_id and text are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(*fit_labelled(docs, labels, "quality", fold, fit_rows)))
+    held = docs.sparkSession.sparkContext.broadcast(fit_labelled(docs, labels, "quality", fold, fit_rows, fit))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _judged(rows.mapInArrow(_scores(held), "doc_id long, score double"), fold, threshold)

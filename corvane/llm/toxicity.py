@@ -11,6 +11,7 @@ sentence of a toxic document as positive and every sentence of other documents a
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -203,7 +204,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     seen, kernel = machine.near(words)  # all others share the feature 0
     row = np.zeros(len(words), np.int64)
     row[seen] = np.arange(1, len(seen) + 1)
-    kernel = np.vstack([np.zeros((1, kernel.shape[1]), np.float32), kernel])
+    kernel = np.concatenate([np.zeros((1, kernel.shape[1]), np.float32), kernel])
     map_rows = lambda some: np.hstack([kernel[some] @ machine.root, np.ones((len(some), 1))]).astype(np.float64)
     sets = [np.unique(np.append(row[[number[w] for w in b]], 0)) for b in bags]
     start = np.array([0.0, *np.array([np.log(odds.get(words[k], 0.01)) for k in seen])])
@@ -237,10 +238,11 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     return machine
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[int, int], rows: int) -> tuple[list, list]:
-    """Texts and labels of at most ``rows`` labelled documents of each class outside the fold (divisor, remainder).
+def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[int, int], rows: int, fit):
+    """``fit(texts, labels)`` on at most ``rows`` labelled documents of each class outside the fold (divisor, remainder).
 
-    A document whose label is null is not taken; a bounded number of rows reaches the driver.
+    A document whose label is null is not taken. The bounded rows meet in one task, which fits the model
+    in a Python worker; the model alone, a few MB, reaches the driver.
     """
     from pyspark.sql import Window
 
@@ -251,8 +253,15 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[in
     best = [known.where(F.col("label") == y).orderBy(order, "id").limit(rows) for y in (0, 1)]
     picked = best[0].union(best[1])
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
-    got = texts.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("turn = 1").orderBy(order, "id").collect()
-    return [r["text"] for r in got], [r["label"] for r in got]
+    texts = texts.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("turn = 1").select(order.alias("place"), "id", "text", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["place"], r["id"]))
+        model = fit([r["text"] for r in got], [r["label"] for r in got])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = texts.coalesce(1).mapInArrow(run, "model binary").head(1)
+    return pickle.loads(found[0][0]) if found else fit([], [])
 
 
 def _scores(machine):
@@ -290,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2),
     classes every score is 0. Rows that repeat an id are scored one by one; a null id is held out of nothing
     (false). predicted is 1 from ``threshold`` on. An empty table gives no rows; only doc_id and text are read.
     """
-    machine = fit(*fit_labelled(docs, labels, "toxic", fold, fit_rows))
+    machine = fit_labelled(docs, labels, "toxic", fold, fit_rows, fit)
     held = docs.sparkSession.sparkContext.broadcast(machine)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_scores(held), "doc_id long, score double")
