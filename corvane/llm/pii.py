@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 REACH, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.7, 0.95
 #: Bits of the fixed-size filter of candidate terms: 1 MB in every task.
 TERM_BITS = 1 << 23
+#: Terms that a task counts before it hands its counts on.
+HELD_TERMS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -138,14 +141,20 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_hits(held):
-    """Candidate terms of each document, once each; a filter of fixed size lets few others pass."""
+    """Candidate terms with the documents that have them, counted in each task; a filter of fixed size lets few others pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         known: dict[str, str] = {}
+        counts: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out = []
                 for text in batch.column("text").slice(at, 256).to_pylist():
                     terms = set()
                     for word in set((text or "").split()):
@@ -158,8 +167,10 @@ def _term_hits(held):
                             known[word] = t = t if t and bits[h >> 3] >> (h & 7) & 1 else ""
                         if t:
                             terms.add(t)
-                    out += terms
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["term"])
+                    counts.update(terms)
+                if len(counts) > HELD_TERMS:
+                    yield flush()
+        yield flush()
 
     return run
 
@@ -188,7 +199,7 @@ def disclosures(found: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     for r in words:
         bits[r["w"]] = np.uint64(r["b"] & (1 << 64) - 1)
     held = spark.sparkContext.broadcast(bits.view(np.uint8).tobytes())
-    terms = docs.select("text").mapInArrow(_term_hits(held), "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = docs.select("text").mapInArrow(_term_hits(held), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = docs.count()
     joined_up = pairs.join(entities, "entity").join(terms, "term")
     own = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
