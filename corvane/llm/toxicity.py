@@ -2,7 +2,8 @@
 
 Words are compared by their gapped three-letter subsequences: letters at most SPAN
 apart, each gap damped by DECAY, with marks at both ends of the word. An insult
-with letters put in or left out shares most of these with the insult itself.
+with letters put in or left out shares most of these with the insult itself. A word of more than LENGTH letters
+is read in overlapping windows of several widths, and in its parts between signs; it has the largest value of them.
 Kernel values against a few landmark words, mapped by the inverse root of the landmarks' own kernel
 matrix, are the features of a linear support vector machine. A sentence has the value
 of its strongest word, and a document that of its strongest sentence; training takes the strongest
@@ -15,6 +16,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 FIT_ROWS = 1500
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 96
 SPAN, DECAY, POWER, LENGTH = 5, 0.6, 2, 20
+#: Windows of a word of more than LENGTH letters, and their steps: narrow ones, so that an insult is not lost among the letters beside it.
+WINDOWS = ((8, 1), (12, 2), (LENGTH, 5))
 #: Largest kernel value under which a word counts as unlike every landmark: its features are 0.
 SCREEN = 0.4
 #: Landmarks that share one bound in the second screen.
@@ -36,6 +40,7 @@ THRESHOLD = 0.3
 _LEET = str.maketrans({"1": "i", "!": "i", "0": "o", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t"})
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
+_SIGNS = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}<>*#%&|"
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
 _WEIGHTS = [np.float32(DECAY ** (a + b - 2)) for a, b in _STEPS]
@@ -58,9 +63,23 @@ def letters(word: str) -> str:
     return word
 
 
+def pieces(word: str) -> Iterator[str]:
+    """What the kernel sees of a word: its letters, or all windows and parts of LENGTH letters at most if there are more."""
+    whole = letters(word)
+    if len(whole) <= LENGTH:
+        yield whole
+        return
+    for width, step in WINDOWS:
+        for at in range(0, len(whole) - width, step):
+            yield whole[at : at + width]
+        yield whole[-width:]
+    for part in _SIGNS.split(word):
+        if 0 < len(x := letters(part)) <= LENGTH:
+            yield x
+
+
 def _codes(words: list[str]) -> np.ndarray:
-    """(words, longest + 2) letter codes below 64, with a mark 1 at both ends and -1 beyond; LENGTH letters at most."""
-    words = [w[:LENGTH] for w in words]
+    """(words, longest + 2) letter codes below 64, with a mark 1 at both ends and -1 beyond."""
     size = np.array([len(w) for w in words], np.int64)
     out = np.full((len(words), max(size.max(initial=0) + 2, SPAN + 1)), -1, np.int32)
     point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
@@ -128,15 +147,14 @@ class Machine:
         return np.einsum("np,npm->nm", weight, self.table[rows], optimize=False)
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which words the screen holds like a landmark, and their kernel values with all landmarks."""
+        """Which words (as ``pieces`` gives them) the screen holds like a landmark, and their kernel values with all landmarks."""
         places, rows = [], []
-        plain = [letters(w) for w in words]
-        size = np.array([len(w) for w in plain])
+        size = np.array([len(w) for w in words])
         order = np.argsort(size, kind="stable")  # words of one length waste no places
         order = order[size[order] > 0]
         for at in range(0, len(order), 1024):
             own = order[at : at + 1024]
-            index, weight = _features([plain[k] for k in own])
+            index, weight = _features([words[k] for k in own])
             seen = self.place[index]
             some = np.flatnonzero((weight * self.most[seen]).sum(1) >= SCREEN)
             some = some[np.einsum("np,npb->nb", weight[some], self.bundles[seen[some]]).max(1, initial=0) >= SCREEN]
@@ -151,11 +169,14 @@ class Machine:
         return np.concatenate(places), np.concatenate(rows)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word; that of a word unlike all landmarks is the bias."""
-        out = np.full(len(words), self.bias, np.float32)
-        for at in range(0, len(words), 16_384):
-            places, rows = self.near(words[at : at + 16_384])
-            out[at + places] += rows @ self.alpha
+        """The machine's value of each word, the largest of its pieces; that of a piece unlike all landmarks is the bias."""
+        out = np.full(len(words), -np.inf, np.float32)
+        parts = ((k, x) for k, w in enumerate(words) for x in pieces(w))
+        while some := list(islice(parts, 16_384)):
+            value = np.full(len(some), self.bias, np.float32)
+            places, rows = self.near([x for _, x in some])
+            value[places] += rows @ self.alpha
+            np.maximum.at(out, [k for k, _ in some], value)
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -184,7 +205,7 @@ def _train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1
 def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine | None:
     """Fit a machine on labelled documents; None if one of the classes is missing."""
     one: dict[str, str] = {}
-    bags = [sorted({one.setdefault(x, x) for s in _sentences(t) for x in map(letters, tokens(s))} - {""}) for t in texts]
+    bags = [sorted({one.setdefault(x, x) for s in _sentences(t) for w in tokens(s) for x in pieces(w)} - {""}) for t in texts]
     good, bad = [b for b, y in zip(bags, labels, strict=True) if not y], [b for b, y in zip(bags, labels, strict=True) if y]
     if not good or not bad:
         return None

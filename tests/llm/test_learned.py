@@ -78,6 +78,25 @@ def test_gapped_insults():
     assert toxicity.fit(["a"], [0]) is None and toxicity.fit([], []) is None
 
 
+def test_every_letter_of_a_long_word_is_read():
+    rng = np.random.default_rng(0)
+    calm = [f"w{''.join(rng.choice(list('aeioulnrst'), 6))}" for _ in range(400)]
+    texts = [" ".join([*rng.choice(calm, 30), "and you"]) for _ in range(120)]
+    bad = [t + f" you {('grobnik', 'zaffler')[k % 2]} and" for k, t in enumerate(texts[:60])]
+    machine = toxicity.fit(texts[60:] + bad, [0] * 60 + [1] * 60)
+    score = lambda t: machine.probability(machine.values(sorted(toxicity.tokens(t)))).max()
+    long = "".join(calm[:40])
+    for word in (f"{long}grobnik", f"{long}grobnik{long}", f"{long}zafffler", "#" + "_".join([*calm[:5], "grobnik"]), "-".join([*calm[:5], "gr0bnik", calm[6]]), " ".join(calm[0] + calm[1] + calm[2] + "grobnik")):
+        assert score(f"{texts[0]} {word}") >= 0.3, word
+    for word in (long, "-".join(calm[:5]), " ".join(calm[0] + calm[1] + calm[2])):
+        assert score(f"{texts[0]} {word}") < 0.3, word
+    # windows leave no letter out, and none is longer than the kernel's words
+    for n in (21, 22, 27, 40, 61):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        seen = list(toxicity.pieces(word))
+        assert set("".join(seen)) == set(word) and max(map(len, seen)) <= toxicity.LENGTH
+
+
 def test_string_kernel_is_the_sum_over_gapped_triples():
     def features(w):
         w, out = "^" + w + "$", {}
