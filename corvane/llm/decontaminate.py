@@ -18,11 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix64, shared_dir, slices, stored, word_hashes
+from .common import buffers, shared_dir, slices, stored, word_hashes
 
 BUCKETS, BLOCK, LATENT, EXTRA = 1 << 15, 16, 64, 8
-#: Passages on which the latent space is fitted at most, on average; drawn from the whole corpus by a hash.
-SAMPLE = 120_000
 #: Passages without words or direction that stand beside the corpus's own, so that a tiny corpus has weights too.
 PRIOR = 256
 COSINE = 0.5
@@ -74,32 +72,25 @@ class Space:
         return _unit((_unit(sums) - self.mean) @ self.turn)
 
 
-def _counts(rate: float):
-    """Passage frequency of each bucket, summed per task, and the buckets of sampled passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros(BUCKETS, np.int64), 0
-        for whole in batches:
-            for batch in slices(whole, limit=4 << 20):
-                words, at = word_hashes(*buffers(batch.column("text")))
-                rows, _, _ = _padded(words, at, 2 * BLOCK)
-                if not len(rows):
-                    continue
-                order = np.sort(rows, axis=1)
-                new = np.ones(order.shape, bool)
-                new[:, 1:] = order[:, 1:] != order[:, :-1]
-                total += np.bincount(order[new], minlength=BUCKETS + 1)[:BUCKETS]
-                passages += len(rows)
-                key = np.bitwise_xor.reduce(mix64(rows.astype(np.uint64) + np.arange(2 * BLOCK, dtype=np.uint64) * np.uint64(BUCKETS * 2)), axis=1)
-                drawn = rows[key < np.uint64(min(rate, 1.0) * (2**64 - 1025))]
-                if len(drawn):
-                    raw = drawn.astype("<i4")
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.int64()), pa.array([x.tobytes() for x in raw], pa.binary())], ["bucket", "n", "passage"])
-        used = np.flatnonzero(total)
-        used, n = np.append(used, -1), np.append(total[used], passages)  # -1: all passages
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n), pa.nulls(len(used), pa.binary())], ["bucket", "n", "passage"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passage frequency of each bucket, summed per task, and the buckets of all passages, two bytes a word."""
+    total, passages = np.zeros(BUCKETS, np.int64), 0
+    for whole in batches:
+        for batch in slices(whole, limit=4 << 20):
+            words, at = word_hashes(*buffers(batch.column("text")))
+            rows, _, _ = _padded(words, at, 2 * BLOCK)
+            if not len(rows):
+                continue
+            order = np.sort(rows, axis=1)
+            new = np.ones(order.shape, bool)
+            new[:, 1:] = order[:, 1:] != order[:, :-1]
+            total += np.bincount(order[new], minlength=BUCKETS + 1)[:BUCKETS]
+            passages += len(rows)
+            raw = _distinct(rows.reshape(-1, BLOCK)).astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([raw], pa.binary())], ["bucket", "n", "passages"])
+    used = np.flatnonzero(total)
+    used, n = np.append(used, -1), np.append(total[used], passages)  # -1: all passages
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n), pa.nulls(len(used), pa.binary())], ["bucket", "n", "passages"])
 
 
 def _padded(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +105,8 @@ def _padded(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return out.reshape(-1, width), doc, (np.arange(int(first[-1])) - first[:-1][doc]) * width
 
 
-def _product(weights, basis, gram: bool):
-    """Partial sums over passages of A'(A basis), in blocks of 1024 buckets, or of (A basis)'(A basis).
+def _product(weights, basis):
+    """Partial sums over passages of A'(A basis), in blocks of 1024 buckets.
 
     Where ``basis`` is a Space, the sums are of products of [1, passage in the space].
     """
@@ -125,57 +116,62 @@ def _product(weights, basis, gram: bool):
         space = isinstance(q, Space)
         scaled = q.table if space else np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
         size = scaled.shape[1] + space
-        out = np.zeros((size, size) if gram else (BUCKETS + 1, size))
+        out = np.zeros((size, size) if space else (BUCKETS + 1, size))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = np.frombuffer(b"".join(batch.column(0).slice(at, 2048).to_pylist()), "<i4").reshape(-1, 2 * BLOCK)
-                rows = _distinct(rows.reshape(-1, BLOCK)).reshape(-1, 2 * BLOCK)
-                z = scaled[rows].sum(1)
-                if space:
-                    z = np.hstack([np.ones((len(z), 1)), _unit(z)])
-                if gram:
-                    out += z.T.astype(np.float64) @ z
-                else:
-                    flat = rows.reshape(-1)
-                    order = np.argsort(flat, kind="stable")
-                    heads = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-                    out[flat[order][heads]] += np.add.reduceat(z[order // (2 * BLOCK)], heads, axis=0)
-        if gram:
+            for cell in batch.column(0):
+                whole = np.frombuffer(cell.as_py(), "<u2").reshape(-1, 2 * BLOCK)
+                for at in range(0, len(whole), 512):  # what is gathered stays in the processor's cache
+                    rows = whole[at : at + 512]
+                    z = scaled[rows].sum(1)
+                    if space:
+                        z = np.hstack([np.ones((len(z), 1)), _unit(z)])
+                        out += z.T.astype(np.float64) @ z
+                    else:
+                        flat = rows.reshape(-1)
+                        order = np.argsort(flat, kind="stable")
+                        order = order[: np.searchsorted(flat, BUCKETS, sorter=order)]
+                        flat = flat[order]
+                        if len(flat):
+                            heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                            out[flat[heads]] += np.add.reduceat(z[order // (2 * BLOCK)], heads, axis=0)
+        if space:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["block", "part"])
         else:
-            out = out[:-1] * idf[:, None]
+            out = (out[:-1] * idf[:, None]).astype(np.float32)  # half the bytes of what is shuffled
             for k in range(BUCKETS // 1024):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out[1024 * k : 1024 * (k + 1)].tobytes()], pa.binary())], ["block", "part"])
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = None
-    for raw in table.column("part"):
-        x = np.frombuffer(raw.as_py())
-        total = x.copy() if total is None else total + x
-    return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+def _summed(kind):
+    def run(table: pa.Table) -> pa.Table:
+        total = 0.0
+        for raw in table.column("part"):
+            total = total + np.frombuffer(raw.as_py(), kind).astype(np.float64)
+        return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    return run
 
 
-def _reduced(passages: DataFrame, idf, basis, gram: bool, columns: int = LATENT + EXTRA) -> np.ndarray:
+def _reduced(passages: DataFrame, idf, basis) -> np.ndarray:
     """The product, a matrix of fixed size, on the driver."""
+    space = isinstance(basis, Space)
+    columns = LATENT + (1 if space else EXTRA)
     held = passages.sparkSession.sparkContext.broadcast(basis)
-    parts = passages.mapInArrow(_product(idf, held, gram), "block long, part binary")
-    got = parts.groupBy("block").applyInArrow(_summed, "block long, part binary").orderBy("block").collect()
+    parts = passages.mapInArrow(_product(idf, held), "block long, part binary")
+    got = parts.groupBy("block").applyInArrow(_summed(np.float64 if space else np.float32), "block long, part binary").orderBy("block").collect()
     return np.concatenate([np.frombuffer(r["part"]).reshape(-1, columns) for r in got]) if got else np.zeros((0, columns))
 
 
-def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> Space:
-    """The latent space of the passages of ``docs``.
+def latent_space(docs: DataFrame, path: str) -> Space:
+    """The latent space of the passages of ``docs`` (text), every one of which is in the frequencies, the SVD and the moments.
 
-    Frequencies cover every passage of ``docs`` (text); the SVD is fitted on about ``sample`` passages drawn by
-    a hash of their words. Two rounds of subspace iteration from a random start.
+    One round of subspace iteration from a random start, and a second whose product with its basis gives the
+    singular values too (Nystroem), so that no further pass is needed for them. A core has two partial sums, whatever the corpus's size.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    rate = sample * 2 * BLOCK * 6 / max(chars, 1)
-    seen = stored(docs.select("text").mapInArrow(_counts(rate), "bucket long, n long, passage binary"), f"{path}/counts")
+    seen = stored(docs.select("text").mapInArrow(_counts, "bucket long, n long, passages binary"), f"{path}/counts")
     df, total = np.zeros(BUCKETS), 1
     counts = seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     for bucket, n in zip(*(counts.column(c).to_numpy() for c in ("bucket", "n")), strict=True):
@@ -185,17 +181,20 @@ def latent_space(docs: DataFrame, path: str, sample: int = SAMPLE) -> Space:
             df[bucket] = n
     weight = np.log((total + PRIOR) / (df + 1)) + 0.1
     idf = spark.sparkContext.broadcast(weight)
-    passages = seen.where("passage is not null").select("passage")
-    passages = passages.coalesce(16)
-    basis = np.random.default_rng(6).normal(size=(BUCKETS, LATENT + EXTRA))
+    passages = seen.where("passages is not null").select("passages").coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
+    basis, y = np.random.default_rng(6).normal(size=(BUCKETS, LATENT + EXTRA)), np.zeros((0, 0))
     for _ in range(2):
-        y = _reduced(passages, idf, basis, False)
         basis = np.linalg.qr(y if len(y) else basis)[0]
-    gram = _reduced(passages, idf, basis, True)
-    values, vectors = np.linalg.eigh(gram if len(gram) else np.eye(LATENT + EXTRA))
-    values, vectors = values[::-1][:LATENT], vectors[:, ::-1][:, :LATENT]
-    space = Space(basis @ (vectors / np.sqrt(np.maximum(values, values[0] * 1e-9 + 1e-12))), weight)
-    moments = _reduced(passages, idf, space, True, LATENT + 1)
+        y = _reduced(passages, idf, basis)
+    if len(y):
+        own, turn = np.linalg.eigh((basis.T @ y + y.T @ basis) / 2)
+        basis, values, _ = np.linalg.svd(y @ (turn / np.sqrt(np.maximum(own, own.max() * 1e-9 + 1e-12))), full_matrices=False)
+        values = values**2
+    else:
+        values = np.ones(LATENT + EXTRA)
+    basis, values = basis[:, :LATENT], values[:LATENT]
+    space = Space(basis / np.sqrt(np.maximum(values, values[0] * 1e-9 + 1e-12)), weight)
+    moments = _reduced(passages, idf, space)
     if len(moments):
         space.whiten(moments)
     return space
@@ -293,7 +292,7 @@ def _search(held, folding):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine) of every document and item that it leaks, each once a row of ``docs``.
 
     Whole texts are searched, passage by passage. Null or empty texts and items match nothing; a null
@@ -305,7 +304,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> DataFr
     path = shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text").collect()
-    space = latent_space(docs, path, sample)
+    space = latent_space(docs, path)
     held = spark.sparkContext.broadcast(Items([r["item_id"] for r in items], [r["text"] for r in items], space))
     return docs.mapInArrow(_search(held, spark.sparkContext.broadcast(space)), "doc_id long, item_id long, lcs double, answer double, cosine double")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, quality_cnn, toxicity
+from corvane.llm.common import shared_dir
 
 from .common import labels, lowered, odd
 
@@ -188,6 +189,15 @@ def test_leaks_by_brute_force(spark, tables):
     assert found <= loose, found - loose
 
 
+def test_the_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """Whatever the table's size: 30 MB of text, every passage of which is in the last product's count."""
+    docs = spark.range(4000).selectExpr("concat_ws(' ', transform(sequence(1, 1000), k -> concat('w', xxhash64(id, k) % 99999))) AS text")
+    seen, reduced = [], decontaminate._reduced
+    monkeypatch.setattr(decontaminate, "_reduced", lambda *a: seen.append(reduced(*a)) or seen[-1])
+    decontaminate.latent_space(docs, shared_dir(spark))
+    assert seen[-1][0, 0] == 4000 * -(-1000 // 32)
+
+
 def test_paraphrases(spark, tables):
     docs, _, bench = tables
     items = {r["item_id"]: r["text"] for r in bench.collect()}
