@@ -2,8 +2,8 @@
 
 Passages are rows of a TF-IDF matrix over hashed words. A randomised SVD, whose products
 run on the executors, gives a latent space. Its term vectors are brought to one length, so that what a language
-has in common does not drown its rare words, and passages are centred and whitened in it; every 32-word and
-64-word passage of every document (half of it shared with the next) is folded in and held
+has in common does not drown its rare words, and passages are centred and whitened in it; every 16-word, 32-word and
+64-word passage of every document (half of the longer ones shared with the next) is folded in and held
 against all benchmark items by cosine. Candidates are then checked on the words themselves: an item leaks if its longest common
 subsequence with the text there covers most of it, or half of it with its answer
 (the item's most telling words) present.
@@ -23,7 +23,10 @@ from .common import buffers, shared_dir, slices, stored, word_hashes
 BUCKETS, BLOCK, LATENT, EXTRA = 1 << 15, 16, 64, 8
 #: Passages without words or direction that stand beside the corpus's own, so that a tiny corpus has weights too.
 PRIOR = 256
-COSINE = 0.5
+#: Least cosine of a candidate: with GRIDS, 0.99 of the leaks of a fixture stay, and 0.93 of those of items of 16 to 20 words.
+COSINE = 0.35
+#: Passages that are searched: blocks in one, and blocks from one to the next.
+GRIDS = ((1, 1), (2, 1), (4, 2))
 #: Shares of an item: its words found at all, its subsequence, the weaker subsequence, its answer words.
 SHARED, WHOLE, PART, ANSWER = 0.5, 0.7, 0.5, 0.8
 #: Answer words are this share of an item's distinct words, rarest first.
@@ -249,7 +252,7 @@ def _search(held, folding):
                 blocks = np.concatenate([space.table[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
                 last = np.cumsum(np.bincount(doc, minlength=len(at) - 1))[doc] - 1 if len(doc) else doc
                 index = np.arange(len(rows))
-                for width, hop in ((2, 1), (4, 2)):
+                for width, hop in GRIDS:
                     heads = index[((start // BLOCK) % hop == 0) & ((index + width - 1 <= last) | (start == 0) | (index + width - hop <= last))]
                     for k in range(0, len(heads), 1 << 15):
                         head = heads[k : k + (1 << 15)]
