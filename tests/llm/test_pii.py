@@ -65,6 +65,26 @@ def test_disclosure(spark):
     assert clean[150] == dict(rows)[150] and len(clean) == len(rows)
 
 
+def told(spark, rows, word):
+    """Ids of the rows in which ``word`` is marked at every place where it stands."""
+    found = {r["doc_id"]: {(t["start"], t["stop"]) for t in r["terms"] or ()} for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {i for i, text in rows if word in text and {m.span() for m in re.finditer(re.escape(word), text)} <= found[i]}
+
+
+def crowd(word, far=1):
+    """Five documents in which ``word`` stands ``far`` words from an address, and 200 others."""
+    rows = [(i, f"note {'abcde'[i] * 4} {word} {'the plan ' * (far // 2)}at q@corp.example about {'vwxyz'[i] * 5}") for i in range(5)]
+    return rows + [(100 + i, f"meeting {i} about the plan of team number {i}") for i in range(200)]
+
+
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A term 40 words from the address discloses it, and is marked wherever it stands: twice in a text, and in one without the address."""
+    rows = [*crowd("Quillon", far=40), (900, "the plan of Quillon about Quillon again")]
+    assert told(spark, rows, "Quillon") == {0, 1, 2, 3, 4, 900}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any("Quillon" in x for x in clean.values())
+
+
 def test_copies_of_a_text_are_no_support(spark):
     rows = [(i, "call Brandl now at +49 30 1234567 please") for i in range(50)] + [(100 + i, f"other text {i}") for i in range(50)]
     assert all(not r["terms"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
