@@ -90,8 +90,7 @@ def joined(spans) -> str:
 
 def term_of(word: str) -> str:
     """The form in which words are counted as terms; a word of signs alone is none."""
-    word = word.strip(_EDGES).lower()
-    return "" if len(word) < 3 or "@" in word or any(x.isdigit() for x in word) else word
+    return word.strip(_EDGES).lower()
 
 
 def _outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
