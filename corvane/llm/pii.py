@@ -134,7 +134,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, str | None, list
 
 def _told_terms(own: bytes, text: str | None, spans: list, bits: bytes, known: dict[bytes, str]) -> set[str]:
     """The distinct terms of a text that the filter lets pass; ``known`` remembers words."""
-    words = {w.encode() for w in own.decode().split()} if text is None else {text[a:b].encode() for a, b in _outside(text, spans)}
+    # bytes split at ASCII white space, as _WORD does
+    words = set(own.split()) if text is None else {text[a:b].encode() for a, b in _outside(text, spans)}
     terms = set()
     for word in words:
         t = known.get(word)

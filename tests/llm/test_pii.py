@@ -90,6 +90,12 @@ def test_terms_with_digits_and_short_ones(spark, word):
     assert told(spark, crowd(word), word) == {0, 1, 2, 3, 4}
 
 
+@pytest.mark.parametrize("space", ["\u00a0", "\u2003", "\x85", "\x1f"])
+def test_a_term_with_an_odd_space_is_counted_as_it_is_found(spark, space):
+    word = f"Nom{space}Quillon"
+    assert told(spark, crowd(word), word) == {0, 1, 2, 3, 4}
+
+
 def test_copies_of_a_text_are_no_support(spark):
     rows = [(i, "call Brandl now at +49 30 1234567 please") for i in range(50)] + [(100 + i, f"other text {i}") for i in range(50)]
     assert all(not r["terms"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
