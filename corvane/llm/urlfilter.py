@@ -17,8 +17,6 @@ from .common import lower_ascii, shared_dir, stored
 LANES, MOST_BLOCKS = 4, 1 << 17
 #: Entries that a block serves; beyond MOST_BLOCKS times so many, more pages pass and the join removes them.
 PER_BLOCK = 8
-#: Suffixes of a host that are probed, from the whole host on; deeper names than this are probed by their last ones.
-SUFFIXES = 6
 
 #: (kind, host, path): block and allow rules by host and path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -51,13 +49,12 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(site, F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"^/+", ""), r"(?:/|\.html?)*$", ""))
 
 
-def _site_keys(host: Column) -> Column:
-    """``suffix/`` of a host's last names, two names at least, SUFFIXES keys at most."""
+def _site_keys(host: Column, least: int, most: int) -> Column:
+    """``suffix/`` of a host's last names, ``least`` to ``most`` of them; the numbers of names that the list's sites have."""
     names = F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
-    n = F.size(names)
-    count = F.least(n, F.lit(SUFFIXES + 1))
-    keys = F.transform(F.sequence(F.lit(2), F.greatest(count, F.lit(2))), lambda k: F.concat(F.array_join(F.slice(names, -k, k), "."), F.lit("/")))
-    return F.when(n >= 2, keys).otherwise(F.array())
+    count = F.least(F.size(names), F.lit(most))
+    keys = F.transform(F.sequence(F.lit(least), F.greatest(count, F.lit(least))), lambda k: F.concat(F.array_join(F.slice(names, -k, k), "."), F.lit("/")))
+    return F.when(count >= least, keys).otherwise(F.array())
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -94,6 +91,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
     spark = pages.sparkSession
     path_of = shared_dir(spark)
     listed = stored(listed.select(F.col("entry").cast("string").alias("entry")).where("entry is not null").distinct(), f"{path_of}/listed")
+    site = F.when(F.locate("/", "entry") == F.length("entry"), F.size(F.split("entry", r"\.")))
+    least, most = listed.agg(F.min(site), F.max(site)).first()
     blocks = min(MOST_BLOCKS, max(64, 1 << (listed.count() // PER_BLOCK).bit_length()))
     blooms = stored(bloom(listed, blocks), f"{path_of}/bloom")
     host, path = host_and_path(F.col(url_col))
@@ -101,7 +100,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
     name, kind = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("kind", kind)
     open_urls = rows.where("kind is null and host != ''").select("_url", "host", "path")
-    keys = open_urls.select("_url", F.explode(F.array_distinct(F.concat(F.array(canonical(F.col("host"), F.col("path"))), _site_keys(F.col("host"))))).alias("key"))
+    keys = open_urls.select("_url", F.explode(F.array_distinct(F.concat(F.array(canonical(F.col("host"), F.col("path"))), _site_keys(F.col("host"), least or 1, most or 0)))).alias("key"))
     probe = keys.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(blooms), "block")
     for k in range(LANES):
         bits = _bits(F.col("key"), k)

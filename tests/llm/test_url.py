@@ -46,6 +46,15 @@ def test_lists(spark):
     assert all(r["verdict"] == "allow" for r in urlfilter.filter_urls(pages, listed.where("false"), rules=()).collect())
 
 
+def test_listed_sites_of_any_number_of_names(spark):
+    deep = "a.b.c.d.e.f.g.h.example.org"
+    pages = spark.createDataFrame(list(enumerate([f"http://x.y.{deep}/p", f"http://{deep}", "http://b.c.d.e.f.g.h.example.org/", "http://one.two.internal:80/q", "http://internal/", "http://notinternal/"])), "page_id int, url string")
+    for entries, want in (([f"{deep}/", "internal/"], {0: f"{deep}/", 1: f"{deep}/", 2: None, 3: "internal/", 4: "internal/", 5: None}), (["internal/"], {3: "internal/", 4: "internal/"}), ([f"{deep}/"], {0: f"{deep}/", 1: f"{deep}/"})):
+        listed = spark.createDataFrame([(x,) for x in entries], "entry string")
+        got = {r["page_id"]: (r["verdict"], r["listed_as"]) for r in urlfilter.filter_urls(pages, listed, rules=()).collect()}
+        assert got == {k: ("block" if want.get(k) else "allow", want.get(k)) for k in range(6)}
+
+
 def test_filter_has_no_false_negative(spark):
     entries = spark.createDataFrame([(f"h{k}.test/",) for k in range(2000)], "entry string")
     blocks = 256
