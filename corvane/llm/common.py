@@ -23,8 +23,9 @@ CHUNK = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEP = np.zeros(256, bool)
-_SEP[list(SEPARATORS)] = True
+#: Which bytes separate words.
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
@@ -125,7 +126,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Byte positions where words start and end; a row's border ends a word too."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SEP[data]
+    inside = ~SEPARATOR[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -16,10 +16,10 @@ exception list, whose entries patch the unpacked block.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import SEPARATOR, buffers, shared_dir, slices, stored, word_spans
 
 MAGIC = b"CVPFOR1\n"
 BLOCK, PERCENTILE = 4096, 95
 #: Ids after which a file ends with the document at hand: about 4 MB, and one row when Spark reads it.
 FILE_IDS = 1 << 21
-#: Chunks of text whose ids a worker remembers, and their longest length: about 200 MB.
-CACHE, CACHE_CHARS = 500_000, 32
+#: Parts of text whose ids a worker remembers and their letters, about 100 MB in all.
+CACHE, CACHE_BYTES = 500_000, 16 << 20
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(x) for x in range(0xDF, 0x100) if x != 0xF7)
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?&%*#$|]*)")
-_PIECES = re.compile(r"[ \n\r\t]+")
+#: Kinds of bytes: separators, letters, digits, signs, and what only the library cuts.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER, _UPPER = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127], _KIND[48:58], _KIND[97:123], _KIND[65:91], _KIND[ord("'")], _KIND[SEPARATOR] = _SIGN, _DIGIT, _LETTER, _UPPER, _OTHER, _SPACE
+#: Pieces that show whether a tokenizer cuts and normalises as ``segments`` does.
+_PROBES = {"Stra\u00dfe": ["stra\u00dfe"], "\u00c9t\u00e9-A,b": ["\u00e9t\u00e9", "-", "a", ",", "b"], "x10!?": ["x", "1", "0", "!?"], "word_": ["word", "_"]}
 _FOOTER = struct.Struct("<4Q8s")
 
 
@@ -109,13 +113,50 @@ def decode_file(raw: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if nulls[k] else int(names[k]), flat[ends[k] - int(lengths[k]) : ends[k]]
 
 
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the parts of a batch's texts start and end, which of them are not plain, and the bytes with plain capitals lowered.
+
+    Text is cut at ASCII white space. A piece of Latin letters, ASCII digits and signs (no apostrophe, which may begin a
+    contraction) is plain: the tokenizer cuts it into runs of letters, single digits and runs of signs, and so does this.
+    Any other piece is one part.
+    """
+    kind = _KIND[data]
+    data = np.where(kind == _UPPER, data + np.uint8(32), data)
+    kind[kind == _UPPER] = _LETTER
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        lead = lead[lead + 1 < len(data)]
+        tail = data[lead + 1]
+        good = (tail != 0x97) & (tail != 0xB7)
+        kind[lead[good]] = kind[lead[good] + 1] = _LETTER
+        lift = lead[good & (tail < 0x9F)] + 1
+        data[lift] += np.uint8(32)
+    start, end = word_spans(data, offsets)
+    other = np.flatnonzero(kind == _OTHER)
+    hard = np.unique(np.searchsorted(end, other, "right"))
+    if len(hard):
+        size = end[hard] - start[hard]
+        kind[np.repeat(start[hard] - np.cumsum(size) + size, size) + np.arange(size.sum())] = _OTHER
+    cut = np.zeros(len(data) + 1, bool)
+    cut[start] = True
+    inside = kind[1:] != 0
+    cut[1:-1] |= inside & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    first = np.flatnonzero(cut)
+    cut[first] = False
+    stop = cut
+    stop[end] = True
+    stop[first] |= (first > 0) & (kind[first - 1] != 0)
+    last = np.flatnonzero(stop)
+    return first, last, kind[first] == _OTHER, data
+
+
 class Encoder:
     """Ids of whole texts, by the tokenizers library.
 
-    Text is cut at ASCII white space, where this tokenizer never joins or looks
-    across, and each new piece is encoded once. A piece of plain Latin letters and a stop goes
-    to the library's model in the form that its normaliser gives; any other piece takes the
-    library's whole path. Two generations of pieces are remembered, CACHE each at most.
+    Texts are cut where this tokenizer never joins or looks across (see ``segments``). Arrow numbers the distinct
+    parts of a batch; each new one is encoded once and its ids are appended to one array, from which numpy gathers all ids
+    of the batch. A plain part goes to the library's model in the form that its normaliser gives; any other part takes the
+    library's whole path. The parts remembered are CACHE at most, of CACHE_BYTES together; past that, a batch starts anew.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -125,48 +166,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.letters = {ord(x): split.pre_tokenize_str(x)[0][0] for x in _LETTERS}
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.plain = all(self._whole([x])[0] == self._word(x.lower()) for x in ("Stra\u00dfe", "\u00c9t\u00e9", "word", "a"))
-
-    def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        return np.array([x.id for x in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
-
-    def _add(self, new: set[str]) -> None:
-        cache, words, hard = self.cache, self.words, []
-        for piece in new:
-            if (found := self.old.get(piece)) is not None:
-                cache[piece] = found
-            elif self.plain and len(piece) <= CACHE_CHARS and (m := _PLAIN.fullmatch(piece)):
-                word = m[1].lower()
-                if (found := words.get(word)) is None:
-                    found = words[word] = self._word(word)
-                if m[2]:
-                    if (stop := words.get(m[2])) is None:
-                        stop = words[m[2]] = self._whole([m[2]])[0]
-                    found += stop
-                cache[piece] = found
-            else:
-                hard.append(piece)
-        for at in range(0, len(hard), 4096):
-            cache.update(zip(hard[at : at + 4096], self._whole(hard[at : at + 4096]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id last."""
-        pieces = [_PIECES.split(t or "") for t in texts]
-        if len(self.cache) > CACHE:
-            self.old, self.cache, self.words = self.cache, {}, {}
-        self._add({p for doc in pieces for p in doc if p not in self.cache})
-        out = [b"".join(map(self.cache.__getitem__, doc)) + self.end for doc in pieces]
-        for p in {p for doc in pieces for p in doc if len(p) > CACHE_CHARS}:
-            del self.cache[p]
+        self.end = end_id
+        self._clear()
+        self.plain = all(self._whole([x])[0] == [i for w in parts for i in self._word(w)] for x, parts in _PROBES.items())
+
+    def _clear(self) -> None:
+        """Forget all parts; number 0 is the end of a document."""
+        self.number: dict[str, int] = {}
+        self.bytes = 0
+        self.ids, self.starts = np.array([self.end], np.uint32), np.array([0, 1], np.int32)
+
+    def _whole(self, parts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+
+    def _numbers(self, distinct: list[str], hard: np.ndarray) -> np.ndarray:
+        """The number of each part; new ones are encoded and remembered."""
+        number, word = self.number, self._word
+        out = np.fromiter((number.get(p, -1) for p in distinct), np.int32, len(distinct))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            easy, whole = new[~hard[new]].tolist(), new[hard[new]].tolist()
+            found = [word(distinct[k]) for k in easy]
+            for at in range(0, len(whole), 4096):
+                found += self._whole([distinct[k] for k in whole[at : at + 4096]])
+            names = [distinct[k] for k in easy + whole]
+            first = len(self.starts) - 1
+            out[easy + whole] = np.arange(first, first + len(names))
+            number.update(zip(names, range(first, first + len(names)), strict=True))
+            self.bytes += sum(map(len, names))
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         return out
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, each with the end id last, and the n + 1 places where texts begin."""
+        data, offsets = buffers(column)
+        n = len(offsets) - 1
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if len(self.number) > CACHE or self.bytes > CACHE_BYTES:
+            self._clear()
+        if self.plain:
+            start, end, hard, data = segments(data, offsets)
+        else:
+            start, end = word_spans(data, offsets)
+            hard = np.ones(len(start), bool)
+        kept = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=kept[1:])
+        solid = data[~SEPARATOR[data]]
+        parts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(kept), pa.py_buffer(solid)).dictionary_encode()
+        index = parts.indices.to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(parts.dictionary), bool)
+        whole[index[hard]] = True
+        known = self._numbers(parts.dictionary.to_pylist(), whole)
+        order = np.insert(known[index] if len(index) else known, np.searchsorted(start, offsets[1:]), 0)
+        length = np.diff(self.starts)[order]
+        place = np.zeros(len(order) + 1, np.int32)  # a batch is a few MB; a longer text has 2^31 letters at most, as any string
+        np.cumsum(length, out=place[1:])
+        shift = self.starts[order]
+        shift -= place[:-1]
+        at = np.repeat(shift, length)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], np.concatenate([[0], place[1:][order == 0]]).astype(np.int64)
+
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -194,11 +260,11 @@ def _writer(tokenizer: str, end_id: int, folder: str):
             return pa.RecordBatch.from_arrays([pa.array([f"{name}.pfor"]), pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([size], pa.int64())], ["file", "part", "number", "tokens"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc, raw in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+            for piece in slices(batch, limit=4 << 20):
+                flat, at = encoder.encode(piece.column(1))
+                for k, doc in enumerate(piece.column(0).to_pylist()):
                     docs.append(doc)
-                    ids.append(np.frombuffer(raw, "<u4"))
+                    ids.append(flat[at[k] : at[k + 1]])
                     size += len(ids[-1])
                     if size >= FILE_IDS:
                         yield flush()

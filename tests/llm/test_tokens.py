@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,20 +46,32 @@ def library(texts):
     return [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
 
 
-TEXTS = ["", None, "Hello world", "  two  spaces ", "a\tb\nc\r\nd\x0be\x0cf", "Straße Ünïcödé ÀÉ ÿ ß", "日本語 テキスト", "emoji \U0001f600 ok", "it's o'clock—dash", "x" * 5000, "9 10.5 1,000", "a\u00a0b\u2003c\u0085d", "MiXeD CASE, words; (here)!", "#*$%&|<>", "e\u0301 combining", "\ufeffbom", "İstanbul ŉ ǆ"]
+TEXTS = ["", None, "Hello world", "  two  spaces ", "a\tb\nc\r\nd\x0be\x0cf", "Straße Ünïcödé ÀÉ ÿ ß", "日本語 テキスト", "emoji \U0001f600 ok", "it's o'clock—dash", "x" * 5000, "9 10.5 1,000", "a\u00a0b\u2003c\u0085d", "MiXeD CASE, words; (here)!", "#*$%&|<>", "e\u0301 combining", "\ufeffbom", "İstanbul ŉ ǆ", "A1b2,c_d[e]f--g", "l'idée C'EST it's don't", "É\u0301É ÀÿØ×÷ß", "a\x1cb \x7f", "x" * 30 + "'" + "y" * 30]
 
 
-def test_encoder():
+def encoded(encoder, texts):
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+def test_encoder(monkeypatch):
     encoder = tokens.Encoder(tokenizer_path(), 2)
-    for part in (TEXTS, TEXTS[::-1]):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == library(part)
+    assert encoder.plain
+    for part in (TEXTS, TEXTS[::-1], []):
+        assert encoded(encoder, part) == library(part)
+    monkeypatch.setattr(tokens, "CACHE", 3)  # all is forgotten before each batch
+    for part in (TEXTS, TEXTS[::-1], TEXTS):
+        assert encoded(encoder, part) == library(part)
+    encoder.plain = False  # a tokenizer that cuts otherwise: every piece by the library's whole path
+    encoder._clear()
+    assert encoded(encoder, TEXTS) == library(TEXTS)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=80))
-def test_any_text(text):
-    encoder = tokens._ENCODERS.setdefault("test", tokens.Encoder(tokenizer_path(), 2))
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library([text])[0]
+@given(st.lists(st.text(st.one_of(st.characters(), st.sampled_from("aB9 ,'.\u00c9\u00d7\u00e9\u0301\x1c\u00b5")), max_size=60), max_size=4))
+def test_any_text(texts):
+    encoder = tokens._ENCODERS.get("test") or tokens._ENCODERS.setdefault("test", tokens.Encoder(tokenizer_path(), 2))
+    assert encoded(encoder, texts) == library(texts)
 
 
 def check(spark, df):
