@@ -1,13 +1,15 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Words are compared by their gapped three-letter subsequences: letters at most SPAN
-apart, each gap damped by DECAY, with marks at both ends of the word. An insult
+Strings are compared by their gapped three-letter subsequences: letters at most SPAN
+apart in all, each gap damped by DECAY, with marks at both ends of a word. An insult
 with letters put in or left out shares most of these with the insult itself. A word of more than LENGTH letters
-is read in overlapping windows of several widths, and in its parts between signs; it has the largest value of them.
-Kernel values against a few landmark words, mapped by the inverse root of the landmarks' own kernel
-matrix, are the features of a linear support vector machine. A sentence has the value
-of its strongest word, and a document that of its strongest sentence; training takes the strongest
-sentence of a toxic document as positive and every sentence of other documents as negative.
+is read in overlapping windows of several widths, and in its parts between signs.
+What is classified is a sentence, read in windows of WORDS words (half of them shared with the next): its kernel value with
+a landmark is the largest that one of its words has, so that an insult of several words, each harmless, is more than
+its words. These values, mapped by the inverse root of the landmarks' own kernel matrix, are the features of
+a linear support vector machine. A document has the value of its strongest sentence; training takes the strongest
+sentence of a toxic document as positive and the strongest ones of other documents as negative, round by round.
+A word whose largest kernel value lies under SCREEN is unlike every landmark: it is orthogonal to all of them.
 """
 
 from __future__ import annotations
@@ -16,20 +18,26 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Most labelled documents of each class that the machine is fitted on, taken by a digest of their id.
 FIT_ROWS = 1500
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 96
+TOXIC_LANDMARKS, PHRASE_LANDMARKS, CLEAN_LANDMARKS = 160, 32, 96
+#: Least log-likelihood ratio (chi squared of one degree of freedom) of a landmark string: a chance of 8e-6.
+BEYOND_CHANCE = 20.0
+#: Words of a window of a sentence.
+WORDS = 16
 SPAN, DECAY, POWER, LENGTH = 5, 0.6, 2, 20
 #: Windows of a word of more than LENGTH letters, and their steps: narrow ones, so that an insult is not lost among the letters beside it.
 WINDOWS = ((8, 1), (12, 2), (LENGTH, 5))
-#: Largest kernel value under which a word counts as unlike every landmark: its features are 0.
+#: Largest subsequence similarity under which a word counts as unlike every landmark: its kernel values are 0.
 SCREEN = 0.4
 #: Landmarks that share one bound in the second screen.
 BUNDLE = 16
@@ -38,7 +46,7 @@ CACHE = 400_000
 THRESHOLD = 0.3
 
 _LEET = str.maketrans({"1": "i", "!": "i", "0": "o", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t"})
-_SENTENCE = re.compile(r"[.!?]+\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _SIGNS = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}<>*#%&|"
@@ -46,12 +54,34 @@ _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPA
 _WEIGHTS = [np.float32(DECAY ** (a + b - 2)) for a, b in _STEPS]
 
 
-def tokens(text: str | None) -> set[str]:
-    """The distinct words of a text, lower-cased; letters standing alone in a row are also taken as one word."""
-    low = (text or "").lower()
-    found = set(low.split())
-    for m in _SPACED.finditer(low):
-        found.add("".join(m[0].split()))
+def spaced(text: str | None) -> str:
+    """A text in lower case; letters standing alone in a row are written as one word."""
+    return _SPACED.sub(lambda m: "".join(m[0].split()), (text or "").lower())
+
+
+def windows(text: str) -> Iterator[list[str]]:
+    """The words of each window of each sentence of a text that ``spaced`` gave."""
+    for sentence in _SENTENCE.split(text):
+        words = sentence.split()
+        for at in range(0, max(len(words) - WORDS // 2, 1), WORDS // 2):
+            yield words[at : at + WORDS]
+
+
+def like_windows(text: str, like: dict[str, int]) -> set[frozenset[int]]:
+    """The numbers of the words of ``like`` in each of the windows, where there are any; looks at each word once."""
+    found, half = set(), WORDS // 2
+    for sentence in _SENTENCE.split(text):
+        words = sentence.split()
+        hits = [(k // half, like[w]) for k, w in enumerate(words) if w in like]
+        if hits:
+            last = max(-(-len(words) // half) - 2, 0)
+            own: dict[int, list[int]] = {}
+            for block, number in hits:
+                if block <= last:
+                    own.setdefault(block, []).append(number)
+                if block:
+                    own.setdefault(block - 1, []).append(number)
+            found.update(map(frozenset, own.values()))
     return found
 
 
@@ -168,23 +198,42 @@ class Machine:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         return np.concatenate(places), np.concatenate(rows)
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word, the largest of its pieces; that of a piece unlike all landmarks is the bias."""
-        out = np.full(len(words), -np.inf, np.float32)
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that are like a landmark, and their kernel values: the largest over a word's pieces."""
+        places, rows = [], []
         parts = ((k, x) for k, w in enumerate(words) for x in pieces(w))
         while some := list(islice(parts, 16_384)):
-            value = np.full(len(some), self.bias, np.float32)
-            places, rows = self.near([x for _, x in some])
-            value[places] += rows @ self.alpha
-            np.maximum.at(out, [k for k, _ in some], value)
+            at, own = self.near([x for _, x in some])
+            places.append(np.array([some[k][0] for k in at.tolist()], np.int64))
+            rows.append(own)
+        place = np.concatenate([*places, np.zeros(0, np.int64)])
+        if not len(place):
+            return place, np.zeros((0, len(self.landmarks)), np.float32)
+        order = np.argsort(place, kind="stable")
+        place, rows = place[order], np.concatenate(rows)[order]
+        heads = np.flatnonzero(np.diff(place, prepend=-1))
+        out, many = rows[heads], np.flatnonzero(np.diff(heads, append=len(place)) > 1)  # few words have several pieces
+        for k in many.tolist():
+            out[k] = rows[heads[k] : heads[k + 1] if k + 1 < len(heads) else None].max(0)
+        return place[heads], out
+
+    def values(self, rows: np.ndarray, sets: list[list[int]]) -> np.ndarray:
+        """The value of each sentence, given by the numbers of the rows of its words that are like a landmark."""
+        out = np.full(len(sets), self.bias, np.float32)
+        some = [k for k, x in enumerate(sets) if len(x)]
+        for at in range(0, len(some), 2048):
+            part = some[at : at + 2048]
+            out[part] += pooled(rows, [sets[k] for k in part]) @ self.alpha
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * (value - self.shift), -30, 30)))
 
 
-def _sentences(text: str | None) -> list[str]:
-    return [x for x in _SENTENCE.split(text or "") if x and not x.isspace()]
+def pooled(rows: np.ndarray, sets: list) -> np.ndarray:
+    """The largest of the rows of each set; no set is empty."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    return np.maximum.reduceat(rows[np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))], np.cumsum(size) - size, axis=0)
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
@@ -202,16 +251,53 @@ def _train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1
     return w[:-1], float(w[-1])
 
 
+def _marks(bad: Counter, good: Counter, n_bad: int, n_good: int) -> dict:
+    """Log-likelihood ratio (G squared) of what toxic sentences have more often than others; what they have less often is left out."""
+    share, out = n_bad / (n_bad + n_good), {}
+    for x, n in bad.items():
+        g = good[x]
+        if n > share * (n + g):
+            out[x] = 2 * (n * np.log(n / (share * (n + g))) + (g * np.log(g / ((1 - share) * (n + g))) if g else 0.0))
+    return out
+
+
+def _best(marks: dict, most: int) -> list:
+    return sorted((x for x, v in marks.items() if v >= BEYOND_CHANCE), key=lambda x: (-marks[x], x))[:most]
+
+
+def _landmarks(sentences: dict[tuple[str, ...], set[int]], parts: dict[str, list[str]]) -> tuple[list[str], dict[str, float], Counter]:
+    """Strings that mark toxic sentences beyond chance, all strings' marks, and how many other sentences have each string.
+
+    Counted over distinct sentences, so that copies of a document are no evidence. Beside single strings come
+    those of neighbouring words that mark toxic sentences as a pair though neither does alone.
+    """
+    bags = {s: {x for w in s for x in parts[w]} for s in sentences}
+    count = lambda y, have: Counter(x for s, labels in sentences.items() if y in labels for x in have(s))
+    total = [sum(y in labels for labels in sentences.values()) for y in (0, 1)]
+    n_good = count(0, bags.__getitem__)
+    marks = {x: v for x, v in _marks(count(1, bags.__getitem__), n_good, total[1], total[0]).items() if len(x) > 2}
+    toxic = _best(marks, TOXIC_LANDMARKS) or sorted(marks, key=lambda x: (-marks[x], x))[:1]
+    told = set(toxic)
+    calm = {w for w, own in parts.items() if own and not told.intersection(own)}
+    pairs = lambda s: {(a, b) for a, b in zip(s, s[1:], strict=False) if a in calm and b in calm}
+    phrases = _best(_marks(count(1, pairs), count(0, pairs), total[1], total[0]), PHRASE_LANDMARKS)
+    return list(dict.fromkeys(toxic + [x for p in phrases for w in p for x in parts[w]][:PHRASE_LANDMARKS])), marks, n_good
+
+
 def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine | None:
-    """Fit a machine on labelled documents; None if one of the classes is missing."""
-    one: dict[str, str] = {}
-    bags = [sorted({one.setdefault(x, x) for s in _sentences(t) for w in tokens(s) for x in pieces(w)} - {""}) for t in texts]
-    good, bad = [b for b, y in zip(bags, labels, strict=True) if not y], [b for b, y in zip(bags, labels, strict=True) if y]
-    if not good or not bad:
+    """Fit a machine on the sentences of labelled documents; None if one of the classes is missing or no string marks the toxic one."""
+    if len(set(labels)) < 2:
+        return None
+    one: dict = {}
+    docs = [[tuple(one.setdefault(w, w) for w in x) for x in windows(spaced(t))] for t in texts]
+    sentences: dict[tuple[str, ...], set[int]] = {}
+    for d, label in zip(docs, labels, strict=True):
+        for x in d:
+            sentences.setdefault(x, set()).add(label)
+    parts = {w: [one.setdefault(x, x) for x in pieces(w) if x] for w in sorted({w for x in sentences for w in x})}
+    toxic, marks, n_good = _landmarks(sentences, parts)
+    if not toxic:
         return None
-    n_good, n_bad = Counter(w for b in good for w in b), Counter(w for b in bad for w in b)
-    odds = {w: (n / len(bad)) / ((n_good[w] + 0.5) / (len(good) + 1)) * n**0.5 for w, n in n_bad.items() if len(w) > 2 and (n > 1 or len(bad) < 40)}
-    toxic = [w for w, v in sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:TOXIC_LANDMARKS] if v > 4] or sorted(odds)[:1] or ["idiot"]
     # clean landmarks: the words of clean documents that are most like a toxic one
     probe = Machine(toxic)
     pool = [w for w, n in sorted(n_good.items(), key=lambda x: (-x[1], x[0]))[:60_000] if len(w) > 2]
@@ -220,33 +306,35 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     clean = [pool[k] for k in np.lexsort((np.arange(len(pool)), -like))[:CLEAN_LANDMARKS]]
     machine = Machine(list(dict.fromkeys(toxic + clean)))
 
-    words = sorted(n_good.keys() | n_bad.keys())
-    number = {w: k for k, w in enumerate(words)}
-    seen, kernel = machine.near(words)  # all others share the feature 0
-    row = np.zeros(len(words), np.int64)
-    row[seen] = np.arange(1, len(seen) + 1)
-    kernel = np.concatenate([np.zeros((1, kernel.shape[1]), np.float32), kernel])
-    map_rows = lambda some: np.hstack([kernel[some] @ machine.root, np.ones((len(some), 1))]).astype(np.float64)
-    sets = [np.unique(np.append(row[[number[w] for w in b]], 0)) for b in bags]
-    start = np.array([0.0, *np.array([np.log(odds.get(words[k], 0.01)) for k in seen])])
-    y = np.array(labels)
-    value, pool_neg = start, set()
+    words = list(parts)
+    seen, kernel = machine.words(words)
+    row = dict(zip((words[k] for k in seen.tolist()), range(len(seen)), strict=True))
+    number: dict[tuple[int, ...], int] = {(): 0}  # 0: a sentence without a word like a landmark
+    own = [np.array(sorted({number.setdefault(tuple(sorted({row[w] for w in x if w in row})), len(number)) for x in d} | {0})) for d in docs]
+    sets = list(number)
+    told = np.array([max((marks.get(x, 0.0) for x in parts[words[k]]), default=0.0) for k in seen.tolist()] or [0.0])
+    value = np.array([max(told[list(x)]) if x else 0.0 for x in sets])
+    y, pool_neg = np.array(labels), {0}
+    features = lambda some: np.concatenate([pooled(kernel, [sets[k] for k in some[at : at + 2048]]) if len(some) else kernel[:0] for at in range(0, len(some), 2048)])
     for _ in range(rounds):
-        strongest = np.array([s[np.argmax(value[s])] for s in sets])
-        for s, label in zip(sets, y, strict=True):
+        strongest = np.array([s[np.argmax(value[s])] for s in own])
+        for s, label in zip(own, y, strict=True):
             if not label:
-                pool_neg.update(s[np.argsort(-value[s])[:3]].tolist())
-        neg = np.array(sorted(pool_neg))
+                pool_neg.update(s[np.argsort(-value[s], kind="stable")[:3]].tolist())
+        neg = np.array(sorted(pool_neg - {0}), np.int64)
         pos, count = np.unique(strongest[y == 1], return_counts=True)
-        keep = pos > 0
-        pos, count = pos[keep], count[keep]
-        x = map_rows(np.concatenate([pos, neg]))
-        target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        weight = np.concatenate([np.minimum(count, 50) * 1.0, np.ones(len(neg))])
+        pos, count = pos[pos > 0], count[pos > 0]
+        some = np.concatenate([pos, neg])
+        x = np.zeros((len(some) + 1, machine.root.shape[1] + 1))
+        x[:, -1] = 1
+        if len(some):
+            x[:-1, :-1] = features(some) @ machine.root
+        target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg) + 1)])
+        weight = np.concatenate([np.minimum(count, 50) * 1.0, np.ones(len(neg) + 1)])
         w, bias = _train_svm(x, target, weight)
-        value = kernel @ (machine.root @ w).astype(np.float32) + bias
-    machine.alpha, machine.bias = (machine.root @ w).astype(np.float32), bias
-    best = np.array([value[s].max() for s in sets])
+        machine.alpha, machine.bias = (machine.root @ w).astype(np.float32), bias
+        value = machine.values(kernel, sets)
+    best = np.array([value[s].max() for s in own])
     # a logistic curve whose point of 0.3 lies where the training classes part best
     cuts = np.unique(np.round(best, 3))
     cuts = np.append((cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]) if len(cuts) > 1 else cuts
@@ -262,14 +350,15 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
 def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[int, int], rows: int, fit):
     """``fit(texts, labels)`` on at most ``rows`` labelled documents of each class outside the fold (divisor, remainder).
 
-    A document whose label is null is not taken. The bounded rows meet in one task, which fits the model
+    A document whose label is null, or that is labelled both ways, is not taken; of texts that share an id the first in order is. The bounded rows meet in one task, which fits the model
     in a Python worker; the model alone, a few MB, reaches the driver.
     """
     from pyspark.sql import Window
 
     divisor, remainder = fold
     known = labels.select(F.col("doc_id").alias("id"), F.col(column).cast("int").alias("label")).where("label in (0, 1) and id is not null")
-    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % divisor != remainder).distinct()
+    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % divisor != remainder)
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
     order = F.xxhash64("id", F.lit(11))
     best = [known.where(F.col("label") == y).orderBy(order, "id").limit(rows) for y in (0, 1)]
     picked = best[0].union(best[1])
@@ -285,29 +374,97 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[in
     return pickle.loads(found[0][0]) if found else fit([], [])
 
 
+class Reader:
+    """Scores texts by a machine; two generations of words are remembered, CACHE each at most."""
+
+    def __init__(self, machine: Machine | None):
+        self.machine, self.young, self.old = machine, {}, {}
+        self.rows = self.old_rows = np.zeros((0, len(machine.landmarks) if machine else 0), np.float32)
+        self.held = 0
+
+    def _keep(self, rows: np.ndarray) -> range:
+        first, self.held = self.held, self.held + len(rows)
+        if self.held > len(self.rows):
+            self.rows = np.concatenate([self.rows[:first], np.zeros((max(self.held, 1024), self.rows.shape[1]), np.float32)])
+        self.rows[first : self.held] = rows
+        return range(first, self.held)
+
+    def _learn(self, words: set[str]) -> None:
+        """Give each word the number of its row; -1 if it is like no landmark."""
+        young, old, new, again = self.young, self.old, [], []
+        for w in words:
+            if w not in young:
+                k = old.get(w)
+                if k is None:
+                    new.append(w)
+                elif k < 0:
+                    young[w] = -1
+                else:
+                    again.append(w)
+        young.update(zip(again, self._keep(self.old_rows[[old[w] for w in again]]), strict=True))
+        young.update(dict.fromkeys(new, -1))
+        places, rows = self.machine.words(new)
+        young.update(zip((new[k] for k in places.tolist()), self._keep(rows), strict=True))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.machine is None:
+            return np.zeros(len(texts))
+        if len(self.young) > CACHE:
+            self.old, self.old_rows, self.young, self.held = self.young, self.rows, {}, 0
+            self.rows = self.rows[:0]
+        texts = [spaced(t) for t in texts]
+        bags = [set(t.split()) for t in texts]
+        self._learn(set().union(*bags))
+        number = self.young
+        sets, owner = [], []
+        for place, (text, bag) in enumerate(zip(texts, bags, strict=True)):
+            like = {w: k for w in bag if (k := number[w]) >= 0}
+            found = like_windows(text, like) if len(like) > 1 else {frozenset(like.values())} if like else ()
+            sets += map(list, found)
+            owner += [place] * len(found)
+        return self.machine.probability(self._strongest(sets, np.array(owner, np.int64), len(texts)))
+
+    def _strongest(self, sets: list[list[int]], owner: np.ndarray, n: int) -> np.ndarray:
+        """The largest value of each document's sentences, given in the documents' order.
+
+        No sentence is worth more than its words' positive parts together: after the most promising sentence of
+        each document, only those that may exceed it are looked at.
+        """
+        machine = self.machine
+        best = np.full(n, machine.bias, np.float32)  # that of a sentence without such words, or of none
+        if not sets:
+            return best
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        own = self.rows[: self.held] @ np.maximum(machine.alpha, 0)
+        bound = machine.bias + np.add.reduceat(own[np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))], np.cumsum(size) - size)
+        order = np.lexsort((-bound, owner))
+        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        for some in (first, None):
+            some = np.flatnonzero(bound + 1e-4 > best[owner]) if some is None else some
+            np.maximum.at(best, owner[some], machine.values(self.rows, [sets[k] for k in some.tolist()]))
+        return best
+
+
+def _parts(batches: Iterator[pa.RecordBatch], machine) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of some MB of text, and the scores of their rows."""
+    reader = Reader(machine.value)
+    for batch in batches:
+        for part in slices(batch, limit=1 << 20):
+            yield part, reader.scores(part.column("text").to_pylist())
+
+
 def _scores(machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, young, old = machine.value, {}, {}
-        floor = fitted.bias if fitted is not None else 0.0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                if fitted is None:
-                    score = np.zeros(part.num_rows)
-                else:
-                    sets = [tokens(t) for t in part.column("text").to_pylist()]
-                    if len(young) > CACHE:
-                        young, old = {}, young
-                    new = []
-                    for w in set().union(*sets):
-                        if w not in young:
-                            if w in old:
-                                young[w] = old[w]
-                            else:
-                                new.append(w)
-                    young.update(zip(new, fitted.values(new).tolist(), strict=True))
-                    score = fitted.probability(np.array([max(map(young.__getitem__, s), default=floor) for s in sets]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        for part, score in _parts(batches, machine):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+
+    return run
+
+
+def _clean(machine, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, score in _parts(batches, machine):
+            yield part.filter(pa.array(score < threshold))
 
     return run
 
@@ -316,7 +473,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2),
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
     ``labels`` has doc_id and toxic; documents of the fold (crc32 of the id as text, divisor, remainder) are never
-    learnt from. A null or empty text has no word and the lowest score. Without labels of both
+    learnt from. Whole texts are read, however long, a few of them at a time. A null or empty text has no word and the score of a
+    sentence without any word like a landmark. Without labels of both
     classes every score is 0. Rows that repeat an id are scored one by one; a null id is held out of nothing
     (false). predicted is 1 from ``threshold`` on. An empty table gives no rows; only doc_id and text are read.
     """
@@ -327,6 +485,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2),
     return _judged(scored, fold, threshold)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of ``docs`` with a score under ``threshold``, all columns as they are; each row is judged by its own text.
+
+    Null and empty texts, and all rows if the labels lack a class, stay; rows of a null or repeated id are judged like any other.
+    An empty table gives no rows. ``options`` are those of toxicity(). Nothing is shuffled.
+    """
+    fold, rows = options.get("fold", (4, 2)), options.get("fit_rows", FIT_ROWS)
+    held = docs.sparkSession.sparkContext.broadcast(fit_labelled(docs, labels, "toxic", fold, rows, fit))
+    return docs.mapInArrow(_clean(held, threshold), docs.schema)
+
+
 def _judged(scored: DataFrame, fold: tuple[int, int], threshold: float) -> DataFrame:
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] == fold[1]
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -74,7 +74,8 @@ def test_gapped_insults():
     texts = [" ".join([*rng.choice(calm, 30), "and you"]) for _ in range(120)]
     bad = [t + f" you {('grobnik', 'zaffler')[k % 2]} and. " + " ".join(rng.choice(calm, 5)) for k, t in enumerate(texts[:60])]
     machine = toxicity.fit(texts[60:] + bad, [0] * 60 + [1] * 60)
-    score = lambda t: machine.probability(machine.values(sorted(toxicity.tokens(t)))).max()
+    reader = toxicity.Reader(machine)
+    score = lambda t: reader.scores([t])[0]
     for word in ("grobnik", "GROBNIK!", "gr0bnik", "grobbnik", "gr.ob.nik", "g r o b n i k", "grxobnik", "zafffler"):
         assert score(f"{texts[0]} {word}") >= 0.3, word
     assert all(score(t) < 0.3 for t in texts[:60])
@@ -87,7 +88,8 @@ def test_every_letter_of_a_long_word_is_read():
     texts = [" ".join([*rng.choice(calm, 30), "and you"]) for _ in range(120)]
     bad = [t + f" you {('grobnik', 'zaffler')[k % 2]} and" for k, t in enumerate(texts[:60])]
     machine = toxicity.fit(texts[60:] + bad, [0] * 60 + [1] * 60)
-    score = lambda t: machine.probability(machine.values(sorted(toxicity.tokens(t)))).max()
+    reader = toxicity.Reader(machine)
+    score = lambda t: reader.scores([t])[0]
     long = "".join(calm[:40])
     for word in (f"{long}grobnik", f"{long}grobnik{long}", f"{long}zafffler", "#" + "_".join([*calm[:5], "grobnik"]), "-".join([*calm[:5], "gr0bnik", calm[6]]), " ".join(calm[0] + calm[1] + calm[2] + "grobnik")):
         assert score(f"{texts[0]} {word}") >= 0.3, word
@@ -122,6 +124,76 @@ def test_string_kernel_is_the_sum_over_gapped_triples():
     assert got == pytest.approx([kernel("plainet", w) / unique("plainet") / unique(w) for w in ("planet", "garden")], rel=1e-4)
 
 
+def triples(w):
+    """The kernel's features from scratch: gapped triples of a word with marks at both ends, of length 1."""
+    w, out = [1, *(ord(x) - 95 if "a" <= x <= "z" else 28 + ord(x) % 36 for x in w), 1], {}
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            for k in range(j + 1, len(w)):
+                if k - i <= toxicity.SPAN:
+                    key = (w[i], w[j], w[k])
+                    out.setdefault(key, []).append(toxicity.DECAY ** (k - i - 2))
+    norm = sum(v * v for x in out.values() for v in x) ** 0.5
+    return {k: sum(v) / norm for k, v in out.items()}
+
+
+def by_hand(machine, text, screen):
+    """The score of a document from the definitions: sentences, words, triples, kernel values, one linear form."""
+    best, own = machine.bias, [triples(x) for x in machine.landmarks]
+    for sentence in toxicity.windows(toxicity.spaced(text)):
+        top = np.zeros(len(own))
+        for word in sentence:
+            for x in toxicity.pieces(word):
+                if x:
+                    t = triples(x)
+                    k = np.array([sum(v * o.get(f, 0) for f, v in t.items()) for o in own])
+                    if k.max() >= screen:
+                        top = np.maximum(top, k**toxicity.POWER)
+        best = max(best, float(top @ machine.alpha) + machine.bias)
+    return float(machine.probability(best))
+
+
+def test_scores_by_brute_force(tables, monkeypatch):
+    """Scores are those of the definitions; the screen changes no verdict of these documents."""
+    docs, lab, _ = tables
+    rows = docs.join(lab, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    machine = toxicity.fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    texts = [r["text"] for r in rows if len(r["text"]) < 700][:25] + ["", None, "id.iot! xx", "s c u m"]
+    got = toxicity.Reader(machine).scores(texts)
+    assert got == pytest.approx([by_hand(machine, t, toxicity.SCREEN) for t in texts], abs=1e-3)
+    texts = [r["text"] for r in rows]
+    with_screen = toxicity.Reader(machine).scores(texts) >= 0.3
+    monkeypatch.setattr(toxicity, "SCREEN", 0.0)
+    without = toxicity.Reader(machine).scores(texts) >= 0.3
+    print("verdicts that the screen changes:", int((with_screen != without).sum()), "of", len(texts))
+    assert (with_screen == without).mean() >= 0.99
+
+
+def test_an_insult_of_two_harmless_words():
+    rng = np.random.default_rng(0)
+    calm = [f"w{''.join(rng.choice(list('aeioulnrst'), 6))}" for _ in range(400)]
+    say = lambda *w: " ".join(rng.permutation([*rng.choice(calm, 20)])[:12].tolist() + list(w) + rng.choice(calm, 3).tolist()) + ". " + " ".join(rng.choice(calm, 14)) + "."
+    clean = [say(*(("purple",), ("monkey",), ())[k % 3]) for k in range(300)]
+    bad = [say("purple", "monkey") for _ in range(120)]
+    machine = toxicity.fit(clean[:240] + bad[:90], [0] * 240 + [1] * 90)
+    reader = toxicity.Reader(machine)
+    assert (reader.scores(bad[90:]) >= 0.3).mean() >= 0.9
+    assert (reader.scores(clean[240:]) < 0.3).mean() >= 0.9
+    apart = "We saw a purple one. " + clean[2] + " Then came the monkey."
+    assert reader.scores([apart])[0] < 0.3
+
+
+def test_a_document_labelled_both_ways_is_not_learnt_from(spark, tables):
+    docs, lab, _ = tables
+    both = lab.union(lab.where("toxic = 1").withColumn("toxic", F.lit(0)))
+    picked = toxicity.fit_labelled(docs, both, "toxic", (4, 2), 50, _labels_of)
+    assert set(picked) == {0}
+
+
+def _labels_of(texts, labels):
+    return labels
+
+
 def test_gradients():
     net = quality_cnn.Network(1)
     net.p["out"] = np.random.default_rng(2).normal(size=2 * quality_cnn.FILTERS).astype(np.float32)
