@@ -220,10 +220,12 @@ class Machine:
     def values(self, rows: np.ndarray, sets: list[list[int]]) -> np.ndarray:
         """The value of each sentence, given by the numbers of the rows of its words that are like a landmark."""
         out = np.full(len(sets), self.bias, np.float32)
-        some = [k for k, x in enumerate(sets) if len(x)]
-        for at in range(0, len(some), 2048):
-            part = some[at : at + 2048]
-            out[part] += pooled(rows, [sets[k] for k in part]) @ self.alpha
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        for n in np.unique(size[size > 0]).tolist():
+            mine = np.flatnonzero(size == n)
+            for at in range(0, len(mine), 1024):
+                part = mine[at : at + 1024]
+                out[part] += pooled(rows, [sets[k] for k in part.tolist()]) @ self.alpha
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -231,9 +233,12 @@ class Machine:
 
 
 def pooled(rows: np.ndarray, sets: list) -> np.ndarray:
-    """The largest of the rows of each set; no set is empty."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    return np.maximum.reduceat(rows[np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))], np.cumsum(size) - size, axis=0)
+    """The largest of the rows of each set; the sets are of one size and not empty."""
+    which = np.array([list(x) for x in sets], np.int64)
+    out = rows[which[:, 0]]
+    for k in range(1, which.shape[1]):
+        np.maximum(out, rows[which[:, k]], out=out)
+    return out
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
@@ -315,7 +320,6 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     told = np.array([max((marks.get(x, 0.0) for x in parts[words[k]]), default=0.0) for k in seen.tolist()] or [0.0])
     value = np.array([max(told[list(x)]) if x else 0.0 for x in sets])
     y, pool_neg = np.array(labels), {0}
-    features = lambda some: np.concatenate([pooled(kernel, [sets[k] for k in some[at : at + 2048]]) if len(some) else kernel[:0] for at in range(0, len(some), 2048)])
     for _ in range(rounds):
         strongest = np.array([s[np.argmax(value[s])] for s in own])
         for s, label in zip(own, y, strict=True):
@@ -325,10 +329,10 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
         pos, count = np.unique(strongest[y == 1], return_counts=True)
         pos, count = pos[pos > 0], count[pos > 0]
         some = np.concatenate([pos, neg])
-        x = np.zeros((len(some) + 1, machine.root.shape[1] + 1))
+        x = np.zeros((len(some) + 1, machine.root.shape[1] + 1))  # the last row: no word like a landmark
         x[:, -1] = 1
-        if len(some):
-            x[:-1, :-1] = features(some) @ machine.root
+        for row_of, k in enumerate(some.tolist()):
+            x[row_of, :-1] = kernel[list(sets[k])].max(0) @ machine.root
         target = np.concatenate([np.ones(len(pos)), -np.ones(len(neg) + 1)])
         weight = np.concatenate([np.minimum(count, 50) * 1.0, np.ones(len(neg) + 1)])
         w, bias = _train_svm(x, target, weight)
@@ -380,10 +384,11 @@ class Reader:
     def __init__(self, machine: Machine | None):
         self.machine, self.young, self.old = machine, {}, {}
         self.rows = self.old_rows = np.zeros((0, len(machine.landmarks) if machine else 0), np.float32)
-        self.held = 0
+        self.held, self.most = 0, np.zeros(0, np.float32)
 
     def _keep(self, rows: np.ndarray) -> range:
         first, self.held = self.held, self.held + len(rows)
+        self.most = np.concatenate([self.most[:first], rows @ np.maximum(self.machine.alpha, 0)])
         if self.held > len(self.rows):
             self.rows = np.concatenate([self.rows[:first], np.zeros((max(self.held, 1024), self.rows.shape[1]), np.float32)])
         self.rows[first : self.held] = rows
@@ -435,8 +440,7 @@ class Reader:
         if not sets:
             return best
         size = np.fromiter(map(len, sets), np.int64, len(sets))
-        own = self.rows[: self.held] @ np.maximum(machine.alpha, 0)
-        bound = machine.bias + np.add.reduceat(own[np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))], np.cumsum(size) - size)
+        bound = machine.bias + np.add.reduceat(self.most[np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))], np.cumsum(size) - size)
         order = np.lexsort((-bound, owner))
         first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
         for some in (first, None):
