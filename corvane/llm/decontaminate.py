@@ -31,6 +31,8 @@ GRIDS = ((1, 1), (2, 1), (4, 2))
 SHARED, WHOLE, PART, ANSWER = 0.5, 0.7, 0.5, 0.8
 #: Answer words are this share of an item's distinct words, rarest first.
 ANSWER_WORDS = 0.34
+#: Words of 512 passages in one bucket from which its sums go by a matrix product.
+MANY = 12
 _SLICE = 1 << 16
 
 
@@ -108,70 +110,87 @@ def _padded(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return out.reshape(-1, width), doc, (np.arange(int(first[-1])) - first[:-1][doc]) * width
 
 
-def _product(weights, basis):
-    """Partial sums over passages of A'(A basis), in blocks of 1024 buckets.
+def _add_rows(out: np.ndarray, flat: np.ndarray, z: np.ndarray) -> None:
+    """Add row k // (2 * BLOCK) of z to row flat[k] of out, for every k.
 
-    Where ``basis`` is a Space, the sums are of products of [1, passage in the space].
+    Buckets that many words fall in go by one matrix product, others by their first, second, ... word, each
+    round of which has a bucket once.
     """
+    order = np.argsort(flat, kind="stable")
+    order = order[: np.searchsorted(flat, BUCKETS, sorter=order)]
+    if not len(order):
+        return
+    mine = flat[order]
+    heads = np.flatnonzero(np.diff(mine.astype(np.int32), prepend=-1))
+    count = np.diff(np.append(heads, len(mine)))
+    many = mine[heads[count >= MANY]]
+    if len(many):
+        slot = np.full(BUCKETS + 1, -1, np.int32)
+        slot[many] = np.arange(len(many))
+        own = slot[flat]
+        some = np.flatnonzero(own >= 0)
+        dense = np.bincount(some // (2 * BLOCK) * len(many) + own[some], minlength=len(z) * len(many)).reshape(len(z), -1)
+        out[many] += dense.astype(np.float32).T @ z
+    few = np.flatnonzero(count < MANY)
+    head, count, turn = heads[few], count[few], 0
+    while len(head):
+        out[mine[head]] += z[order[head + turn] // (2 * BLOCK)]
+        turn += 1
+        left = count > turn
+        head, count = head[left], count[left]
+
+
+def _product(weights, basis, kind: str):
+    """Partial sums over passages, in blocks of 1024 rows: A'(A basis); or products of A basis with itself ("gram"), or of [1, passage in the space] ("space")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, q = weights.value, basis.value
-        space = isinstance(q, Space)
-        scaled = q.table if space else np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
-        size = scaled.shape[1] + space
-        out = np.zeros((size, size) if space else (BUCKETS + 1, size))
+        table = q.table if kind == "space" else np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
+        size = table.shape[1] + (kind == "space")
+        out = np.zeros((BUCKETS + 1 if kind == "scatter" else size, size))
         for batch in batches:
             for cell in batch.column(0):
                 whole = np.frombuffer(cell.as_py(), "<u2").reshape(-1, 2 * BLOCK)
-                for at in range(0, len(whole), 512):  # what is gathered stays in the processor's cache
+                for at in range(0, len(whole), 512):
                     rows = whole[at : at + 512]
-                    z = scaled[rows].sum(1)
-                    if space:
-                        z = np.hstack([np.ones((len(z), 1)), _unit(z)])
-                        out += z.T.astype(np.float64) @ z
+                    z = np.concatenate([table[rows[k : k + 256]].sum(1) for k in range(0, len(rows), 256)])  # what is gathered stays in the processor's cache
+                    if kind == "scatter":
+                        _add_rows(out, rows.reshape(-1), z)
                     else:
-                        flat = rows.reshape(-1)
-                        order = np.argsort(flat, kind="stable")
-                        order = order[: np.searchsorted(flat, BUCKETS, sorter=order)]
-                        flat = flat[order]
-                        if len(flat):
-                            heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                            out[flat[heads]] += np.add.reduceat(z[order // (2 * BLOCK)], heads, axis=0)
-        if space:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["block", "part"])
-        else:
+                        z = np.hstack([np.ones((len(z), 1), np.float32), _unit(z)]) if kind == "space" else z
+                        out += z.T @ z
+        if kind == "scatter":
             out = (out[:-1] * idf[:, None]).astype(np.float32)  # half the bytes of what is shuffled
-            for k in range(BUCKETS // 1024):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out[1024 * k : 1024 * (k + 1)].tobytes()], pa.binary())], ["block", "part"])
+        for k in range(0, len(out), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out[k : k + 1024].tobytes()], pa.binary())], ["block", "part"])
 
     return run
 
 
-def _summed(kind):
+def _summed(number):
     def run(table: pa.Table) -> pa.Table:
         total = 0.0
         for raw in table.column("part"):
-            total = total + np.frombuffer(raw.as_py(), kind).astype(np.float64)
+            total = total + np.frombuffer(raw.as_py(), number).astype(np.float64)
         return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
     return run
 
 
-def _reduced(passages: DataFrame, idf, basis) -> np.ndarray:
+def _reduced(passages: DataFrame, idf, basis, kind: str) -> np.ndarray:
     """The product, a matrix of fixed size, on the driver."""
-    space = isinstance(basis, Space)
-    columns = LATENT + (1 if space else EXTRA)
+    columns = LATENT + (1 if kind == "space" else EXTRA)
     held = passages.sparkSession.sparkContext.broadcast(basis)
-    parts = passages.mapInArrow(_product(idf, held), "block long, part binary")
-    got = parts.groupBy("block").applyInArrow(_summed(np.float64 if space else np.float32), "block long, part binary").orderBy("block").collect()
+    parts = passages.mapInArrow(_product(idf, held, kind), "block long, part binary")
+    got = parts.groupBy("block").applyInArrow(_summed(np.float32 if kind == "scatter" else np.float64), "block long, part binary").orderBy("block").collect()
     return np.concatenate([np.frombuffer(r["part"]).reshape(-1, columns) for r in got]) if got else np.zeros((0, columns))
 
 
 def latent_space(docs: DataFrame, path: str) -> Space:
     """The latent space of the passages of ``docs`` (text), every one of which is in the frequencies, the SVD and the moments.
 
-    One round of subspace iteration from a random start, and a second whose product with its basis gives the
-    singular values too (Nystroem), so that no further pass is needed for them. A core has two partial sums, whatever the corpus's size.
+    Randomised SVD: Q spans A'A times a random start; the products of A Q with itself, of fixed size, have the
+    singular values and turn Q to the right singular vectors. A core has one partial sum, whatever the corpus's size.
     """
     spark = docs.sparkSession
     seen = stored(docs.select("text").mapInArrow(_counts, "bucket long, n long, passages binary"), f"{path}/counts")
@@ -185,19 +204,14 @@ def latent_space(docs: DataFrame, path: str) -> Space:
     weight = np.log((total + PRIOR) / (df + 1)) + 0.1
     idf = spark.sparkContext.broadcast(weight)
     passages = seen.where("passages is not null").select("passages").coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
-    basis, y = np.random.default_rng(6).normal(size=(BUCKETS, LATENT + EXTRA)), np.zeros((0, 0))
-    for _ in range(2):
-        basis = np.linalg.qr(y if len(y) else basis)[0]
-        y = _reduced(passages, idf, basis)
-    if len(y):
-        own, turn = np.linalg.eigh((basis.T @ y + y.T @ basis) / 2)
-        basis, values, _ = np.linalg.svd(y @ (turn / np.sqrt(np.maximum(own, own.max() * 1e-9 + 1e-12))), full_matrices=False)
-        values = values**2
-    else:
-        values = np.ones(LATENT + EXTRA)
-    basis, values = basis[:, :LATENT], values[:LATENT]
-    space = Space(basis / np.sqrt(np.maximum(values, values[0] * 1e-9 + 1e-12)), weight)
-    moments = _reduced(passages, idf, space)
+    basis = np.random.default_rng(6).normal(size=(BUCKETS, LATENT + EXTRA)) / BUCKETS**0.5
+    y = _reduced(passages, idf, basis, "scatter")
+    basis = np.linalg.qr(y if len(y) else basis)[0]
+    gram = _reduced(passages, idf, basis, "gram")
+    values, turn = np.linalg.eigh(gram if len(gram) else np.eye(LATENT + EXTRA))
+    values, basis = values[::-1][:LATENT], basis @ turn[:, ::-1][:, :LATENT]
+    space = Space(basis / np.sqrt(np.maximum(values, max(values[0], 0) * 1e-9 + 1e-12)), weight)
+    moments = _reduced(passages, idf, space, "space")
     if len(moments):
         space.whiten(moments)
     return space
@@ -230,89 +244,124 @@ class Items:
         self.answers = []
         for s in self.sets:
             rare = np.lexsort((s, -space.weight[_buckets(s)]))
-            self.answers.append(s[rare[: max(1, int(np.ceil(ANSWER_WORDS * len(s))))]])
+            self.answers.append(rare[: max(1, int(np.ceil(ANSWER_WORDS * len(s))))])  # places in the set
 
     def verdict(self, k: int, text: np.ndarray) -> tuple[float, float, bool]:
-        """Share of the item in its longest common subsequence with the text, share of answer words present, leak or not."""
-        lcs = common_subsequence(self.words[k], text) / len(self.words[k])
-        answer = float(np.isin(self.answers[k], text).mean())
-        return lcs, answer, lcs >= WHOLE or (lcs >= PART and answer >= ANSWER)
+        """Share of the item in its longest common subsequence with the text, share of answer words present, leak or not.
+
+        Only the text's words that the item has can be in either. The share of answer words is 0 where the subsequence alone rules a leak out.
+        """
+        own, size = self.sets[k], len(self.words[k])
+        at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+        at = at[own[at] == text]
+        if len(at) < PART * size:
+            return len(at) / size, 0.0, False
+        lcs = common_subsequence(self.words[k], own[at]) / size
+        if lcs < PART:
+            return lcs, 0.0, False
+        there = np.zeros(len(own), bool)
+        there[at] = True
+        answer = float(there[self.answers[k]].mean())
+        return lcs, answer, lcs >= WHOLE or answer >= ANSWER
+
+
+def _found(items: Items, space: Space, batch: pa.RecordBatch) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item) of every leak in a batch, with its best subsequence, answer and cosine."""
+    words, at = word_hashes(*buffers(batch.column("text")))
+    found: dict[tuple[int, int], tuple[float, float, float]] = {}
+    known: dict[tuple[int, int, int], tuple[float, float, bool]] = {}
+    rows, doc, start = _padded(words, at, BLOCK)
+    step = _SLICE // BLOCK
+    rows = _distinct(rows)
+    blocks = np.concatenate([space.table[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
+    last = np.cumsum(np.bincount(doc, minlength=len(at) - 1))[doc] - 1 if len(doc) else doc
+    index = np.arange(len(rows))
+    for width, hop in GRIDS:
+        heads = index[((start // BLOCK) % hop == 0) & ((index + width - 1 <= last) | (start == 0) | (index + width - hop <= last))]
+        place = np.arange(width * BLOCK)
+        for k in range(0, len(heads), 1 << 14):
+            head = heads[k : k + (1 << 14)]
+            total = blocks[head].copy()
+            for j in range(1, width):
+                inside = head + j <= last[head]
+                total[inside] += blocks[head[inside] + j]
+            cosine = space.place(total) @ items.vectors
+            near, which = np.nonzero(cosine >= COSINE)
+            if not len(near):
+                continue
+            order = np.argsort(which, kind="stable")
+            near, which = near[order], which[order]
+            bounds = np.flatnonzero(np.concatenate([[True], np.diff(which) > 0, [True]]))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                item, some = int(which[a]), near[a:b]
+                own, size = items.sets[item], len(items.words[item])
+                d = doc[head[some]]
+                lo = at[d] + start[head[some]]
+                hi = np.minimum(lo + width * BLOCK, at[d + 1])
+                text = words[np.minimum(lo[:, None] + place, len(words) - 1)]
+                slot = np.minimum(np.searchsorted(own, text), len(own) - 1)
+                hit = (own[slot] == text) & (lo[:, None] + place < hi[:, None])
+                for r in np.flatnonzero(hit.sum(1) >= SHARED * min(size, width * BLOCK // 2)).tolist():
+                    first, stop = max(int(lo[r]) - size // 2, int(at[d[r]])), min(int(hi[r]) + size // 2, int(at[d[r] + 1]))
+                    if (verdict := known.get((item, first, stop))) is None:
+                        verdict = known[item, first, stop] = items.verdict(item, words[first:stop])
+                    lcs, answer, leak = verdict
+                    if leak:
+                        key = int(d[r]), item
+                        best = float(round(lcs, 6)), float(round(answer, 6)), float(cosine[some[r], item])
+                        found[key] = max(found.get(key, best), best)
+    return found
 
 
 def _search(held, folding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space = held.value, folding.value
         for whole in batches:
             for batch in slices(whole, limit=4 << 20):
-                words, at = word_hashes(*buffers(batch.column("text")))
-                found: dict[tuple[int, int], tuple[float, float, float]] = {}
-                rows, doc, start = _padded(words, at, BLOCK)
-                step = _SLICE // BLOCK
-                rows = _distinct(rows)
-                blocks = np.concatenate([space.table[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
-                last = np.cumsum(np.bincount(doc, minlength=len(at) - 1))[doc] - 1 if len(doc) else doc
-                index = np.arange(len(rows))
-                for width, hop in GRIDS:
-                    heads = index[((start // BLOCK) % hop == 0) & ((index + width - 1 <= last) | (start == 0) | (index + width - hop <= last))]
-                    for k in range(0, len(heads), 1 << 15):
-                        head = heads[k : k + (1 << 15)]
-                        total = blocks[head].copy()
-                        for j in range(1, width):
-                            inside = head + j <= last[head]
-                            total[inside] += blocks[head[inside] + j]
-                        cosine = space.place(total) @ items.vectors
-                        near, which = np.nonzero(cosine >= COSINE)
-                        if not len(near):
-                            continue
-                        order = np.argsort(which, kind="stable")
-                        near, which = near[order], which[order]
-                        bounds = np.flatnonzero(np.concatenate([[True], np.diff(which) > 0, [True]]))
-                        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                            item, some = int(which[a]), near[a:b]
-                            d = doc[head[some]]
-                            lo = at[d] + start[head[some]]
-                            hi = np.minimum(lo + width * BLOCK, at[d + 1])
-                            own = items.sets[item]
-                            slot = np.minimum(lo[:, None] + np.arange(width * BLOCK), len(words) - 1)
-                            text = words[slot]
-                            pos = np.minimum(np.searchsorted(own, text), len(own) - 1)
-                            hit = (own[pos] == text) & (lo[:, None] + np.arange(width * BLOCK) < hi[:, None])
-                            for r in np.flatnonzero(hit.sum(1) >= SHARED * min(len(items.words[item]), width * BLOCK // 2)):
-                                size = len(items.words[item])
-                                span = words[max(int(lo[r]) - size // 2, int(at[d[r]])) : min(int(hi[r]) + size // 2, int(at[d[r] + 1]))]
-                                lcs, answer, leak = items.verdict(item, span)
-                                if leak:
-                                    key = int(d[r]), item
-                                    best = float(round(lcs, 6)), float(round(answer, 6)), float(cosine[some[r], item])
-                                    found[key] = max(found.get(key, best), best)
-                if found:
-                    keys = sorted(found)
+                found = _found(held.value, folding.value, batch)
+                keys = sorted(found)
+                if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array([k for k, _ in keys])), pa.array([items.ids[i] for _, i in keys], pa.int64()), *[pa.array([round(found[k][j], 4) for k in keys], pa.float64()) for j in range(3)]],
+                        [batch.column("doc_id").take(pa.array([k for k, _ in keys])), pa.array([held.value.ids[i] for _, i in keys], pa.int64()), *[pa.array([round(found[k][j], 4) for k in keys], pa.float64()) for j in range(3)]],
                         ["doc_id", "item_id", "lcs", "answer", "cosine"],
                     )
 
     return run
 
 
+def _clean(held, folding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, limit=4 << 20):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in _found(held.value, folding.value, batch)]] = False
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _fitted(docs: DataFrame, benchmark: DataFrame) -> tuple:
+    """Broadcast items and space. The benchmark is a fixed, small table (its size does not follow the corpus) and is held by every task."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text").collect()
+    space = latent_space(docs, shared_dir(spark))
+    return spark.sparkContext.broadcast(Items([r["item_id"] for r in items], [r["text"] for r in items], space)), spark.sparkContext.broadcast(space)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine) of every document and item that it leaks, each once a row of ``docs``.
 
-    Whole texts are searched, passage by passage. Null or empty texts and items match nothing; a null
+    Whole texts are searched, however long, passage by passage. Null or empty texts and items match nothing; a null
     doc_id is reported as null; rows that repeat are reported one by one, items that repeat count each by
-    its id. An empty table gives no rows; only doc_id, item_id and the texts are read. The benchmark is a fixed, small
-    table (its size does not follow the corpus) and is held by every task.
+    its id. Shares at a limit count as reached. An empty table gives no rows; only doc_id, item_id and the texts are read.
     """
-    spark = docs.sparkSession
-    path = shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text").collect()
-    space = latent_space(docs, path)
-    held = spark.sparkContext.broadcast(Items([r["item_id"] for r in items], [r["text"] for r in items], space))
-    return docs.mapInArrow(_search(held, spark.sparkContext.broadcast(space)), "doc_id long, item_id long, lcs double, answer double, cosine double")
+    return docs.mapInArrow(_search(*_fitted(docs, benchmark)), "doc_id long, item_id long, lcs double, answer double, cosine double")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item; all columns stay as they are. Rows of a null id stay."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that leak no item; all columns stay as they are.
+
+    Each row is judged by its own text, whatever its id: rows of a null or repeated id are like any other. Null and
+    empty texts stay, an empty table gives no rows, and an empty benchmark drops none. No text is shuffled.
+    """
+    return docs.mapInArrow(_clean(*_fitted(docs.select(F.col("text").cast("string").alias("text")), benchmark)), docs.schema)

@@ -272,6 +272,17 @@ def test_the_space_is_fitted_on_every_passage(spark, monkeypatch):
     assert seen[-1][0, 0] == 4000 * -(-1000 // 32)
 
 
+def test_sums_by_bucket():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 300):
+        flat = np.minimum(rng.zipf(1.3, (n, 2 * decontaminate.BLOCK)), decontaminate.BUCKETS).astype(np.uint16)
+        z = rng.normal(size=(n, 5)).astype(np.float32)
+        want, got = np.zeros((2, decontaminate.BUCKETS + 1, 5))
+        np.add.at(want, flat.reshape(-1), np.repeat(z, 2 * decontaminate.BLOCK, axis=0))
+        decontaminate._add_rows(got, flat.reshape(-1), z)
+        assert np.allclose(want[:-1], got[:-1], atol=1e-3) and not got[-1].any()
+
+
 def test_paraphrases(spark, tables):
     docs, _, bench = tables
     items = {r["item_id"]: r["text"] for r in bench.collect()}
