@@ -63,6 +63,32 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is dealt to several tasks by ``split_join``.
+HOT = 1024
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, keys)`` where ``right`` has each key about once, and ``left`` may have one for a third of its rows.
+
+    Keys with more than one in HOT of the left rows (fewer than HOT keys, named on the driver) are salted by a digest of the
+    columns ``by``: their left rows are dealt to so many parts that each is about as large, and
+    their right rows are copied to each. Without such keys this is the plain join. The keys are counted in ``left``, in
+    ``counted`` (a narrower table with the same keys, where left is costly), or given with their numbers ``_n`` as ``sizes``.
+    """
+    if sizes is None:
+        sizes = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    parts = F.ceil(F.col("_n") * HOT / F.lit(max(total, 1))).cast("int")
+    hot = sizes.select(*keys, parts.alias("_parts")).where("_parts > 1")
+    rows = hot.collect() if total > 16 * HOT else []
+    if not rows:
+        return left.join(right, keys)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def words_column(text: Column | str) -> Column:
     """array<string> of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null text: no words."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix64, shared_dir, shingle_hashes, slices, stored, word_hashes
+from .common import buffers, mix64, shared_dir, shingle_hashes, slices, split_join, stored, word_hashes
 from .components import components
 
 ROWS, BANDS, MANTISSA = 5, 40, 10
@@ -82,23 +82,26 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
+def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """k1 and k2 of shingle sets: two sums that name a set."""
+    sums = [(np.add.reduce(s), np.add.reduce(mix64(s ^ np.uint64(0xA0761D6478BD642F)))) for s in sets]
+    both = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=4 << 20):
                 words, at = word_hashes(*buffers(batch.column("text")))
-                n, keys, low = [], [], np.empty((batch.num_rows, REGISTERS), np.uint32)
+                sets, low = [], np.empty((batch.num_rows, REGISTERS), np.uint32)
                 for r in range(batch.num_rows):
-                    s = shingle_hashes(words[at[r] : at[r + 1]], k)
-                    n.append(len(s))
-                    both = np.add.reduce(s), np.add.reduce(mix64(s ^ np.uint64(0xA0761D6478BD642F)))
-                    keys.append(both)
-                    low[r] = sketch(s)
+                    sets.append(shingle_hashes(words[at[r] : at[r + 1]], k))
+                    low[r] = sketch(sets[r])
                 regs = np.ascontiguousarray(compress(low))
-                raw = regs.view(np.uint8).reshape(len(n), -1) if len(n) else regs
-                keys = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+                raw = regs.view(np.uint8).reshape(len(sets), -1) if sets else regs
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in raw], pa.binary())],
+                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *_keys(sets), pa.array([x.tobytes() for x in raw], pa.binary())],
                     ["id", "n", "k1", "k2", "regs"],
                 )
 
@@ -115,8 +118,8 @@ def _sets(k: int, bits):
                 ok &= (held[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
             for batch in slices(whole.filter(pa.array(ok)), limit=2 << 20):
                 words, at = word_hashes(*buffers(batch.column("text")))
-                sets = [shingle_hashes(words[at[r] : at[r + 1]], k).view(np.int64) for r in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
+                sets = [shingle_hashes(words[at[r] : at[r + 1]], k) for r in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*_keys(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["k1", "k2", "shingles"])
 
     return run
 
@@ -136,10 +139,16 @@ def _id_filter(ids: DataFrame, count: int) -> tuple[int, object]:
     return bits, spark.sparkContext.broadcast(held)
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, count: int, k: int) -> DataFrame:
-    """(cid, shingles) of the documents whose id is among ``ids``, and of few others."""
+def _full_sets(docs: DataFrame, ids: DataFrame, count: int, k: int, repeats: bool) -> DataFrame:
+    """(k1, k2, shingles), each set once, of the documents whose id is among ``ids``, and of few others."""
     bits, held = _id_filter(ids, count)
-    return docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "cid long, shingles array<long>")
+    sets = docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "k1 long, k2 long, shingles array<long>")
+    # one id has one text and set, unless ids repeat; an id that the filter lets pass by chance may have the set of another
+    return sets.groupBy("k1", "k2").agg(F.first("shingles").alias("shingles")) if repeats else sets
+
+
+#: A pair of classes: the smallest ids of their documents, and the names of their sets.
+_PAIR = ["a", "b", "a1", "a2", "b1", "b2"]
 
 
 def _likely(threshold: float):
@@ -153,7 +162,7 @@ def _likely(threshold: float):
             n, m = b.column("n_a").to_numpy(zero_copy_only=False), b.column("n_b").to_numpy(zero_copy_only=False)
             j = estimate(x, y, n, m)
             ok = (j >= threshold - margin) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+            yield b.select(_PAIR).filter(pa.array(ok))
 
     return run
 
@@ -163,7 +172,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Documents link when 100 * |A and B| >= percent * |A or B| on their sets of
     k-word shingles; components are closed under links. Words are lower-cased
-    in A-Z. Nulls: a null text has no shingles and links with nothing; a row of null
+    in A-Z. Whole texts are read, however long. Nulls: a null text has no shingles and links with nothing; a row of null
     id does not link either, its component is null and it is kept. Rows that share an id are one document: a link of any
     of their texts holds for all. Ties: the smallest id is kept. An empty table gives no rows;
     other columns are not read, whatever their names.
@@ -172,46 +181,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     path = shared_dir(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sketches(k), "id long, n long, k1 long, k2 long, regs binary"), f"{path}/rows")
-    classes = rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = stored(classes, f"{path}/classes")
-    reps = classes.select("cid", "n", "regs")
+    linking = rows.where("n > 0 and id is not null")
+    # a class: documents of one set; cls names it, cid (its smallest id, which classes of a repeated id may share) is its node
+    classes = linking.groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), f"{path}/classes")
+    repeated = stored(linking.groupBy("id").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("k1", "k2") for f in (F.min, F.max)]).where("c > 1"), f"{path}/repeated")
+    repeats = not repeated.isEmpty()
+    some_texts = repeated.where("k1_min != k1_max or k2_min != k2_max").select("id")  # an id of several texts joins their classes
+    same_id = None if not repeats or some_texts.isEmpty() else split_join(linking.join(some_texts, "id", "left_semi").select("id", "k1", "k2"), classes.select("k1", "k2", "cid"), ["k1", "k2"], ["id"])
 
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    bands = reps.select("cid", "regs", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cid")
-    buckets = bands.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size"))
+    bands = classes.select("cls", "regs", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cls")
+    buckets = bands.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("size"))
     buckets = stored(buckets.where("low < high"), f"{path}/buckets")
     members = stored(bands.join(buckets.where("size > 2").select("key", "size"), "key"), f"{path}/members")
-    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
-    hubs = members.join(central, "cid").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("cid").alias("turn"), "cid")).alias("hub"))
+    central = members.groupBy("cls").agg(F.sum("size").alias("weight"))
+    hubs = members.join(central, "cls").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("cls").alias("turn"), "cls")).alias("hub"))
 
     pairs = buckets.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    star = members.join(hubs.select("key", F.col("hub.cid").alias("hub")), "key").where("cid != hub")
-    pairs = pairs.union(star.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))).distinct()
-    links = _verified(docs, _with_sketches(pairs, reps), k, percent, f"{path}/star")
+    star = split_join(members, hubs.select("key", F.col("hub.cls").alias("hub")), ["key"], ["cls"]).where("cls != hub")
+    pairs = stored(pairs.union(star.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))).distinct(), f"{path}/pairs")
+    links = _verified(docs, _with_sketches(pairs, classes), k, percent, f"{path}/star", repeats)
+    if same_id is not None:
+        links = stored(links.union(same_id.select(F.col("id").alias("u"), F.col("cid").alias("v")).where("u != v")).distinct(), f"{path}/same")
     labels = components(links, f"{path}/c1")
 
-    rest = stored(members.join(labels, members.cid == labels.node, "left").select("key", "cid", "size", F.coalesce("component", "cid").alias("comp")), f"{path}/rest")
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = stored(rest.join(mixed, "key"), f"{path}/mixed")
-    if not rest.isEmpty():
-        x, y = (rest.where(F.col("size") <= FEW).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "comp")]) for s in "ab")
-        new = x.join(y, "key").where((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b"))).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
-        large = rest.where(F.col("size") > FEW).select("cid", "comp").distinct()
-        large = stored(large, f"{path}/large")
+    comp = classes.join(labels, F.col("cid") == labels.node, "left").select("cls", F.coalesce("component", "cid").alias("comp"))
+    rest = stored(members.join(comp, "cls").select("key", "cls", "size", "comp"), f"{path}/rest")
+    mixed = stored(rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), f"{path}/keys")
+    if not mixed.isEmpty():
+        rest = stored(split_join(rest, mixed, ["key"], ["cls"]), f"{path}/mixed")
+        x, y = (rest.where(F.col("size") <= FEW).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp")]) for s in "ab")
+        new = x.join(y, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        large = rest.where(F.col("size") > FEW).select("cls", "comp").distinct()
+        large = stored(large.join(classes.select("cls", "cid", "k1", "k2"), "cls"), f"{path}/large")
         if not large.isEmpty():
-            new = new.union(_rare_pairs(docs, large, k, percent, f"{path}/rare"))
-        links = links.union(_verified(docs, _with_sketches(new.distinct(), reps), k, percent, f"{path}/across"))
+            new = new.union(_rare_pairs(docs, large, k, percent, f"{path}/rare", repeats))
+        new = stored(new.distinct(), f"{path}/new")
+        links = links.union(_verified(docs, _with_sketches(new, classes), k, percent, f"{path}/across", repeats))
         labels = components(links, f"{path}/c2")
-    classes = classes.select("k1", "k2", "cid")
-    out = rows.join(classes, ["k1", "k2"], "left").join(labels, F.col("cid") == labels.node, "left")
-    comp = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "cid")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"))
+    groups = stored(classes.join(labels, F.col("cid") == labels.node, "left").select("k1", "k2", F.coalesce("component", "cid").alias("component_id")), f"{path}/groups")
+    out = split_join(linking.select("id", "n", "k1", "k2"), groups, ["k1", "k2"], ["id"]).select("id", "n", "component_id")
+    alone = rows.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("component_id"))
+    out = out.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: str) -> DataFrame:
-    """Pairs (a, b) of classes of different components in ``some`` (cid, comp) that may reach the threshold: no such pair is missing.
+def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: str, repeats: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components in ``some`` (cls, comp, cid, k1, k2) that may reach the threshold: no such pair is missing.
 
     Shingles are put in one order for all: those that only one component has, then by how many sets have them.
     Sets of n and m shingles that link share percent / (100 + percent) * (n + m) of them, so their first
@@ -221,46 +239,50 @@ def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: st
     ask only for the lengths that their own place in the order allows.
     """
     ids = some.select(F.col("cid").alias("id"))
-    sets = _full_sets(docs, ids, some.count(), k).join(some, "cid").withColumn("rec", F.monotonically_increasing_id())
-    sets = stored(sets, f"{path}/sets")
+    sets = stored(_full_sets(docs, ids, some.count(), k, repeats).join(some.select("cls", "comp", "k1", "k2"), ["k1", "k2"]).select("cls", "comp", "shingles"), f"{path}/sets")
     sizes = some.groupBy("comp").agg(F.count(F.lit(1)).alias("volume"))
-    each = sets.select("rec", "comp", F.explode("shingles").alias("s"))
+    each = sets.select("cls", "comp", F.explode("shingles").alias("s"))
     known = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("s", "c")
-    order = each.join(known, "s").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    known = stored(known, f"{path}/known")
+    order = split_join(each.select("cls", "s"), known, ["s"], ["cls"], sizes=known.withColumnRenamed("c", "_n")).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
     n, left = F.size("shingles").cast("long"), F.size("order").cast("long")
     first = n - F.floor((n * percent + 99) / 100) + 1 - (n - left)
-    order = order.join(sets, "rec").select("cid", "comp", n.alias("n"), left.alias("left"), F.slice("order", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("order"))
-    firsts = order.join(sizes, "comp").select("cid", "comp", "volume", "n", "left", F.posexplode("order").alias("i", "x"))
-    firsts = stored(firsts.select(F.col("x.s").alias("s"), "cid", "comp", "volume", "n", (F.col("left") - F.col("i")).alias("left")), f"{path}/firsts")
+    order = order.join(sets, "cls").select("cls", "comp", n.alias("n"), left.alias("left"), F.slice("order", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("order"))
+    firsts = order.join(sizes, "comp").select("cls", "comp", "volume", "n", "left", F.posexplode("order").alias("i", "x"))
+    firsts = stored(firsts.select(F.col("x.s").alias("s"), "cls", "comp", "volume", "n", (F.col("left") - F.col("i")).alias("left")), f"{path}/firsts")
     main = firsts.groupBy("s").agg(F.max(F.struct("volume", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    firsts = firsts.join(main.select("s", F.col("main.comp").alias("main")), "s")
+    firsts = stored(split_join(firsts, main.select("s", F.col("main.comp").alias("main")), ["s"], ["cls"]), f"{path}/shared")
     length = lambda x: F.floor(F.log(x.cast("double")) * LENGTHS).cast("int")
     low = F.floor((F.col("n") * percent + 99) / 100)
     high = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("left") * (100 + percent) / percent) - F.col("n"))
     asked = firsts.where((F.col("comp") != F.col("main")) & (low <= high))
     asked = asked.withColumn("length", F.explode(F.sequence(length(F.greatest(low, F.lit(1))), length(F.greatest(high, F.lit(1))))))
     given = firsts.withColumn("length", length(F.col("n")))
-    x, y = (t.select("s", "length", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "comp", "n", "left")]) for t, side in ((asked, "a"), (given, "b")))
+    x, y = (t.select("s", "length", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "comp", "n", "left")]) for t, side in ((asked, "a"), (given, "b")))
     near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     enough = F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     found = x.join(y, ["s", "length"]).where((F.col("comp_a") != F.col("comp_b")) & near & enough)
-    return found.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
+    return found.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
 
-def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    side = lambda s: reps.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes with what ``_likely`` looks at; ``pairs`` is a written table."""
+    side = lambda s: classes.select(F.col("cls").alias(f"c{s}"), F.col("cid").alias(s), F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
+    pairs = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
+    # a hub has a pair with every class of its bucket
+    return split_join(split_join(pairs, side("a"), ["ca"], ["cb"]), side("b"), ["cb"], ["ca"], counted=pairs).select(*_PAIR, "n_a", "n_b", "regs_a", "regs_b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str) -> DataFrame:
-    """Links (u, v) among candidate pairs (a, b) with sketches: estimate first, then count on full sets."""
-    likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long"), f"{path}/likely")
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str, repeats: bool) -> DataFrame:
+    """Links (u, v) between nodes among candidate pairs with sketches: estimate first, then count on full sets."""
+    likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long, a1 long, a2 long, b1 long, b2 long"), f"{path}/likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
-    sets = stored(_full_sets(docs, ids, 2 * likely.count(), k), f"{path}/sets")
-    full = likely.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = stored(_full_sets(docs, ids, 2 * likely.count(), k, repeats), f"{path}/sets")
+    side = lambda s: sets.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("shingles").alias(f"s{s}"))
+    full = split_join(split_join(likely, side("a"), ["a1", "a2"], ["b1"]), side("b"), ["b1", "b2"], ["a1"], counted=likely)
     common = F.size(F.array_intersect("sa", "sb"))
     full = full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
-    return stored(full.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("t") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{path}/links")
+    return stored(full.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("t") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), f"{path}/links")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

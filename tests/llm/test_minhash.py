@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm import minhash
+from corvane.llm import common, minhash
 from corvane.llm.common import shared_dir
 from corvane.llm.components import components
 
@@ -90,6 +90,47 @@ def test_odd_rows(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def by_brute(rows, k, percent):
+    """(id, component) of every row by all pairs, sorted."""
+    _, comps = brute(rows, k, percent)
+    return sorted(zip([d for d, _ in rows], comps, strict=True))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_of_different_texts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(70), t) for t in texts(seed, 140)] + [(3, "one two three four"), (3, "one two three four")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, 2, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == by_brute(rows, 2, 80)
+    a, b = "some words that stand here in a row and more", "quite another text of as many words as it needs"
+    rows = [(0, a), (1, a), (1, b), (7, b)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(0, 0, True), (1, 0, False), (1, 0, False), (7, 0, False)]
+
+
+@pytest.mark.parametrize("few, hot", [(0, 1024), (1 << 30, 1024), (4, 4), (24, 2)])
+def test_switches_change_no_result(spark, monkeypatch, few, hot):
+    """All pairs of a bucket or the rare filter, hot keys split or not: the same components."""
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(common, "HOT", hot)
+    base = [f"v{k}" for k in range(40)]
+    rows = list(enumerate(texts(9, 120))) + [(500 + i, " ".join(base[:36] + [f"t{i}x{j}" for j in range(i % 7)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, 2, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == by_brute(rows, 2, 80)
+
+
+def test_split_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    left = spark.range(300).selectExpr("id", "if(id % 3 = 0, 5, id % 40) AS k")
+    right = spark.range(35).selectExpr("id AS k", "id * 2 AS v")
+    want = sorted(map(tuple, left.join(right, "k").select("id", "k", "v").collect()))
+    for options in ({}, {"counted": left.select("k")}, {"sizes": left.groupBy("k").count().withColumnRenamed("count", "_n")}):
+        assert sorted(map(tuple, common.split_join(left, right, ["k"], ["id"], **options).select("id", "k", "v").collect())) == want
+    assert common.split_join(left.where("false"), right, ["k"], ["id"]).count() == 0
+
+
 def test_groups_of_copies(spark):
     base = [f"v{k}" for k in range(60)]
     rows = [(i, " ".join(base)) for i in range(300)]
