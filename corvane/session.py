@@ -1,14 +1,19 @@
-"""Sending the package to the executors."""
+"""Sending the package to the executors, and folders that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch from which the next row begins another, unless the session sets its own.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,4 +27,33 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 out.write(p, p.relative_to(root.parent))
         context.addPyFile(str(archive))
+        # texts may be long: a batch of rows for a worker ends at some MB, whatever its number of rows
+        if spark.conf.get(_BATCH, None) in (None, "-1", str(2**31 - 1), str(2**63 - 1)):
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it is deleted when the driver ends.
+
+    Where the session names none (local tests), the context's checkpoint folder is used, or one is set.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            root = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it, if the session still lives."""
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session is gone: its owner clears the shared folder
+        pass
