@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, NotSupported, PermissionDenied
-from .operators import fulltext, fusion, vector
-from .operators.ann import Ivf
+from .operators import ann, fulltext, fusion, postings, vector
 from .plans.expressions import compile_expression, wrap
 from .plans.filters import compile_filter
 from .functions import metrics
 from .sources.storage import Store
-from .types import MAX_BATCH, DataType, Field, Index, IndexType, Metric, Schema, check_index, check_key, check_value
+from .functions.text import analyze
+from .types import MAX_BATCH, MAX_KEY, MAX_SPARSE, NUMERIC_RANGES, Field, Index, IndexType, Metric, Schema, check_index, check_key, check_value
 
 
 @dataclass
@@ -45,6 +45,7 @@ class Query:
     is_linear: bool = False
 
 
+_BAD_ROW = "CORVANE_BAD_ROW"
 _META = [T.StructField("_doc_id", T.LongType()), T.StructField("_seq", T.LongType()), T.StructField("_deleted", T.BooleanType())]
 
 
@@ -55,13 +56,12 @@ class Collection:
         self.spark, self.store, self.read_only = spark, Store(spark, path), read_only
         self.manifest = self.store.read(version)
         self.schema = Schema.from_json(self.manifest["schema"])
-        self._ivf: dict[tuple[str, int], Ivf] = {}
 
     @staticmethod
     def create(spark: SparkSession, path: str, schema: Schema) -> Collection:
         """Make a new collection; the path must not exist."""
         schema.check()
-        Store(spark, path).create({"version": 0, "schema": schema.to_json(), "segments": [], "next_doc_id": 0, "dirty": False, "indexed": {}, "side": {}})
+        Store(spark, path).create({"version": 0, "schema": schema.to_json(), "segments": [], "next_doc_id": 0, "dirty": False, "side": {}})
         return Collection(spark, path)
 
     @staticmethod
@@ -77,17 +77,29 @@ class Collection:
     def _stored(self) -> T.StructType:
         return T.StructType([*self.schema.spark().fields, *_META])
 
-    def _log(self) -> DataFrame:
-        parts = [self.store.segment(s["name"], self._stored()) for s in self.manifest["segments"]]
+    def _log(self, segments: list[dict] | None = None) -> DataFrame:
+        """Rows of segments, by default of all that hold rows."""
+        segments = [s for s in self.manifest["segments"] if not s.get("deletes")] if segments is None else segments
+        parts = [self.store.segment(s["name"], self._stored()) for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self._stored())
 
+    def _superseded(self) -> DataFrame | None:
+        """(_key, _last): the keys that upserts, updates and deletes have touched, and when last; no other column is read."""
+        touched = [s for s in self.manifest["segments"] if s.get("dirty")]
+        if not touched:
+            return None
+        schema = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_seq", T.LongType())])
+        keys = reduce(DataFrame.union, [self.store.segment(s["name"], schema) for s in touched])
+        return keys.groupBy(F.col("_id").alias("_key")).agg(F.max("_seq").alias("_last"))
+
+    def _live_rows(self, rows: DataFrame) -> DataFrame:
+        """Of rows with _id and _seq, those that no later write of their key has superseded. Filters on rows go below the join."""
+        touched = self._superseded()
+        return rows if touched is None else rows.join(touched, (F.col("_id") == F.col("_key")) & (F.col("_last") > F.col("_seq")), "left_anti")
+
     def df(self) -> DataFrame:
-        """All live rows, lazily. While rows were only inserted, that is a plain scan; else the last writer of each key wins."""
-        log = self._log()
-        if not self.manifest["dirty"]:
-            return log.drop("_seq", "_deleted")
-        last = Window.partitionBy("_id").orderBy(F.desc("_seq"), F.desc("_doc_id"))
-        return log.withColumn("_last", F.row_number().over(last)).where("_last = 1 and not _deleted").drop("_seq", "_deleted", "_last")
+        """All live rows, lazily: the log without the rows that a later write of their key superseded; the last writer of each key wins."""
+        return self._live_rows(self._log()).drop("_seq", "_deleted")
 
     def filtered(self, filter: str | None) -> DataFrame:
         condition = compile_filter(filter, self.schema)
@@ -106,10 +118,21 @@ class Collection:
     def _shown(self, df: DataFrame, names: list[str], include_doc_id: bool, *extra: str) -> DataFrame:
         return df.select("_id", *(["_doc_id"] if include_doc_id else []), *[F.col(f"`{n}`") for n in names], *extra)
 
-    def scan(self, filter: str | None = None, limit: int | None = None, output_fields: list[str] | None = None, include_vector: bool = False, include_doc_id: bool = False) -> DataFrame:
-        """Rows that pass a filter, in the order of their insertion if there is a limit."""
+    def scan(self, filter: str | None = None, limit: int | None = None, output_fields: list[str] | None = None, include_vector: bool = False, include_doc_id: bool = False, order_by: str | None = None, descending: bool = False, offset: int = 0) -> DataFrame:
+        """Rows that pass a filter; with a limit or offset in the order of a scalar field (ties by key), or else of their insertion."""
         df = self.filtered(filter)
-        df = df if limit is None else df.orderBy("_doc_id").limit(vector.check_topk(limit))
+        if offset < 0:
+            raise InvalidArgument("offset must be 0 or more")
+        if order_by is not None:
+            f = self.schema[order_by]
+            if f.type.is_vector or f.type.is_array:
+                raise InvalidArgument(f"{order_by} has no order")
+            col = F.col(f"`{order_by}`")
+            df = df.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_first(), "_id")
+        elif limit is not None or offset:
+            df = df.orderBy("_doc_id")
+        df = df.offset(offset) if offset else df
+        df = df if limit is None else df.limit(vector.check_topk(limit))
         return self._shown(df, self.projection(output_fields, include_vector), include_doc_id)
 
     def fetch(self, ids: list[str], output_fields: list[str] | None = None, include_vector: bool = True) -> DataFrame:
@@ -135,12 +158,16 @@ class Collection:
         return [have.get(i) for i in doc_ids]
 
     def stats(self) -> dict:
-        """Live documents, and for each vector field the share of segments that its index covers."""
-        total = self.df().count()
-        indexed = self.manifest["indexed"]
-        names = {s["name"] for s in self.manifest["segments"]}
-        done = {n: (len(names & set(indexed.get(n, []))) / len(names) if names else 1.0) for n in self.schema.vectors()}
-        return {"doc_count": total, "index_completeness": done}
+        """Live documents, and for each vector field the share of segments that its index covers.
+
+        A flat index is the rows themselves and covers all; any other covers what optimize() built it for.
+        """
+        names = {s["name"] for s in self.manifest["segments"] if not s.get("deletes")}
+        done = {}
+        for n in self.schema.vectors():
+            built = set(self.manifest["side"].get(n, {}).get("segments", [])) if self.schema[n].index.kind is not IndexType.FLAT else names
+            done[n] = len(names & built) / len(names) if names else 1.0
+        return {"doc_count": self.df().count(), "index_completeness": done}
 
     # -- searching ---------------------------------------------------------------
 
@@ -169,19 +196,66 @@ class Collection:
                 if q.refine:
                     raise NotSupported("sparse vectors are not refined")
                 return vector.sparse_top_k(df, f.name, v, topk, radius=q.radius), Metric.IP
+            side = self.manifest["side"].get(f.name)
+            if side and not q.is_linear and q.radius is None:
+                return self._search_cells(f, side, v, q, topk, filter), metric
             if q.refine:
                 return vector.refined(df, f.name, v, metric, topk, q.refine), metric
-            ivf = self._ivf.get((f.name, self.manifest["version"]))
-            if ivf is not None and not q.is_linear and q.radius is None:
-                return ivf.search(ivf.assign(df, f.name), f.name, v, topk, q.nprobe or f.index.all_params().get("nprobe", 10)), metric
             return vector.dense_top_k(df, f.name, v, metric, topk, radius=q.radius), metric
         if f.index is None or f.index.kind is not IndexType.FTS:
             raise InvalidArgument(f"{f.name} has no full-text index")
-        p = f.index.all_params()
-        options = {k: p[k] for k in ("stemmer_lang", "token_chars") if k in p} | p.get("ngram", {})
+        p, options = self._analysis(f)
         tree = fulltext.query_tree(self.spark, q.query_string, q.match_string, q.operator, p["tokenizer"], p["filters"], **options)
-        where = compile_filter(filter, self.schema)
-        return fulltext.search(self.df(), f.name, tree, topk, where=where, k1=p["k1"], b=p["b"], tokenizer=p["tokenizer"], filters=p["filters"], **options), "fts"
+        return self._search_text(f, tree, topk, filter), "fts"
+
+    def _search_cells(self, f: Field, side: dict, v: list[float], q: Query, topk: int, filter: str | None) -> DataFrame:
+        """Through the stored cells of a field: the nearest cells' rows (by their codes first, if there are any), and segments that came later, whole."""
+        index = ann.Stored(self.spark, f"{self.store.path}/{side['path']}", f.index.metric)
+        rows = self._live_rows(index.probe(v, q.nprobe))
+        condition = compile_filter(filter, self.schema)
+        if condition is not None:
+            rows = rows.join(self.df().where(condition).select("_id"), "_id", "left_semi")
+        found = index.best(rows, v, topk, q.refine).select("_id", "_doc_id", "_score")
+        later = [s for s in self.manifest["segments"] if not s.get("deletes") and s["name"] not in side["segments"]]
+        if later:
+            new = self._live_rows(self._log(later))
+            new = vector.dense_top_k(new if condition is None else new.where(condition), f.name, v, f.index.metric, topk)
+            found = found.union(new.select("_id", "_doc_id", "_score")).orderBy(*vector.ordered(f.index.metric)).limit(topk)
+        return self._whole(found).orderBy(*vector.ordered(f.index.metric))
+
+    def _whole(self, found: DataFrame) -> DataFrame:
+        """The rows of a short list (_id, _doc_id, _score), whose keys are sent to the rows."""
+        return self.df().drop("_doc_id").join(F.broadcast(found), "_id")
+
+    def _analysis(self, f: Field) -> tuple[dict, dict]:
+        p = f.index.all_params()
+        return p, {k: p[k] for k in ("stemmer_lang", "token_chars") if k in p} | p.get("ngram", {})
+
+    def _postings_of(self, field_name: str, kind: str, have: list[dict]) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.store.path}/{s['text'][field_name]['path']}/{kind}") for s in have]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _search_text(self, f: Field, tree, topk: int, filter: str | None) -> DataFrame:
+        """BM25 from the stored postings of the query's own words; rows are looked up for the best documents alone."""
+        p = f.index.all_params()
+        where, rows = compile_filter(filter, self.schema), [s for s in self.manifest["segments"] if not s.get("deletes")]
+        if any(f.name not in s.get("text", {}) for s in rows):  # an index made after these rows, and not built yet: the texts themselves
+            _, options = self._analysis(f)
+            return fulltext.search(self.df(), f.name, tree, topk, where=where, k1=p["k1"], b=p["b"], tokenizer=p["tokenizer"], filters=p["filters"], **options)
+        words = postings.all_words(tree)
+        if not words or not rows:
+            return self.df().withColumn("_score", F.lit(0.0)).where(F.lit(False))
+        if self._superseded() is None:
+            documents, total = (sum(s["text"][f.name][k] for s in rows) for k in ("documents", "tokens"))
+        else:
+            documents, total = self._live_rows(self._postings_of(f.name, "lengths", rows)).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        parts = [postings.of_terms(self.spark.read.parquet(f"{self.store.path}/{s['text'][f.name]['path']}/terms"), words, s["text"][f.name]["folders"]) for s in rows]
+        hits = self._live_rows(reduce(DataFrame.unionByName, parts))
+        found = postings.search(hits, tree, documents, total / max(documents, 1), p["k1"], p["b"])
+        if where is not None:
+            found = found.join(self.df().where(where).select("_id"), "_id", "left_semi")
+        found = found.orderBy(F.desc("_score"), "_id").limit(vector.check_topk(topk))
+        return self._whole(found).orderBy(F.desc("_score"), "_id")
 
     def query_df(self, query: Query | list[Query] | None = None, topk: int = 10, filter: str | None = None, output_fields: list[str] | None = None, include_vector: bool = False, include_doc_id: bool = False, reranker=None, num_candidates: int | None = None) -> DataFrame:
         """Best rows with ``_score``. Without a query: rows in order of insertion. Several queries need a reranker."""
@@ -258,14 +332,33 @@ class Collection:
             return
         first, seq = self.manifest["next_doc_id"], self.manifest["version"] + 1
         data = [(i, *[v.get(f.name) for f in self.schema.fields], first + k, seq, deleted) for k, (i, v) in enumerate(rows)]
-        self._add(self.spark.createDataFrame(data, self._nullable()).coalesce(1), len(rows), dirty)
+        self._add(self.spark.createDataFrame(data, self._nullable()).coalesce(1), len(rows), dirty, deleted)
 
     def _nullable(self) -> T.StructType:
         return T.StructType([T.StructField(f.name, f.dataType, True) for f in self._stored().fields])
 
-    def _add(self, df: DataFrame, count: int, dirty: bool) -> None:
-        name = self.store.write_segment(df)
-        self._commit(segments=[*self.manifest["segments"], {"name": name}], next_doc_id=self.manifest["next_doc_id"] + count, dirty=self.manifest["dirty"] or dirty)
+    def _add(self, df: DataFrame, count: int, dirty: bool, deletes: bool = False) -> None:
+        segment = self._segment(self.store.write_segment(df), dirty, deletes)
+        self._commit(segments=[*self.manifest["segments"], segment], next_doc_id=self.manifest["next_doc_id"] + count, dirty=self.manifest["dirty"] or dirty)
+
+    def _segment(self, name: str, dirty: bool = False, deletes: bool = False, schema: Schema | None = None) -> dict:
+        """A manifest's entry of a written segment; the postings of its texts are written beside it."""
+        entry: dict = {"name": name, "dirty": dirty, "deletes": deletes}
+        texts = [f for f in (schema or self.schema).fields if f.index is not None and f.index.kind is IndexType.FTS]
+        if not deletes and texts:
+            entry["text"] = {f.name: self._write_postings(f, name) for f in texts}
+        return entry
+
+    def _write_postings(self, f: Field, name: str) -> dict:
+        p, options = self._analysis(f)
+        path = f"side/{name.rsplit('/', 1)[-1]}-{f.name}"
+        rows = self.store.segment(name, T.StructType([T.StructField("_id", T.StringType()), T.StructField(f.name, T.StringType()), *_META]))
+        made = postings.lengths(rows, analyze(F.col(f"`{f.name}`"), p["tokenizer"], p["filters"], **options))
+        made.select("_id", "_doc_id", "_seq", "n").write.parquet(f"{self.store.path}/{path}/lengths")
+        documents, total = self.spark.read.parquet(f"{self.store.path}/{path}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        count = postings.folders(documents)
+        postings.build(made, count).write.partitionBy("_folder").parquet(f"{self.store.path}/{path}/terms")
+        return {"path": path, "documents": documents, "tokens": total, "folders": count}
 
     def _live(self, ids: list[str]) -> set[str]:
         return {r[0] for r in self.df().where(F.col("_id").isin(*ids)).select("_id").collect()} if ids else set()
@@ -324,44 +417,118 @@ class Collection:
         rows = self.df().where(condition).select("_id", *[F.lit(None).cast(f.type.spark()).alias(f.name) for f in self.schema.fields], "_doc_id", F.lit(self.manifest["version"] + 1).alias("_seq"), F.lit(True).alias("_deleted"))
         name = self.store.write_segment(rows)
         count = self.store.segment(name, self._stored()).count()
-        self._commit(segments=[*self.manifest["segments"], {"name": name}], dirty=True)
+        self._commit(segments=[*self.manifest["segments"], self._segment(name, True, True)], dirty=True)
         return count
 
+    def _checked(self, df: DataFrame, partial: bool = False) -> DataFrame:
+        """``df`` as the fields store it; a row that breaks a rule fails the write, in the pass that writes it."""
+        unknown = [c for c in df.columns if c != "_id" and c not in self.schema]
+        missing = [f.name for f in self.schema.fields if f.name not in df.columns and not f.nullable]
+        if "_id" not in df.columns or unknown or missing and not partial:
+            raise InvalidArgument(f"_id and the fields are needed; unknown {unknown}, missing {missing}")
+        out = [self._sure(F.col("_id").cast("string"), F.length(F.encode("_id", "UTF-8")).between(1, MAX_KEY) & ~F.col("_id").rlike(r"[\x00-\x1f\x7f\x85\x{2028}\x{2029}]"), "bad primary key").alias("_id")]
+        for f in self.schema.fields:
+            if f.name not in df.columns:
+                if not partial:
+                    out.append(F.lit(None).cast(f.type.spark()).alias(f.name))
+                continue
+            value = F.col(f"`{f.name}`").cast(f.type.spark())
+            ok = F.lit(True) if f.nullable else value.isNotNull()
+            if f.type.is_dense:
+                ok = ok & (F.size(value) == f.dimension)
+            elif f.type.is_sparse:
+                ok = ok & (F.size(value["indices"]) <= MAX_SPARSE)
+            elif f.type.is_integer:
+                low, high = NUMERIC_RANGES[f.type.value]
+                ok = ok & value.between(F.lit(low), F.lit(high))
+            out.append(self._sure(value, F.coalesce(ok, F.lit(f.nullable)), f"{f.name} is null or does not fit").alias(f.name))
+        return df.select(*out)
+
+    @staticmethod
+    def _sure(value: Column, ok: Column, message: str) -> Column:
+        return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"[{_BAD_ROW}] {message}")).cast("void"))
+
     def _numbered(self, df: DataFrame) -> DataFrame:
         first, seq = self.manifest["next_doc_id"], self.manifest["version"] + 1
-        return df.select("_id", *[F.col(f"`{f.name}`").cast(f.type.spark()).alias(f.name) for f in self.schema.fields], (F.monotonically_increasing_id() + first).alias("_doc_id"), F.lit(seq).cast("long").alias("_seq"), F.lit(False).alias("_deleted"))
+        return df.select("_id", *[F.col(f"`{f.name}`") for f in self.schema.fields], (F.col("_turn") + first).alias("_doc_id"), F.lit(seq).cast("long").alias("_seq"), F.lit(False).alias("_deleted"))
+
+    @staticmethod
+    def _one_each(df: DataFrame, pick) -> DataFrame:
+        """One row of each key, by ``pick`` (min_by or max_by) of the rows' order."""
+        rows = df.select("_id", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("turn"))
+        chosen = rows.groupBy("_id").agg(pick(F.struct("row", "turn"), "turn").alias("x"))
+        return chosen.select("x.row.*", F.col("x.turn").alias("_turn"))
 
     def insert_df(self, df: DataFrame) -> None:
-        """Insert a DataFrame with ``_id`` and the fields; keys that are live already, and repeats, are left out."""
+        """Insert a DataFrame with ``_id`` and the fields (nullable ones may be missing); keys that are live already are left out, of repeats the first stays.
+
+        Internal ids follow the order of the rows. Rows are held to the rules that insert() has; one bad row fails all.
+        """
         self._writable()
-        df = df.dropDuplicates(["_id"])
+        df = self._one_each(self._checked(df), F.min_by)
         if self.manifest["segments"]:
             df = df.join(self.df().select("_id"), "_id", "left_anti")
         self._bulk(df, False)
 
     def upsert_df(self, df: DataFrame) -> None:
-        """Upsert a DataFrame with ``_id`` and the fields, each key once."""
+        """Upsert a DataFrame with ``_id`` and the fields; of repeated keys the last row stays."""
+        self._writable()
+        self._bulk(self._one_each(self._checked(df), F.max_by), True)
+
+    def update_df(self, df: DataFrame) -> None:
+        """Merge a DataFrame with ``_id`` and some fields into live rows, on the executors; of repeated keys the last row stays, unknown keys are left out."""
+        self._writable()
+        new = self._one_each(self._checked(df, partial=True), F.max_by)
+        given = [c for c in new.columns if c not in ("_id", "_turn")]
+        new = new.select("_id", F.struct(*[F.col(f"`{c}`") for c in given]).alias("_new"), "_turn")
+        rows = self.df().join(new, "_id")
+        self._bulk(rows.select("_id", *[(F.col(f"_new.`{f.name}`") if f.name in given else F.col(f"`{f.name}`")).alias(f.name) for f in self.schema.fields], "_turn"), True)
+
+    def delete_df(self, keys: DataFrame) -> None:
+        """Delete the live rows whose key is in the column ``_id``, on the executors."""
         self._writable()
-        self._bulk(df, True)
+        gone = self.df().join(keys.select("_id").distinct(), "_id", "left_semi")
+        rows = gone.select("_id", *[F.lit(None).cast(f.type.spark()).alias(f.name) for f in self.schema.fields], "_doc_id", F.lit(self.manifest["version"] + 1).alias("_seq"), F.lit(True).alias("_deleted"))
+        self._commit(segments=[*self.manifest["segments"], self._segment(self.store.write_segment(rows), True, True)], dirty=True)
 
     def _bulk(self, df: DataFrame, dirty: bool) -> None:
-        name = self.store.write_segment(self._numbered(df))
+        try:
+            name = self.store.write_segment(self._numbered(df))
+        except Exception as e:
+            if _BAD_ROW in str(e):
+                raise InvalidArgument(str(e).split(_BAD_ROW + "]")[1].split("\n")[0].strip()) from None
+            raise
         top = self.store.segment(name, self._stored()).agg(F.max("_doc_id")).first()[0]
-        self._commit(segments=[*self.manifest["segments"], {"name": name}], next_doc_id=self.manifest["next_doc_id"] if top is None else top + 1, dirty=self.manifest["dirty"] or dirty)
+        self._commit(segments=[*self.manifest["segments"], self._segment(name, dirty)], next_doc_id=self.manifest["next_doc_id"] if top is None else top + 1, dirty=self.manifest["dirty"] or dirty)
 
     # -- upkeep and schema ---------------------------------------------------------
 
     def optimize(self, partitions: int | None = None) -> None:
-        """Rewrite the live rows as one segment, and fit the inverted files of the schema."""
+        """Rewrite the live rows as one segment (unless that is what they are), and build postings and cells of the schema's indexes."""
         self._writable()
-        if self.manifest["segments"]:
+        segments = self.manifest["segments"]
+        if not segments:
+            return
+        if len(segments) > 1 or self.manifest["dirty"] or partitions is not None:
             df = self.df().select("_id", *[F.col(f"`{f.name}`") for f in self.schema.fields], "_doc_id", F.lit(0).cast("long").alias("_seq"), F.lit(False).alias("_deleted"))
-            name = self.store.write_segment(df if partitions is None else df.repartition(partitions, "_id"))
-            self._commit(segments=[{"name": name}], dirty=False, indexed={n: [name] for n in self.schema.vectors()})
-        for f in self.schema.fields:
-            if f.type.is_dense and f.index.kind in (IndexType.IVF, IndexType.IVF_RABITQ):
-                p = f.index.all_params()
-                self._ivf[f.name, self.manifest["version"]] = Ivf.fit(self.df(), f.name, f.index.metric, p["nlist"], p.get("iters", 10))
+            segments = [self._segment(self.store.write_segment(df if partitions is None else df.repartition(partitions, "_id")))]
+        elif any(f.name not in segments[0].get("text", {}) for f in self._texts()):
+            segments = [self._segment(segments[0]["name"])]
+        side = {f.name: self._build_cells(f, segments[0]["name"]) for f in self.schema.fields if f.type.is_dense and f.index.kind is not IndexType.FLAT}
+        self._commit(segments=segments, dirty=False, side={k: v for k, v in side.items() if v})
+
+    def _texts(self) -> list[Field]:
+        return [f for f in self.schema.fields if f.index is not None and f.index.kind is IndexType.FTS]
+
+    def _build_cells(self, f: Field, name: str) -> dict | None:
+        """Cells of a vector field's index, written once; None if no row has a vector.
+
+        Graph kinds are served by cells too: neighbours of a query lie in few of them, whatever structure finds these.
+        """
+        rows = self.store.segment(name, self._stored()).select("_id", "_doc_id", "_seq", F.col(f"`{f.name}`").alias("_v")).where("_v is not null")
+        path = f"side/{name.rsplit('/', 1)[-1]}-{f.name}-{self.manifest['version']}"
+        built = ann.Stored.build(rows, f"{self.store.path}/{path}", f.index)
+        return {"path": path, "segments": [name]} if built else None
 
     def create_index(self, name: str, index: Index) -> None:
         """Give a field an index; the same one again changes nothing."""
@@ -374,18 +541,20 @@ class Collection:
         if kinds == {IndexType.INVERT, IndexType.FTS}:
             raise FailedPrecondition(f"drop the index of {name} first")
         f.index = index
-        self._commit(schema=self.schema.to_json(), indexed={k: v for k, v in self.manifest["indexed"].items() if k != name})
+        # what was built for another index of the field counts no more
+        segments = [{**s, "text": {k: v for k, v in s.get("text", {}).items() if k != name}} for s in self.manifest["segments"]]
+        self._commit(schema=self.schema.to_json(), segments=segments, side={k: v for k, v in self.manifest["side"].items() if k != name})
 
     def drop_index(self, name: str) -> None:
         self._writable()
         f = self.schema[name]
-        f.index = Index() if f.type.is_vector else None
-        self._commit(schema=self.schema.to_json())
+        f.index = Index(metric=f.index.metric) if f.type.is_vector else None
+        self._commit(schema=self.schema.to_json(), side={k: v for k, v in self.manifest["side"].items() if k != name})
 
     def _rewrite(self, schema: Schema, columns: dict[str, Column]) -> None:
         df = self.df().select("_id", *[columns.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields], "_doc_id", F.lit(0).cast("long").alias("_seq"), F.lit(False).alias("_deleted"))
-        names = [{"name": self.store.write_segment(df)}] if self.manifest["segments"] else []
-        self._commit(schema=schema.to_json(), segments=names, dirty=False)
+        names = [self._segment(self.store.write_segment(df), schema=schema)] if self.manifest["segments"] else []
+        self._commit(schema=schema.to_json(), segments=names, dirty=False, side={})
 
     def add_column(self, new: Field, expression: str = "") -> None:
         """Add a numeric column, computed from others, or all null if it may be."""

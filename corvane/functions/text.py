@@ -13,18 +13,20 @@ from pyspark.sql import types as T
 from ..errors import InvalidArgument, NotSupported
 from .stem import stem
 
-#: Words of letters and digits with marks inside, single ideographs and kana, after Unicode's word rules.
+#: Words of letters and digits with marks inside, single ideographs and kana, after Unicode's word rules; a word has a letter or digit.
 _HAN = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
-STANDARD = r"(?:\p{L}(?:[.:'’]\p{L})*|\p{Nd}(?:[.,;'’]\p{Nd})*|_)+"
+_PART = r"\p{L}(?:[.:'’]\p{L})*|\p{Nd}(?:[.,;'’]\p{Nd})*"
+STANDARD = rf"_*(?:{_PART})(?:{_PART}|_)*"
 MAX_TOKEN = 255
+#: Letters whose lower case depends on what stands beside them or is more than a letter.
+_UNEVEN = "[\u0130\u03a3]"
 
 
 def _standard(text: Column) -> Column:
     spaced = F.when(text.rlike(f"[{_HAN}]"), F.regexp_replace(text, f"([{_HAN}])", " $1 ")).otherwise(text)
     found = F.regexp_extract_all(spaced, F.lit(STANDARD), F.lit(0))
-    found = F.filter(found, lambda t: t.rlike(r"[\p{L}\p{Nd}]"))
     cut = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{MAX_TOKEN}}}"), F.lit(0))
-    return F.when(F.exists(found, lambda t: F.length(t) > MAX_TOKEN), F.flatten(F.transform(found, cut))).otherwise(found)
+    return F.when(text.rlike(rf"\S{{{MAX_TOKEN + 1}}}"), F.flatten(F.transform(found, cut))).otherwise(found)
 
 
 def _whitespace(text: Column) -> Column:
@@ -86,10 +88,13 @@ def analyze(text: Column, tokenizer: str = "standard", filters: tuple[str, ...]
     Tokenizers: standard, whitespace, ngram (options min_gram, max_gram, token_chars). Filters in order:
     lowercase, ascii_folding, stemmer (English). The last two run in Arrow batches, all else in the JVM.
     """
-    if tokenizer == "standard":
-        out = _standard(text)
-    elif tokenizer == "whitespace":
-        out = _whitespace(text)
+    native = list(takewhile(lambda n: n == "lowercase", filters))
+    if tokenizer in ("standard", "whitespace"):
+        split = _standard if tokenizer == "standard" else _whitespace
+        out = split(text)
+        if native:  # the whole text at once is lowered in generated code; its words alone where that could differ
+            out = F.when(text.rlike(_UNEVEN), F.transform(out, F.lower)).otherwise(split(F.lower(text)))
+            native = []
     elif tokenizer == "ngram":
         out = _ngram(text, options.get("min_gram", 2), options.get("max_gram", 2), tuple(options.get("token_chars", ("letter", "digit"))))
     elif tokenizer == "jieba":
@@ -101,10 +106,9 @@ def analyze(text: Column, tokenizer: str = "standard", filters: tuple[str, ...]
             raise InvalidArgument(f"no token filter {name!r}")
         if name == "stemmer" and options.get("stemmer_lang", "english") not in ("english", "en"):
             raise NotSupported("the stemmer knows English")
-    native = list(takewhile(lambda n: n == "lowercase", filters))
     if native:
         out = F.transform(out, F.lower)
-    rest = tuple(filters[len(native) :])
+    rest = tuple(filters[len(list(takewhile(lambda n: n == "lowercase", filters))) :])
     return _rewritten(out, rest) if rest else out
 
 

@@ -11,7 +11,7 @@ from ..errors import NotSupported
 from ..functions import quantize
 from ..types import Metric
 from . import vector
-from .ann import FIT_SAMPLE
+from .codes import sample
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -31,7 +31,7 @@ def _coded(df: DataFrame, column: str, encode, kind: str) -> DataFrame:
 
 
 class Pq:
-    """A product quantizer fitted on at most FIT_SAMPLE vectors of a column, those of the smallest digests."""
+    """A product quantizer fitted on a bounded sample of a column."""
 
     def __init__(self, quantizer: quantize.ProductQuantizer, metric: Metric):
         if metric not in (Metric.L2, Metric.IP):
@@ -40,9 +40,7 @@ class Pq:
 
     @staticmethod
     def fit(df: DataFrame, column: str, metric: Metric, chunks: int = 8, centres: int = 256, rotate: bool = False) -> Pq:
-        v = df.select(F.col(f"`{column}`").cast("array<double>").alias("v")).where("v is not null")
-        sample = v.orderBy(F.xxhash64("v")).limit(FIT_SAMPLE).toPandas()["v"]
-        return Pq(quantize.ProductQuantizer(_matrix(sample), chunks, centres, rotate), metric)
+        return Pq(quantize.ProductQuantizer(sample(df, column), chunks, centres, rotate), metric)
 
     def encode(self, df: DataFrame, column: str) -> DataFrame:
         held = df.sparkSession.sparkContext.broadcast(self.quantizer)

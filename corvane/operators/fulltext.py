@@ -1,6 +1,6 @@
 """Full-text search: BM25 over analysed documents.
 
-A query has few terms, so no postings are made: each document's own token array gives its
+This module searches rows that have no postings (see ``postings`` for those of a collection): each document's own token array gives its
 length, its counts of the query's terms and its phrases, one aggregate over all gives the statistics, and the score
 is an expression. Documents move only as the k best of each task.
 """
@@ -76,7 +76,7 @@ def matches(node, facts: Facts) -> Column:
     return reduce(lambda a, b: a & b, parts + [~matches(x, facts) for x in node.must_not])
 
 
-def _score(node, facts: Facts, weight) -> Column:
+def tree_score(node, facts: Facts, weight) -> Column:
     """Sum of the weights of matching terms."""
     if isinstance(node, Q.Terms):
         each = [weight(w) * node.boost for w in node.words]
@@ -84,12 +84,23 @@ def _score(node, facts: Facts, weight) -> Column:
         return total if len(node.words) == 1 else F.when(facts.held(node.words), total).otherwise(F.lit(0.0))
     out = F.lit(0.0)
     for part in node.must + node.should:
-        s = _score(part, facts, weight)
+        s = tree_score(part, facts, weight)
         simple = isinstance(part, Q.Terms)
         out = out + (s if simple else F.when(matches(part, facts), s).otherwise(F.lit(0.0)))
     return out
 
 
+def bm25(facts: Facts, containing, documents: Column, mean: Column, k1: float, b: float):
+    """The weight of a word in a document: ``containing(word)`` documents have it, of so many with such a mean length."""
+
+    def weight(w: str) -> Column:
+        have, tf = containing(w), facts.tf(w)
+        idf = F.log((documents - have + 0.5) / (have + 0.5) + 1.0)
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_facts.n") / mean))
+
+    return weight
+
+
 def query_tree(spark, query_string: str | None = None, match_string: str | None = None, operator: str = "or", tokenizer: str = "standard", filters=("lowercase",), **options):
     """The tree of a query; exactly one of the two strings is given."""
     if (query_string is None) == (match_string is None):
@@ -124,13 +135,7 @@ def search(df: DataFrame, column: str, tree, k: int | None, key: str = "_id", wh
     )
     hit = known(df if where is None else df.where(where)).where(matches(tree, facts)).crossJoin(F.broadcast(stats))
     place = {w: i for i, w in enumerate(facts.words)}
-
-    def weight(w: str) -> Column:
-        i = place[w]
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5) + 1.0)
-        tf = facts.tf(w)
-        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_facts.n") / F.col("_mean")))
-
-    out = hit.withColumn("_score", _score(tree, facts, weight)).where("_score > 0").select(*[df[c] for c in df.columns], "_score")
+    weight = bm25(facts, lambda w: F.col(f"_df{place[w]}"), F.col("_n"), F.col("_mean"), k1, b)
+    out = hit.withColumn("_score", tree_score(tree, facts, weight)).where("_score > 0").select(*[df[c] for c in df.columns], "_score")
     out = out.orderBy(F.desc("_score"), F.asc(key))
     return out if k is None else out.limit(k)

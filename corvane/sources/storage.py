@@ -78,16 +78,19 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def vacuum(self, keep: int = 1) -> int:
-        """Drop manifests but the last ``keep`` and segments that none of these names; how many files went."""
+        """Drop manifests but the last ``keep``, and segments and index tables that none of these names; how many files went."""
         have = self.versions()
-        named = {s["name"] for v in have[-keep:] for s in self.read(v)["segments"]} | {x for v in have[-keep:] for x in self.read(v).get("side", {}).values()}
+        kept = [self.read(v) for v in have[-keep:]]
+        named = {s["name"] for m in kept for s in m["segments"]} | {x["path"] for m in kept for x in m.get("side", {}).values()}
+        named |= {x["path"] for m in kept for s in m["segments"] for x in s.get("text", {}).values()}
         gone = 0
         for v in have[:-keep]:
             gone += self._fs.delete(self._p(f"_manifests/v{v:09d}.json"), False)
-        if self._fs.exists(self._p("segments")):
-            for s in self._fs.listStatus(self._p("segments")):
-                if f"segments/{s.getPath().getName()}" not in named:
-                    gone += self._fs.delete(s.getPath(), True)
+        for folder in ("segments", "side"):
+            if self._fs.exists(self._p(folder)):
+                for s in self._fs.listStatus(self._p(folder)):
+                    if f"{folder}/{s.getPath().getName()}" not in named:
+                        gone += self._fs.delete(s.getPath(), True)
         return gone
 
     def destroy(self) -> None:
