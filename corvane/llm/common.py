@@ -7,9 +7,11 @@ Arrow batch, and intermediate tables go to the folder that all executors share.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +47,36 @@ def shared_dir(spark: SparkSession) -> str:
             root = spark.conf.get("spark.sql.warehouse.dir")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    atexit.register(delete, spark, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``shared_dir`` makes inside are deleted at the end, when the results made from them have been written elsewhere."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
+def release() -> None:
+    """Hand freed memory back to the machine: workers live on between tasks, and an executor's memory is bounded."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def delete(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -57,6 +84,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def claim(name: str, *key, make=lambda: None):
+    """What an operator remembers in this worker process from task to task, made anew for another key; what other operators remember here is dropped."""
+    own = (name, *key)
+    if own not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[own] = make()
+    return _HELD[own]
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: lineage ends at files that outlive executors."""
     df.write.mode("overwrite").parquet(path)

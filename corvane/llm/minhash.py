@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix64, shared_dir, shingle_hashes, slices, split_join, stored, word_hashes
+from .common import buffers, claim, mix64, release, shared_dir, shingle_hashes, slices, split_join, stored, word_hashes
 from .components import components
 
 ROWS, BANDS, MANTISSA = 5, 40, 10
@@ -91,6 +91,7 @@ def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for whole in batches:
             for batch in slices(whole, limit=4 << 20):
                 words, at = word_hashes(*buffers(batch.column("text")))
@@ -104,6 +105,7 @@ def _sketches(k: int):
                     [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *_keys(sets), pa.array([x.tobytes() for x in raw], pa.binary())],
                     ["id", "n", "k1", "k2", "regs"],
                 )
+        release()
 
     return run
 
