@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import claim, slices
 
 #: Most labelled documents of each class that the machine is fitted on, taken by a digest of their id.
 FIT_ROWS = 1500
@@ -38,7 +39,7 @@ SPAN, DECAY, POWER, LENGTH = 5, 0.6, 2, 20
 #: Windows of a word of more than LENGTH letters, and their steps: narrow ones, so that an insult is not lost among the letters beside it.
 WINDOWS = ((8, 1), (12, 2), (LENGTH, 5))
 #: Largest subsequence similarity under which a word counts as unlike every landmark: its kernel values are 0.
-SCREEN = 0.4
+SCREEN = 0.5
 #: Landmarks that share one bound in the second screen.
 BUNDLE = 16
 #: Words that a worker remembers the values of.
@@ -449,25 +450,29 @@ class Reader:
         return best
 
 
-def _parts(batches: Iterator[pa.RecordBatch], machine) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch], machine, name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches of some MB of text, and the scores of their rows."""
-    reader = Reader(machine.value)
+    reader = claim("toxicity", name, make=lambda: Reader(machine.value))
     for batch in batches:
         for part in slices(batch, limit=1 << 20):
             yield part, reader.scores(part.column("text").to_pylist())
 
 
 def _scores(machine):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, score in _parts(batches, machine):
+        for part, score in _parts(batches, machine, name):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     return run
 
 
 def _clean(machine, threshold: float):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, score in _parts(batches, machine):
+        for part, score in _parts(batches, machine, name):
             yield part.filter(pa.array(score < threshold))
 
     return run
