@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, shared_dir, slices, stored, word_hashes
+from .common import buffers, claim, release, shared_dir, slices, stored, word_hashes
 
 BUCKETS, BLOCK, LATENT, EXTRA = 1 << 15, 16, 64, 8
 #: Passages without words or direction that stand beside the corpus's own, so that a tiny corpus has weights too.
@@ -79,6 +79,7 @@ class Space:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passage frequency of each bucket, summed per task, and the buckets of all passages, two bytes a word."""
+    claim("decontaminate")
     total, passages = np.zeros(BUCKETS, np.int64), 0
     for whole in batches:
         for batch in slices(whole, limit=4 << 20):
@@ -335,6 +336,7 @@ def _clean(held, folding):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _ in _found(held.value, folding.value, batch)]] = False
                 yield batch.filter(pa.array(keep))
+        release()
 
     return run
 

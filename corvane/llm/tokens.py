@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, buffers, shared_dir, slices, stored, word_spans
+from .common import SEPARATOR, buffers, claim, release, shared_dir, slices, stored, word_spans
 
 MAGIC = b"CVPFOR1\n"
 BLOCK, PERCENTILE = 4096, 95
@@ -234,9 +234,6 @@ class Encoder:
         return self.ids[at], np.concatenate([[0], place[1:][order == 0]]).astype(np.int64)
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def _filesystem(folder: str):
     from pyarrow import fs
 
@@ -245,8 +242,7 @@ def _filesystem(folder: str):
 
 def _writer(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault((tokenizer, end_id), None) or Encoder(tokenizer, end_id)
-        _ENCODERS[tokenizer, end_id] = encoder
+        encoder = claim("tokens", tokenizer, end_id, make=lambda: Encoder(tokenizer, end_id))
         store, root = _filesystem(folder)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -271,6 +267,8 @@ def _writer(tokenizer: str, end_id: int, folder: str):
                         docs, ids, size, number = [], [], 0, number + 1
         if docs:
             yield flush()
+        docs, ids = [], []
+        release()
 
     return run
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.llm import tokens
-from corvane.llm.common import shared_dir
+from corvane.llm.common import claim, shared_dir
 from corvane.llm.queries import tokenizer_path
 
 from .common import odd
@@ -70,8 +70,7 @@ def test_encoder(monkeypatch):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(), st.sampled_from("aB9 ,'.\u00c9\u00d7\u00e9\u0301\x1c\u00b5")), max_size=60), max_size=4))
 def test_any_text(texts):
-    encoder = tokens._ENCODERS.get("test") or tokens._ENCODERS.setdefault("test", tokens.Encoder(tokenizer_path(), 2))
-    assert encoded(encoder, texts) == library(texts)
+    assert encoded(claim("test", make=lambda: tokens.Encoder(tokenizer_path(), 2)), texts) == library(texts)
 
 
 def check(spark, df):
