@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op9_sharding": sharding.oracle()}
+ORACLES: dict[str, str] = {"op4_url_filter": urlfilter.oracle(), "op8_mixing": mixing.oracle(), "op9_sharding": sharding.oracle()}

@@ -77,13 +77,45 @@ def test_hot_source_in_parts(spark, monkeypatch):
     assert all(abs(taken[s] - want[s]) < 0.02 * want[s] + 45 for s in want)
 
 
-def test_mixed_documents(spark):
-    rows = [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(40)]
+def taken_rows(rows):
+    """(id, source, size) of mix() as often as it is taken, sorted."""
+    return sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in rows for _ in range(r["copies"]))
+
+
+@pytest.mark.parametrize("span", [2, 20_000])
+def test_mixed_documents(spark, monkeypatch, span):
+    monkeypatch.setattr(mixing, "SPAN", span)
+    # repeated and null ids, of one text and of several
+    rows = [(i if i % 7 else None, "w " * (1 + i % 5), "abc"[i % 3]) for i in range(60)] + [(500 + i % 3, "v " * (1 + i % 4), "a") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect()}
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
-    assert {r[0]: r[1] for r in out.groupBy("doc_id").count().collect()} == {d: c for d, c in copies.items() if c}
+    got = sorted((str(r["doc_id"]), str(r["source"]), len(words(r["text"]))) for r in out.collect())
+    assert got == taken_rows(mixing.mix(df).collect())
+
+
+def test_one_id_for_all(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 10)
+    rows = [(1, "w w w", "a")] * 300 + [(2, "w", "b")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    taken, want = check(got, rows)
+    assert all(abs(taken[s] - want[s]) <= 3 for s in want)
+    assert sorted(r["doc_id"] for r in mixing.mixed_documents(df).collect()) == sorted(r["doc_id"] for r in got for _ in range(r["copies"]))
+
+
+@pytest.mark.parametrize("span", [7, 20_000])
+def test_sql(spark, sf_dir, monkeypatch, span):
+    import duckdb
+
+    monkeypatch.setattr(mixing, "SPAN", span)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    want = con.execute(mixing.oracle())
+    names = [d[0] for d in want.description]
+    want = sorted(str(tuple(r)) for r in want.fetchall())
+    got = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
 
 
 def test_odd_rows(spark):
