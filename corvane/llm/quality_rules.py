@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram log-likelihood ratio, and the base rules, in DataFrame operations alone.
 
-Every document's words and word pairs are hashed to BUCKETS. Two multinomials,
+Every document's words are hashed once; these hashes, and those of neighbouring ones, fall into BUCKETS. Two multinomials,
 of the trusted target (documents labelled good) and of the raw corpus, give each bucket a log-likelihood
 ratio; a document's score is the mean ratio of its n-grams, and a
 document is kept while the score reaches a fixed threshold.
@@ -26,16 +26,24 @@ PRIOR = 20
 WINDOW = 5
 
 
-def _grams(words: Column, buckets: int) -> tuple[Column, Column]:
+def _hashes(words: Column) -> Column:
+    """64-bit hash of each word; all n-grams are hashes of these."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _bucket(hash_: Column, buckets: int) -> Column:
+    return hash_.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def _grams(hashes: Column, buckets: int) -> tuple[Column, Column]:
     """Bucket of each word, and of each word with the one before it (the first word: with none), as arrays of ints."""
-    cut = lambda h: h.bitwiseAND(F.lit(buckets - 1)).cast("int")
-    return F.transform(words, lambda w: cut(F.xxhash64(w))), F.transform(words, lambda w, i: cut(F.xxhash64(w, F.get(words, i - 1))))
+    return F.transform(hashes, lambda h: _bucket(h, buckets)), F.transform(hashes, lambda h, i: _bucket(F.xxhash64(h, F.get(hashes, i - 1)), buckets))
 
 
-def _windows(words: Column) -> Column:
+def _windows(hashes: Column) -> Column:
     """Hash of each WINDOW-word window, in order."""
-    n = F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))
-    return F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, WINDOW)]))
+    n = F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))
+    return F.transform(F.slice(hashes, 1, n), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, WINDOW)]))
 
 
 def _covered(hashes: Column) -> Column:
@@ -70,8 +78,8 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     if trusted.count() <= TRUSTED:  # else both sides are shuffled
         trusted = F.broadcast(trusted)
-    rows = docs.join(trusted, F.col("doc_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("good"), words_column(F.lower("text")).alias("words"))
-    grams = rows.select("good", F.explode(F.concat(*_grams(F.col("words"), buckets))).alias("bucket"))
+    rows = docs.join(trusted, F.col("doc_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("good"), _hashes(words_column("text")).alias("hashes"))
+    grams = rows.select("good", F.explode(F.concat(*_grams(F.col("hashes"), buckets))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
     raw, good = [SMOOTH] * buckets, [SMOOTH] * buckets
     for r in counts:
@@ -88,18 +96,18 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) of every row.
 
-    A null text has no words. base_failed: fewer than 10 words, or over a fifth of them in
+    A null text has no words; whole texts are read, however long. base_failed: fewer than 10 words, or over a fifth of them in
     repeated windows. kept: not base_failed and score >= threshold. A text without n-grams scores 0.
     Rows that repeat an id are judged one by one; labels that repeat a document count once.
     Ties of score and threshold are kept. Empty tables give no rows; other columns are not read.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ratios = bucket_ratios(docs, labels, buckets)
-    rows = docs.withColumn("words", words_column("text")).select("doc_id", "words", words_column(F.lower("text")).alias("low"), *[c.alias(k) for k, c in base_columns(F.col("text")).items()])
+    rows = docs.select("doc_id", _hashes(words_column("text")).alias("words"), *[c.alias(k) for k, c in base_columns(F.col("text")).items()])
     table = F.lit(ratios)
     rows = rows.withColumn("hashes", _windows(F.col("words")))
-    ratio = lambda h: F.get(table, h.bitwiseAND(F.lit(buckets - 1)).cast("int"))
-    each = F.transform("low", lambda w, i: ratio(F.xxhash64(w)) + ratio(F.xxhash64(w, F.get(F.col("low"), i - 1))))
+    ratio = lambda h: F.get(table, _bucket(h, buckets))
+    each = F.transform("words", lambda h, i: ratio(h) + ratio(F.xxhash64(h, F.get(F.col("words"), i - 1))))
     total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     repeats = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _covered(F.col("hashes"))).otherwise(0).cast("long")
     n = F.size("words").cast("long")

@@ -2,12 +2,11 @@
 
 import math
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from corvane.llm import quality_rules as q
-from corvane.llm.common import words_column
 
 from .common import labels, odd, words
 
@@ -47,21 +46,50 @@ def test_any_text(spark, texts):
     assert [tuple(got[i][c] for c in COLUMNS) for i in range(len(texts))] == [base(t) for t in texts]
 
 
+def xx(*values, seed=42):
+    """Spark's xxhash64 of strings and longs, one after the other; nulls change nothing."""
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
+    return seed
+
+
+def grams(text, buckets):
+    h = [xx(w) for w in words(text)]
+    return [x % buckets for x in h] + [xx(x, h[i - 1] if i else None) % buckets for i, x in enumerate(h)]
+
+
+def recount(texts, good, buckets):
+    raw, kept = [1.0] * buckets, [1.0] * buckets
+    for k, t in texts:
+        for b in grams(t, buckets):
+            raw[b] += 1
+            kept[b] += k in good
+    return [math.log(g / sum(kept)) - math.log(r / sum(raw)) for g, r in zip(kept, raw, strict=True)]
+
+
 def test_ratio_is_a_recount(spark):
     rows = [(1, "good words here good words"), (2, "bad words there"), (3, "Good THINGS"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (None, 1)], "doc_id long, quality int")
-    got = q.bucket_ratios(docs, lab, 64)
-    hashed = docs.select("doc_id", F.explode(F.concat(*q._grams(words_column(F.lower(F.coalesce("text", F.lit("")))), 64))).alias("b")).collect()
-    raw, good = [1.0] * 64, [1.0] * 64
-    for r in hashed:
-        raw[r["b"]] += 1
-        good[r["b"]] += r["doc_id"] in (1, 3)
-    assert len(hashed) == 2 * (5 + 3 + 2)
-    want = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw, strict=True)]
+    got, want = q.bucket_ratios(docs, lab, 64), recount(rows, {1, 3}, 64)
     assert all(abs(a - b) < 1e-8 for a, b in zip(got, want, strict=True))
 
 
+def test_scores_and_verdicts_by_brute_force(spark, sf_dir):
+    docs, lab = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    ratios = recount(texts, {r["doc_id"] for r in lab.collect() if r["quality"] == 1}, q.BUCKETS)
+    got = {r["doc_id"]: r for r in q.quality_rules(docs, lab).collect()}
+    assert {r["kept"] for r in got.values()} == {True, False}
+    for d, t in texts:
+        g = grams(t, q.BUCKETS)
+        score = sum(ratios[b] for b in g) / (len(g) + q.PRIOR)
+        assert abs(got[d]["score"] - score) < 1e-6
+        if abs(score - q.THRESHOLD) > 1e-6:
+            assert got[d]["kept"] == (not base(t)[-1] and score >= q.THRESHOLD)
+
+
 def test_odd_rows(spark):
     for lab in (labels(spark), labels(spark, empty=True)):
         got = q.quality_rules(odd(spark), lab).collect()
