@@ -209,7 +209,7 @@ def _term_hits(held):
     return run
 
 
-_ROW = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, told array<struct<term string, start long, stop long>>"
+_ROW = "rid long, doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, told array<struct<term string, start long, stop long>>"
 
 
 def _find(held):
@@ -236,8 +236,8 @@ def _find(held):
                         if (t := term_of(raw)) in terms:
                             told[k].append({"term": t, "start": a + len(raw) - len(raw.lstrip(_EDGES)), "stop": b - len(raw) + len(raw.rstrip(_EDGES))})
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(base), *[pa.array(c) for c in counts], pa.array(sha), pa.array(told, told_type)],
-                ["doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "told"],
+                [batch.column("rid"), batch.column("doc_id"), pa.array(base), *[pa.array(c) for c in counts], pa.array(sha), pa.array(told, told_type)],
+                ["rid", "doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "told"],
             )
 
     return run
@@ -295,28 +295,32 @@ def disclosures(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms) of every row of ``docs``.
-
-    ``spans`` are all spans kind:start:end by kind as listed (terms last), then start; ``terms`` are the
-    disclosing terms as structs (start, stop, share), in documents without the entity too. Null and empty texts have no spans. Rows that repeat an id
-    are looked at one by one; exact copies of a context count once for support. A null id
-    stays null, an empty table gives no rows; only doc_id and text are read.
-    """
-    path = shared_dir(docs.sparkSession)
-    rows = _rows(docs)
+def _marked(rows: DataFrame, path: str) -> DataFrame:
+    """(rid, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms) of every row (rid, doc_id, text); rid names it."""
     told = disclosures(rows, path).groupBy("term").agg(F.max("share").alias("share"))
-    found = stored(rows.mapInArrow(_find(_filter(told.select("term"))), _ROW).withColumn("rid", F.monotonically_increasing_id()), f"{path}/found")
+    found = stored(rows.mapInArrow(_find(_filter(told.select("term"))), _ROW), f"{path}/found")
     near = found.where(F.size("told") > 0).select("rid", F.explode("told").alias("x")).select("rid", "x.term", "x.start", "x.stop")
     hits = near.join(told, "term").select("rid", "start", "stop", "share")
     hits = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms"))
     out = found.drop("told").join(hits, "rid", "left")
     written = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["stop"].cast("string"))), ",")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, written))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), "terms")
+    return out.select("rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), "terms")
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms) of every row of ``docs``.
+
+    ``spans`` are all spans kind:start:end by kind as listed (terms last), then start; ``terms`` are the
+    disclosing terms as structs (start, stop, share), in documents without the entity too. Whole texts are read, however long;
+    null and empty ones have no spans. Rows that repeat an id
+    are looked at one by one; exact copies of a context count once for support. A share that equals a limit reaches it. A null id
+    stays null, an empty table gives no rows; only doc_id and text are read.
+    """
+    return _marked(_rows(docs), shared_dir(docs.sparkSession)).drop("rid")
 
 
 def sanitise_text(text: str | None, spans: str, shares: dict[int, float] | None = None) -> str:
@@ -343,7 +347,12 @@ def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with personal data masked and disclosing terms generalised or removed. Ids must be unique and not null."""
-    found = find_personal_data(docs).where("spans != ''").select(F.col("doc_id").alias("_id"), "spans", "terms")
-    rows = _rows(docs).join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), "terms")
+    """(doc_id, text) of every row, with personal data masked and disclosing terms generalised or removed.
+
+    Rows of a null or repeated id are each cleaned by their own spans; a null text becomes empty, an empty table gives no rows.
+    """
+    path = shared_dir(docs.sparkSession)
+    rows = stored(_rows(docs), f"{path}/rows")  # written, so that rid names the same row twice
+    found = _marked(rows, path).where("spans != ''").select("rid", "spans", "terms")
+    rows = rows.join(found, "rid", "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), "terms")
     return rows.mapInArrow(_sanitise, "doc_id long, text string")

@@ -108,3 +108,9 @@ def test_odd_rows(spark):
     long = "+" + "1" * 200_000 + " " + "1.2.3.4 " * 1000 + "a" * 100_000 + "@b.c"
     r = pii.find_personal_data(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
     assert (r["n_ip"], r["n_email"], r["n_phone"]) == (1000, 1, 0)
+
+
+def test_rows_that_repeat_are_cleaned_one_by_one(spark):
+    rows = [(1, "mail a@b.cc now"), (1, "mail a@b.cc now"), (1, "no data"), (None, "ip 1.2.3.4"), (None, None)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", "mail [EMAIL] now"), ("1", "mail [EMAIL] now"), ("1", "no data"), ("None", "ip [IP]"), ("None", "")])
