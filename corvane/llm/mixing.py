@@ -110,12 +110,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
 
 
 def _with_rows(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``, which name each row. Parquet tables name their rows themselves; others are written first."""
+    """(whole, _file, _row): all columns of a row as one struct, and what names it. Parquet tables name their rows themselves; others are written first."""
+    pick = lambda d: d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("whole"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     try:
-        return docs.select(*[docs[c] for c in docs.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return pick(docs)
     except AnalysisException:
-        docs = stored(docs, f"{path}/docs")
-        return docs.select(*[docs[c] for c in docs.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return pick(stored(docs, f"{path}/docs"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -127,7 +127,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     path = shared_dir(docs.sparkSession)
     named = _with_rows(docs, path)
-    rows = named.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), "_file", "_row")
+    own = lambda c: F.col(f"whole.`{c}`")
+    rows = named.select(own(id_col).alias("doc_id"), own(source_col).cast("string").alias("source"), word_count(own(text_col)).alias("size"), "_file", "_row")
     rows = stored(rows, f"{path}/sizes")
     groups = _placed(rows, ["doc_id", "_file"], weights, most, path)
     groups = groups.select(*[F.col(c).alias(f"g{c}") for c in ("doc_id", "_file", "source", "size")], "place", "rate")
@@ -136,7 +137,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     rows = rows.withColumn("turn", F.row_number().over(like)).join(groups, same[0] & same[1] & same[2] & same[3])
     copies = rows.select(F.col("_file").alias("f"), F.col("_row").alias("r"), _copies(F.col("place") + F.col("turn"), most).cast("int").alias("_copies")).where("_copies > 0")
     joined = named.join(stored(copies, f"{path}/copies"), (F.col("_file") == F.col("f")) & (F.col("_row") == F.col("r")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[named[c] for c in docs.columns])
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("whole.*")
 
 
 def oracle() -> str:

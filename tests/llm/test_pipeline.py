@@ -30,6 +30,8 @@ def test_stages(spark, sf_dir):
     assert bad and ids(after) == [d for d in ids(before) if d not in bad]
     before, after = steps["mixing"]
     assert ids(after) == sorted(r["doc_id"] for r in mixing.mix(before).collect() for _ in range(r["copies"]))
+    sized = lambda df: sorted(map(tuple, df.select("doc_id", "source", "n_chars").collect()))
+    assert set(sized(after)) <= set(sized(before))
     before, after = steps["token_output"]
     assert sorted(map(tuple, after.select("doc_id", "n_tokens").collect())) == sorted(map(tuple, token_output(before, tokenizer_path()).select("doc_id", "n_tokens").collect()))
 
@@ -39,11 +41,39 @@ def test_run(spark, sf_dir):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
 
 
-@pytest.mark.parametrize("number", range(4))
+ODD_TYPES = "doc_id long, text string, lang string, source string, n_chars long, id int, score double, _file string"
+TOKENS = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("number", range(5))
 def test_stages_take_odd_rows(spark, sf_dir, number):
     from .common import ODD
 
-    docs = spark.createDataFrame([(*r, None) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(*r, None, 1, 0.5, "f") for r in ODD], ODD_TYPES)
     for df in (docs, docs.where("false")):
         out = corpus_pipeline.STAGES[number][1](spark, df, sf_dir)
-        assert out.columns == docs.columns and out.count() <= 3 * df.count()
+        assert out.columns == (docs.columns if number < 4 else TOKENS) and out.count() <= 3 * df.count()
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, sf_dir):
+    """Toxicity, decontamination and mixing: null and repeated ids, with texts that go and texts that stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels, bench = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    judged = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    mean, calm = next(text[d] for d, p in judged.items() if p), next(text[d] for d, p in judged.items() if not p and len(text[d]) > 99)
+    other = docs.where("false").select("doc_id", "text").union(spark.createDataFrame([(i, t) for i in (None, -5) for t in (mean, calm, mean, calm)], "doc_id long, text string"))
+    more = docs.unionByName(other, allowMissingColumns=True)
+    kept = [(r["doc_id"], r["text"]) for r in toxicity.drop_toxic(more, labels).collect() if r["doc_id"] in (None, -5)]
+    assert sorted(map(str, kept)) == sorted(map(str, [(i, calm) for i in (None, -5) for _ in range(2)]))
+    item = bench.orderBy("item_id").first()["text"]
+    other = spark.createDataFrame([(i, t) for i in (None, -5) for t in (item, calm)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.drop_leaks(docs.unionByName(other, allowMissingColumns=True), bench).collect() if r["doc_id"] in (None, -5)]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, calm), (-5, calm)]))
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.columns == TOKENS and out.count() == 0
