@@ -3,50 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corvane.llm.common import shared_dir, stored
-from corvane.llm.decontaminate import drop_leaks
-from corvane.llm.minhash import drop_near_duplicates
-from corvane.llm.mixing import mixed_documents
-from corvane.llm.queries import tokenizer_path
-from corvane.llm.tokens import token_output
-from corvane.llm.toxicity import toxicity
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the toxicity machine rejects; rows of a null id stay."""
-    judged = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = judged.where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return drop_near_duplicates(docs, k=5, percent=80)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that leak a benchmark item."""
-    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a document taken twice is two rows."""
-    return mixed_documents(docs)
-
-
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token files and describe each document from them."""
-    return token_output(docs, tokenizer_path())
 
+from corvane.llm import stages
+from corvane.llm.common import delete, scratch, shared_dir, stored
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash_near_dedup", near_dedup),
-    ("benchmark_decontamination", decontaminate),
-    ("mixing", mix_sources),
-    ("token_output", write_tokens),
+    ("toxicity", stages.toxicity),
+    ("minhash_near_dedup", stages.near_dedup),
+    ("benchmark_decontamination", stages.decontaminate),
+    ("mixing", stages.mix_sources),
+    ("token_output", stages.write_tokens),
 ]
 
 #: SQL can express neither the trained stages nor the tokenizer; tests hold them against brute force.
@@ -54,9 +20,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of ``sf_dir``; the last one's rows come back."""
+    """Apply the stages to the documents of ``sf_dir``; the last one's rows come back.
+
+    Rows of null and repeated ids, null, empty and very long texts, ties and an empty table are handled as each stage states. A
+    stage's own tables, and what the stage before kept, are deleted when its result is written, but for the token files.
+    """
     path = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"{path}/{number}-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"{path}/{number}-{name}")
+        if number:
+            delete(spark, f"{path}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
