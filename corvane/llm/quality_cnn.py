@@ -1,10 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A document's UTF-8 bytes are embedded, and learned filters of WIDTH bytes look at every
-STRIDE-th place of the whole document, beside two marks that tell whether the four bytes there
-stood already a short or a middling way back. Each filter is max-pooled within overlapping chunks
-(two segments of SEGMENT places, half of them shared with the next chunk); the largest and the
-mean of the chunks' values are combined into one probability. Memory is bounded by the
+STRIDE-th place of the whole document. Each filter is max-pooled within overlapping chunks
+(two segments of SEGMENT places, half of them shared with the next chunk); the largest of the
+chunks' values are combined into one probability. Memory is bounded by the
 text at hand, cut into parts of PART bytes.
 """
 
@@ -20,22 +19,21 @@ from pyspark.sql import functions as F
 from .common import buffers
 from .toxicity import _judged, fit_labelled
 
-WIDTH, STRIDE, SEGMENT, FILTERS, EMBED = 8, 4, 64, 24, 6
-NEAR, FAR = range(1, 13), range(13, 33)
-#: Places between documents: as far as a mark looks back.
-SPARE = 9
+WIDTH, STRIDE, SEGMENT, FILTERS, EMBED = 16, 2, 64, 32, 6
+#: Places between documents, so that no filter sees another document.
+SPARE = WIDTH // STRIDE + 1
 #: Most labelled documents of each class that the network is fitted on, and passes over them.
-FIT_ROWS, EPOCHS = 400, 10
+FIT_ROWS, EPOCHS = 1500, 10
 THRESHOLD = 0.3
 #: Bytes that the filters look at together.
-PART = 1 << 19
-_COLS = WIDTH * EMBED + 2
+PART = 1 << 17
+_COLS = WIDTH * EMBED
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents padded to whole segments: bytes (0 beyond an end), first segment of each, places in use of each.
 
-    SPARE places at least stay empty behind each, so that neither a filter nor a mark sees another document.
+    SPARE places at least stay empty behind each.
     """
     size = offsets[1:] - offsets[:-1]
     places = np.maximum(-(-size // STRIDE), 1)
@@ -48,24 +46,6 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first, places
 
 
-def marks(raw: np.ndarray, n: int) -> np.ndarray:
-    """(n places, 2): the four bytes at a place stand within NEAR or FAR places before it too."""
-    four = np.zeros(len(raw), np.uint32)
-    for k in range(4):
-        four[: len(raw) - k] |= raw[k:].astype(np.uint32) << np.uint32(8 * k)
-    here = four[: n * STRIDE : STRIDE]
-    out = np.zeros((n, 2), np.float32)
-    solid = here != 0
-    lead = np.concatenate([np.zeros(max(FAR) + 1, np.uint32), four])
-    shift = max(FAR) + 1
-    for column, lags in enumerate((NEAR, FAR)):
-        hit = np.zeros(n, bool)
-        for lag in lags:
-            hit |= here == lead[shift - lag : shift - lag + n * STRIDE : STRIDE]
-        out[:, column] = hit & solid
-    return out
-
-
 class Network:
     """Weights and the two passes."""
 
@@ -75,65 +55,43 @@ class Network:
             "embed": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
             "filter": rng.normal(0, 1 / _COLS**0.5, (_COLS, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "out": np.zeros(2 * FILTERS, np.float32),
+            "out": np.zeros(FILTERS, np.float32),
             "last": np.zeros(1, np.float32),
         }
         self.scale, self.shift = 1.0, 0.0
 
-    def _columns(self, raw: np.ndarray, n: int) -> np.ndarray:
-        x = self.p["embed"][raw]
-        view = np.lib.stride_tricks.as_strided(x, (n, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
-        cols = np.empty((n, _COLS), np.float32)
-        cols[:, :-2] = view
-        cols[:, -2:] = marks(raw, n)
-        return cols
-
-    def pooled(self, raw: np.ndarray, first: np.ndarray, places: np.ndarray, keep: bool = False):
-        """(segments, FILTERS) maxima of each segment; with ``keep`` also where they are, and the columns."""
+    def pooled(self, raw: np.ndarray, first: np.ndarray, places: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(segments, FILTERS) maxima of each segment; with ``keep`` also the places within it where they are."""
         total = int(first[-1])
-        low, at, kept = np.empty((total, FILTERS), np.float32), None, None
+        low, at = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.int64) if keep else None
         used = np.zeros(total, np.int64)
         for k in range(len(places)):
             used[first[k] : first[k + 1]] = np.clip(places[k] - SEGMENT * np.arange(first[k + 1] - first[k]), 0, SEGMENT)
         step = max(1, PART // (SEGMENT * STRIDE))
-        if keep:
-            at, kept, step = np.empty((total, FILTERS), np.int64), [], total
         for s in range(0, total, step):
             e = min(s + step, total)
             n = (e - s) * SEGMENT
-            back = min(s * SEGMENT * STRIDE, 64)  # the marks look back over the cut
-            part = raw[s * SEGMENT * STRIDE - back : e * SEGMENT * STRIDE + WIDTH]
-            cols = self._columns(part, n + back // STRIDE)[back // STRIDE :]
+            x = self.p["embed"][raw[s * SEGMENT * STRIDE : e * SEGMENT * STRIDE + WIDTH]]
+            cols = np.lib.stride_tricks.as_strided(x, (n, _COLS), (STRIDE * EMBED * 4, 4))
             z = np.maximum(cols @ self.p["filter"] + self.p["bias"], 0).reshape(e - s, SEGMENT, FILTERS)
             for k in np.flatnonzero(used[s:e] < SEGMENT):
                 z[k, used[s + k] :] = 0
             if keep:
                 at[s:e] = z.argmax(1)
-                kept.append(cols)
             low[s:e] = z.max(1)
-        return (low, at, kept[0]) if keep else low
+        return low, at
 
-    def combined(self, low: np.ndarray, first: np.ndarray):
-        """Document vectors [largest, mean] over chunks, each of two neighbouring segments; and which segment won."""
-        n = len(first) - 1
+    def combined(self, low: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document vectors: the largest over chunks, each of two neighbouring segments of the document; and the chunks."""
         follow = np.minimum(np.arange(len(low)) + 1, np.repeat(first[1:] - 1, np.diff(first)))
-        second = low[follow] > low
         chunk = np.maximum(low, low[follow])
-        count = np.maximum(np.diff(first) - 1, 1)
-        last = first[1:] - 1
-        lone = np.diff(first) == 1
-        use = np.ones(len(low), np.float32)
-        use[last[~lone]] = 0  # the last segment starts no chunk, unless it is alone
-        chunk = chunk * use[:, None]
-        top = np.maximum.reduceat(chunk, first[:-1], axis=0)
-        mean = np.add.reduceat(chunk, first[:-1], axis=0) / count[:, None]
-        return np.hstack([top, mean]).reshape(n, 2 * FILTERS), chunk, follow, second, use, count
+        return np.maximum.reduceat(chunk, first[:-1], axis=0), chunk
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros(0)
         raw, first, places = layout(data, offsets)
-        doc = self.combined(self.pooled(raw, first, places), first)[0]
+        doc = self.combined(self.pooled(raw, first, places)[0], first)[0]
         return (doc @ self.p["out"] + self.p["last"]).astype(np.float64)
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
@@ -141,32 +99,25 @@ class Network:
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         raw, first, places = layout(data, offsets)
-        low, at, cols = self.pooled(raw, first, places, keep=True)
-        doc, chunk, follow, second, use, count = self.combined(low, first)
+        low, at = self.pooled(raw, first, places, keep=True)
+        doc, _ = self.combined(low, first)
         score = 1 / (1 + np.exp(-np.clip(doc @ self.p["out"] + self.p["last"], -30, 30)))
         slope = ((score - y) * weight / len(y)).astype(np.float32)
         g = {"out": doc.T @ slope, "last": np.array([slope.sum()], np.float32)}
-        back = slope[:, None] * self.p["out"]
-        owner = np.repeat(np.arange(len(y)), np.diff(first))
-        d_chunk = back[owner, FILTERS:] / count[owner][:, None] * use[:, None]
-        is_top = (chunk == np.repeat(doc[:, :FILTERS], np.diff(first), axis=0)) & (use[:, None] > 0)
-        rows, columns = np.nonzero(is_top)
-        _, once = np.unique(owner[rows] * FILTERS + columns, return_index=True)
-        d_chunk[rows[once], columns[once]] += back[owner[rows[once]], columns[once]]
-        d_low = np.where(second, 0, d_chunk)
-        np.add.at(d_low, follow, np.where(second, d_chunk, 0))
-        d_low = d_low * (low > 0)
-        place = np.arange(len(low))[:, None] * SEGMENT + at
-        flat, col = place.reshape(-1), np.tile(np.arange(FILTERS), len(low))
-        value = d_low.reshape(-1)
+        # a document's largest value comes from one place of one segment, whichever chunks that is in
+        best = np.stack([first[k] + low[first[k] : first[k + 1]].argmax(0) for k in range(len(y))])
+        col = np.tile(np.arange(FILTERS), len(y))
+        flat = (best * SEGMENT + at[best, np.arange(FILTERS)]).reshape(-1)
+        value = (slope[:, None] * self.p["out"] * (doc > 0)).reshape(-1)
         live = value != 0
         flat, col, value = flat[live], col[live], value[live]
         g["bias"] = np.bincount(col, value, FILTERS).astype(np.float32)
+        cols = self.p["embed"][raw[flat[:, None] * STRIDE + np.arange(WIDTH)]].reshape(len(flat), _COLS)
         g["filter"] = np.zeros_like(self.p["filter"])
         for f in range(FILTERS):
             mine = col == f
-            g["filter"][:, f] = value[mine] @ cols[flat[mine]]
-        inputs = value[:, None] * self.p["filter"][:-2].T[col]
+            g["filter"][:, f] = value[mine] @ cols[mine]
+        inputs = value[:, None] * self.p["filter"].T[col]
         g_embed = np.zeros((256, EMBED), np.float32)
         for w in range(WIDTH):
             here = raw[flat * STRIDE + w]
@@ -218,7 +169,7 @@ def _scores(held):
             data, offsets = buffers(batch.column("text"))
             at = 0
             while at < batch.num_rows:
-                stop = max(int(np.searchsorted(offsets, offsets[at] + 4 * PART, "right")) - 1, at + 1)
+                stop = max(int(np.searchsorted(offsets, offsets[at] + 8 * PART, "right")) - 1, at + 1)
                 own = offsets[at : stop + 1] - offsets[at]
                 score = net.probability(net.logits(data[offsets[at] : offsets[stop]], own)) if net is not None else np.zeros(stop - at)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, stop - at), pa.array(score)], ["doc_id", "score"])
@@ -231,7 +182,7 @@ def quality(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0),
     """(doc_id, held_out, score, predicted) of every row of ``docs``; a higher score means better text.
 
     ``labels`` has doc_id and quality; documents of the fold (divisor, remainder of crc32 of the id as text)
-    are never learnt from. A null or empty text is one place of padding and gets the score
+    are never learnt from. Whole texts are read, however long; a score that equals the threshold reaches it. A null or empty text is one place of padding and gets the score
     that the network gives to that. Without labels of both classes every score is 0. Rows that repeat an id are scored one
     by one, a null id is not held out, an empty table gives no rows; only doc_id and text are read.
     """

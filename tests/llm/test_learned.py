@@ -196,7 +196,7 @@ def _labels_of(texts, labels):
 
 def test_gradients():
     net = quality_cnn.Network(1)
-    net.p["out"] = np.random.default_rng(2).normal(size=2 * quality_cnn.FILTERS).astype(np.float32)
+    net.p["out"] = np.random.default_rng(2).normal(size=quality_cnn.FILTERS).astype(np.float32)
     data, offsets = quality_cnn._packed(["some text that is long enough " * 40, "short", "", "another one " * 9])
     y, weight = np.array([1, 0, 1, 0], np.float32), np.ones(4, np.float32)
 
@@ -218,9 +218,28 @@ def test_gradients():
         assert (up - down) / (2 * step) == pytest.approx(float((g[k] * direction).sum()), abs=3e-2, rel=0.1)
 
 
+def test_forward_pass_by_brute_force():
+    """Every filter at every place of every chunk, one after the other."""
+    net = quality_cnn.Network(3)
+    rng = np.random.default_rng(4)
+    net.p["out"], net.p["bias"] = (rng.normal(size=quality_cnn.FILTERS).astype(np.float32) for _ in range(2))
+    texts = ["", None, "short", "ein l\u00e4ngerer Text " * 30, "x" * 1000]
+    want = []
+    for t in texts:
+        data = (t or "").encode()
+        places = max(-(-len(data) // quality_cnn.STRIDE), 1)
+        data += bytes(quality_cnn.WIDTH)
+        top = np.zeros(quality_cnn.FILTERS)
+        for p in range(places):
+            x = net.p["embed"][list(data[p * quality_cnn.STRIDE : p * quality_cnn.STRIDE + quality_cnn.WIDTH])].reshape(-1)
+            top = np.maximum(top, x @ net.p["filter"] + net.p["bias"])
+        want.append(float(top @ net.p["out"] + net.p["last"][0]))
+    assert np.allclose(net.logits(*quality_cnn._packed(texts)), want, atol=1e-3)
+
+
 def test_whole_documents_are_read():
     net = quality_cnn.Network(1)
-    net.p["out"] = np.ones(2 * quality_cnn.FILTERS, np.float32)
+    net.p["out"] = np.ones(quality_cnn.FILTERS, np.float32)
     a = "plain words " * 200_000
     both = net.logits(*quality_cnn._packed([a, a + "ZQ#@!{}<>~^" * 3]))
     assert both[0] != both[1]
