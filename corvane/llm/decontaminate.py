@@ -233,36 +233,42 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class Items:
-    """Benchmark items ready for the search; grows with the benchmark alone."""
+    """Benchmark items ready for the search; grows with the benchmark alone. Words are numbers in the benchmark's own vocabulary."""
 
     def __init__(self, ids: list[int], texts: list[str | None], space: Space):
         words, at = word_hashes(*buffers(pa.array(texts, pa.string())))
-        rows = [(i, words[at[k] : at[k + 1]]) for k, i in enumerate(ids) if at[k + 1] > at[k]]
-        self.ids, self.words = [i for i, _ in rows], [w for _, w in rows]
-        self.sets = [np.unique(w) for w in self.words]
-        sums = np.array([space.table[np.unique(_buckets(w))].sum(0) for w in self.words]).reshape(-1, LATENT)
+        self.vocabulary, numbers = np.unique(words, return_inverse=True)
+        numbers = numbers.astype(np.int32)
+        rows = [(i, words[at[k] : at[k + 1]], numbers[at[k] : at[k + 1]]) for k, i in enumerate(ids) if at[k + 1] > at[k]]
+        self.ids, self.words = [i for i, _, _ in rows], [n for _, _, n in rows]
+        sums = np.array([space.table[np.unique(_buckets(w))].sum(0) for _, w, _ in rows]).reshape(-1, LATENT)
         self.vectors = np.ascontiguousarray(space.place(sums).T, np.float32)
         self.answers = []
-        for s in self.sets:
-            rare = np.lexsort((s, -space.weight[_buckets(s)]))
-            self.answers.append(rare[: max(1, int(np.ceil(ANSWER_WORDS * len(s))))])  # places in the set
-
-    def verdict(self, k: int, text: np.ndarray) -> tuple[float, float, bool]:
-        """Share of the item in its longest common subsequence with the text, share of answer words present, leak or not.
-
-        Only the text's words that the item has can be in either. The share of answer words is 0 where the subsequence alone rules a leak out.
+        for _, w, _ in rows:
+            s = np.unique(w)
+            rare = s[np.lexsort((s, -space.weight[_buckets(s)]))][: max(1, int(np.ceil(ANSWER_WORDS * len(s))))]
+            self.answers.append(set(np.searchsorted(self.vocabulary, rare).tolist()))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word; that of a word which no item has is the vocabulary's size."""
+        if not len(self.vocabulary):
+            return np.zeros(len(words), np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1).astype(np.int32)
+        at[self.vocabulary[at] != words] = len(self.vocabulary)
+        return at
+
+    def verdict(self, k: int, own: np.ndarray) -> tuple[float, float, bool]:
+        """Share of the item in its longest common subsequence with a text, share of answer words present, leak or not.
+
+        ``own`` are the text's words that the item has: no other can be in either. The share of answer words is 0 where the subsequence alone rules a leak out.
         """
-        own, size = self.sets[k], len(self.words[k])
-        at = np.minimum(np.searchsorted(own, text), len(own) - 1)
-        at = at[own[at] == text]
-        if len(at) < PART * size:
-            return len(at) / size, 0.0, False
-        lcs = common_subsequence(self.words[k], own[at]) / size
+        size = len(self.words[k])
+        if len(own) < PART * size:
+            return len(own) / size, 0.0, False
+        lcs = common_subsequence(self.words[k], own) / size
         if lcs < PART:
             return lcs, 0.0, False
-        there = np.zeros(len(own), bool)
-        there[at] = True
-        answer = float(there[self.answers[k]].mean())
+        answer = len(self.answers[k].intersection(own.tolist())) / len(self.answers[k])
         return lcs, answer, lcs >= WHOLE or answer >= ANSWER
 
 
@@ -272,16 +278,18 @@ def _found(items: Items, space: Space, batch: pa.RecordBatch) -> dict[tuple[int,
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     known: dict[tuple[int, int, int], tuple[float, float, bool]] = {}
     rows, doc, start = _padded(words, at, BLOCK)
+    words, member = items.numbers(words), np.zeros(len(items.vocabulary) + 1, bool)
     step = _SLICE // BLOCK
     rows = _distinct(rows)
     blocks = np.concatenate([space.table[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
     last = np.cumsum(np.bincount(doc, minlength=len(at) - 1))[doc] - 1 if len(doc) else doc
     index = np.arange(len(rows))
+    part = max(1 << 10, (1 << 23) // max(len(items.ids), 1))  # cosines of 32 MB together
     for width, hop in GRIDS:
         heads = index[((start // BLOCK) % hop == 0) & ((index + width - 1 <= last) | (start == 0) | (index + width - hop <= last))]
         place = np.arange(width * BLOCK)
-        for k in range(0, len(heads), 1 << 14):
-            head = heads[k : k + (1 << 14)]
+        for k in range(0, len(heads), part):
+            head = heads[k : k + part]
             total = blocks[head].copy()
             for j in range(1, width):
                 inside = head + j <= last[head]
@@ -293,24 +301,26 @@ def _found(items: Items, space: Space, batch: pa.RecordBatch) -> dict[tuple[int,
             order = np.argsort(which, kind="stable")
             near, which = near[order], which[order]
             bounds = np.flatnonzero(np.concatenate([[True], np.diff(which) > 0, [True]]))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            d_all = doc[head[near]]
+            lo_all = at[d_all] + start[head[near]]
+            hi_all = np.minimum(lo_all + width * BLOCK, at[d_all + 1])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 item, some = int(which[a]), near[a:b]
-                own, size = items.sets[item], len(items.words[item])
-                d = doc[head[some]]
-                lo = at[d] + start[head[some]]
-                hi = np.minimum(lo + width * BLOCK, at[d + 1])
-                text = words[np.minimum(lo[:, None] + place, len(words) - 1)]
-                slot = np.minimum(np.searchsorted(own, text), len(own) - 1)
-                hit = (own[slot] == text) & (lo[:, None] + place < hi[:, None])
+                size, d, lo, hi = len(items.words[item]), d_all[a:b], lo_all[a:b], hi_all[a:b]
+                member[items.words[item]] = True
+                slot = lo[:, None] + place
+                hit = member[words[np.minimum(slot, len(words) - 1)]] & (slot < hi[:, None])
                 for r in np.flatnonzero(hit.sum(1) >= SHARED * min(size, width * BLOCK // 2)).tolist():
                     first, stop = max(int(lo[r]) - size // 2, int(at[d[r]])), min(int(hi[r]) + size // 2, int(at[d[r] + 1]))
                     if (verdict := known.get((item, first, stop))) is None:
-                        verdict = known[item, first, stop] = items.verdict(item, words[first:stop])
+                        span = words[first:stop]
+                        verdict = known[item, first, stop] = items.verdict(item, span[member[span]])
                     lcs, answer, leak = verdict
                     if leak:
                         key = int(d[r]), item
                         best = float(round(lcs, 6)), float(round(answer, 6)), float(cosine[some[r], item])
                         found[key] = max(found.get(key, best), best)
+                member[items.words[item]] = False
     return found
 
 
