@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -351,7 +352,7 @@ class Collection:
 
     def _write_postings(self, f: Field, name: str) -> dict:
         p, options = self._analysis(f)
-        path = f"side/{name.rsplit('/', 1)[-1]}-{f.name}"
+        path = f"side/{uuid.uuid4().hex}-{f.name}"
         rows = self.store.segment(name, T.StructType([T.StructField("_id", T.StringType()), T.StructField(f.name, T.StringType()), *_META]))
         made = postings.lengths(rows, analyze(F.col(f"`{f.name}`"), p["tokenizer"], p["filters"], **options))
         made.select("_id", "_doc_id", "_seq", "n").write.parquet(f"{self.store.path}/{path}/lengths")
@@ -526,7 +527,7 @@ class Collection:
         Graph kinds are served by cells too: neighbours of a query lie in few of them, whatever structure finds these.
         """
         rows = self.store.segment(name, self._stored()).select("_id", "_doc_id", "_seq", F.col(f"`{f.name}`").alias("_v")).where("_v is not null")
-        path = f"side/{name.rsplit('/', 1)[-1]}-{f.name}-{self.manifest['version']}"
+        path = f"side/{uuid.uuid4().hex}-{f.name}"
         built = ann.Stored.build(rows, f"{self.store.path}/{path}", f.index)
         return {"path": path, "segments": [name]} if built else None
 

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch from which the next row begins another, unless the session sets its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
