@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: The separators of the word pattern ``[^\x20\x09-\x0D]+``.
 SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Bytes that one call of the word kernel looks at; longer words are still whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

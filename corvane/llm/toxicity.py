@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, slices
+from .common import claim, slices, word_hashes, word_spans
 
 #: Most labelled documents of each class that the machine is fitted on, taken by a digest of their id.
 FIT_ROWS = 1500
@@ -42,14 +42,17 @@ WINDOWS = ((8, 1), (12, 2), (LENGTH, 5))
 SCREEN = 0.5
 #: Landmarks that share one bound in the second screen.
 BUNDLE = 16
-#: Words that a worker remembers the values of.
-CACHE = 400_000
+#: Words that a worker remembers; past that it begins anew.
+CACHE = 1_000_000
 THRESHOLD = 0.3
 
 _LEET = str.maketrans({"1": "i", "!": "i", "0": "o", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t"})
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\x0b\x0c\r]+|\n+")
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _SIGNS = re.compile(r"[\W_]+")
+_STOP = np.zeros(256, bool)
+_STOP[[ord(x) for x in ".!?"]] = True
 _EDGES = ".,;:!?\"'()[]{}<>*#%&|"
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
 _WEIGHTS = [np.float32(DECAY ** (a + b - 2)) for a, b in _STEPS]
@@ -63,29 +66,11 @@ def spaced(text: str | None) -> str:
 def windows(text: str) -> Iterator[list[str]]:
     """The words of each window of each sentence of a text that ``spaced`` gave."""
     for sentence in _SENTENCE.split(text):
-        words = sentence.split()
+        words = _WORD.findall(sentence)
         for at in range(0, max(len(words) - WORDS // 2, 1), WORDS // 2):
             yield words[at : at + WORDS]
 
 
-def like_windows(text: str, like: dict[str, int]) -> set[frozenset[int]]:
-    """The numbers of the words of ``like`` in each of the windows, where there are any; looks at each word once."""
-    found, half = set(), WORDS // 2
-    for sentence in _SENTENCE.split(text):
-        words = sentence.split()
-        hits = [(k // half, like[w]) for k, w in enumerate(words) if w in like]
-        if hits:
-            last = max(-(-len(words) // half) - 2, 0)
-            own: dict[int, list[int]] = {}
-            for block, number in hits:
-                if block <= last:
-                    own.setdefault(block, []).append(number)
-                if block:
-                    own.setdefault(block - 1, []).append(number)
-            found.update(map(frozenset, own.values()))
-    return found
-
-
 def letters(word: str) -> str:
     """A word's letters, with digits and signs that stand for letters read so."""
     word = word.strip(_EDGES)
@@ -218,28 +203,27 @@ class Machine:
             out[k] = rows[heads[k] : heads[k + 1] if k + 1 < len(heads) else None].max(0)
         return place[heads], out
 
-    def values(self, rows: np.ndarray, sets: list[list[int]]) -> np.ndarray:
-        """The value of each sentence, given by the numbers of the rows of its words that are like a landmark."""
-        out = np.full(len(sets), self.bias, np.float32)
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
+    def values(self, rows: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The value of each sentence: ``flat`` holds, ``size`` at a time, the rows of its words that are like a landmark."""
+        out = np.full(len(size), self.bias, np.float32)
+        heads = np.cumsum(size) - size
         for n in np.unique(size[size > 0]).tolist():
             mine = np.flatnonzero(size == n)
             for at in range(0, len(mine), 1024):
                 part = mine[at : at + 1024]
-                out[part] += pooled(rows, [sets[k] for k in part.tolist()]) @ self.alpha
+                out[part] += pooled(rows, flat[heads[part][:, None] + np.arange(n)]) @ self.alpha
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * (value - self.shift), -30, 30)))
 
 
-def pooled(rows: np.ndarray, sets: list) -> np.ndarray:
-    """The largest of the rows of each set; the sets are of one size and not empty."""
-    which = np.array([list(x) for x in sets], np.int64)
+def pooled(rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The largest of the rows that each row of ``which`` names."""
     out = rows[which[:, 0]]
     for k in range(1, which.shape[1]):
         np.maximum(out, rows[which[:, k]], out=out)
-    return out
+    return out.astype(np.float32, copy=False)
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
@@ -318,6 +302,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     number: dict[tuple[int, ...], int] = {(): 0}  # 0: a sentence without a word like a landmark
     own = [np.array(sorted({number.setdefault(tuple(sorted({row[w] for w in x if w in row})), len(number)) for x in d} | {0})) for d in docs]
     sets = list(number)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))
     told = np.array([max((marks.get(x, 0.0) for x in parts[words[k]]), default=0.0) for k in seen.tolist()] or [0.0])
     value = np.array([max(told[list(x)]) if x else 0.0 for x in sets])
     y, pool_neg = np.array(labels), {0}
@@ -338,7 +324,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
         weight = np.concatenate([np.minimum(count, 50) * 1.0, np.ones(len(neg) + 1)])
         w, bias = _train_svm(x, target, weight)
         machine.alpha, machine.bias = (machine.root @ w).astype(np.float32), bias
-        value = machine.values(kernel, sets)
+        value = machine.values(kernel, flat, size)
     best = np.array([value[s].max() for s in own])
     # a logistic curve whose point of 0.3 lies where the training classes part best
     cuts = np.unique(np.round(best, 3))
@@ -380,74 +366,84 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[in
 
 
 class Reader:
-    """Scores texts by a machine; two generations of words are remembered, CACHE each at most."""
+    """Scores texts by a machine. Words are known by 64-bit hashes; CACHE of them are remembered, 12 bytes each, with the kernel values of those like a landmark."""
 
     def __init__(self, machine: Machine | None):
-        self.machine, self.young, self.old = machine, {}, {}
-        self.rows = self.old_rows = np.zeros((0, len(machine.landmarks) if machine else 0), np.float32)
+        self.machine = machine
+        self._forget()
+
+    def _forget(self) -> None:
+        # half precision: kernel values lie in 0..1, and a worker has many
+        self.rows = np.zeros((0, len(self.machine.landmarks) if self.machine else 0), np.float16)
         self.held, self.most = 0, np.zeros(0, np.float32)
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
-    def _keep(self, rows: np.ndarray) -> range:
+    def _keep(self, rows: np.ndarray) -> np.ndarray:
         first, self.held = self.held, self.held + len(rows)
-        self.most = np.concatenate([self.most[:first], rows @ np.maximum(self.machine.alpha, 0)])
+        self.most = np.concatenate([self.most, rows @ np.maximum(self.machine.alpha, 0)])
         if self.held > len(self.rows):
-            self.rows = np.concatenate([self.rows[:first], np.zeros((max(self.held, 1024), self.rows.shape[1]), np.float32)])
+            self.rows = np.concatenate([self.rows[:first], np.zeros((len(rows) + self.held // 8 + 1024, self.rows.shape[1]), np.float16)])
         self.rows[first : self.held] = rows
-        return range(first, self.held)
-
-    def _learn(self, words: set[str]) -> None:
-        """Give each word the number of its row; -1 if it is like no landmark."""
-        young, old, new, again = self.young, self.old, [], []
-        for w in words:
-            if w not in young:
-                k = old.get(w)
-                if k is None:
-                    new.append(w)
-                elif k < 0:
-                    young[w] = -1
-                else:
-                    again.append(w)
-        young.update(zip(again, self._keep(self.old_rows[[old[w] for w in again]]), strict=True))
-        young.update(dict.fromkeys(new, -1))
-        places, rows = self.machine.words(new)
-        young.update(zip((new[k] for k in places.tolist()), self._keep(rows), strict=True))
+        return np.arange(first, self.held, dtype=np.int32)
+
+    def _rows_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word's row; -1 if it is like no landmark. New words are read once."""
+        if len(self.keys) > CACHE:
+            self._forget()
+        own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] == own
+        numbers = np.full(len(own), -1, np.int32)
+        numbers[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = memoryview(data)
+            words = [bytes(raw[a:b]).decode("utf-8", "surrogatepass") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            places, rows = self.machine.words(words)
+            numbers[new[places]] = self._keep(rows)
+            self.keys, self.numbers = np.insert(self.keys, at[new], own[new]), np.insert(self.numbers, at[new], numbers[new])
+        return numbers[back]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.machine is None:
+        """The probability of each text, by the value of its strongest sentence."""
+        if self.machine is None or not texts:
             return np.zeros(len(texts))
-        if len(self.young) > CACHE:
-            self.old, self.old_rows, self.young, self.held = self.young, self.rows, {}, 0
-            self.rows = self.rows[:0]
-        texts = [spaced(t) for t in texts]
-        bags = [set(t.split()) for t in texts]
-        self._learn(set().union(*bags))
-        number = self.young
-        sets, owner = [], []
-        for place, (text, bag) in enumerate(zip(texts, bags, strict=True)):
-            like = {w: k for w in bag if (k := number[w]) >= 0}
-            found = like_windows(text, like) if len(like) > 1 else {frozenset(like.values())} if like else ()
-            sets += map(list, found)
-            owner += [place] * len(found)
-        return self.machine.probability(self._strongest(sets, np.array(owner, np.int64), len(texts)))
-
-    def _strongest(self, sets: list[list[int]], owner: np.ndarray, n: int) -> np.ndarray:
-        """The largest value of each document's sentences, given in the documents' order.
-
-        No sentence is worth more than its words' positive parts together: after the most promising sentence of
-        each document, only those that may exceed it are looked at.
-        """
-        machine = self.machine
-        best = np.full(n, machine.bias, np.float32)  # that of a sentence without such words, or of none
-        if not sets:
-            return best
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        bound = machine.bias + np.add.reduceat(self.most[np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))], np.cumsum(size) - size)
+        raw = [spaced(t).encode("utf-8", "surrogatepass") for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        start, end = word_spans(data, offsets)
+        best = np.full(len(texts), self.machine.bias, np.float32)  # that of a sentence without words like a landmark, or of none
+        if not len(start):
+            return self.machine.probability(best)
+        hashes, at = word_hashes(data, offsets, lower=False)
+        row = self._rows_of(data, start, end, hashes)
+        doc = np.repeat(np.arange(len(texts)), np.diff(at))
+        # a sentence begins with a document, after a stop and on a new line
+        lines = np.cumsum(data == 10)
+        new = np.ones(len(start), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | _STOP[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1] - 1])
+        sentence, heads, half = np.cumsum(new) - 1, np.flatnonzero(new), WORDS // 2
+        last = np.maximum(-(-np.diff(np.append(heads, len(start))) // half) - 2, 0)  # last window of each sentence
+        base = np.cumsum(last + 1) - last - 1
+        near = np.flatnonzero(row >= 0)
+        own = sentence[near]
+        block = (near - heads[own]) // half
+        here, before = block <= last[own], block > 0  # the windows that begin with a word's block, and with the one before
+        window = np.concatenate([(base[own] + block)[here], (base[own] + block - 1)[before]])
+        pair = np.unique(window * self.held + np.concatenate([row[near][here], row[near][before]]))
+        if not len(pair):
+            return self.machine.probability(best)
+        window, flat = pair // self.held, pair % self.held
+        first = np.flatnonzero(np.diff(window, prepend=-1))
+        size = np.diff(np.append(first, len(flat)))
+        owner = doc[heads][np.searchsorted(base, window[first], "right") - 1]
+        # no sentence is worth more than its words' positive parts together: after the most promising one of each document, only those that may exceed it are looked at
+        bound = self.machine.bias + np.add.reduceat(self.most[flat], first)
         order = np.lexsort((-bound, owner))
-        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
-        for some in (first, None):
-            some = np.flatnonzero(bound + 1e-4 > best[owner]) if some is None else some
-            np.maximum.at(best, owner[some], machine.values(self.rows, [sets[k] for k in some.tolist()]))
-        return best
+        for some in (order[np.flatnonzero(np.diff(owner[order], prepend=-1))], None):
+            some = np.flatnonzero(bound + 1e-2 > best[owner]) if some is None else some
+            which = np.repeat(first[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+            np.maximum.at(best, owner[some], self.machine.values(self.rows, flat[which], size[some]))
+        return self.machine.probability(best)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], machine, name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
