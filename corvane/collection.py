@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,6 +44,8 @@ class Query:
     nprobe: int | None = None
     refine: float | None = None
     is_linear: bool = False
+    #: A function of this query's documents, best first, that gives them back in its own order with its own scores (higher is better).
+    rerank: Callable[[list[Doc]], list[Doc]] | None = None
 
 
 _BAD_ROW = "CORVANE_BAD_ROW"
@@ -272,6 +274,9 @@ class Collection:
         lists = []
         for q in query:
             rows, metric = self._search(q, num_candidates or max(topk, 10), filter)
+            if q.rerank is not None:  # on the driver, over the query's few best documents
+                best = q.rerank(list(self._docs(self._shown(rows, self.projection(None), False, "_score").collect())))
+                rows, metric = self.spark.createDataFrame([(d.id, float(d.score)) for d in best], "_id string, _score double"), Metric.IP
             lists.append(fusion.Ranked(rows.select("_id", "_score"), metric))
         fused = fusion.fuse(lists, reranker, topk)
         full = self._shown(self.df(), names, include_doc_id)  # the short list is joined to the rows, whose keys are unique

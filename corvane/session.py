@@ -33,6 +33,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def init(threads: int | None = None, memory_mb: int | None = None, log_level: str = "WARN", log_dir: str | None = None, **options) -> SparkSession:
+    """A session with an engine's usual settings as Spark's: threads of a local master, memory of the driver, log level, a folder for event logs.
+
+    ``options`` are Spark's own by name, with _ for the dots. A session that lives already keeps what cannot change.
+    """
+    builder = SparkSession.builder.appName("corvane")
+    if threads is not None:
+        builder = builder.master(f"local[{threads}]").config("spark.sql.shuffle.partitions", str(threads))
+    if memory_mb is not None:
+        builder = builder.config("spark.driver.memory", f"{memory_mb}m")
+    if log_dir is not None:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
+    for name, value in options.items():
+        builder = builder.config(name.replace("_", "."), str(value))
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel(log_level)
+    return ship(spark)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it is deleted when the driver ends.
 

@@ -127,6 +127,12 @@ def test_hybrid_and_groups(made):
         made.group_by_query(Query("title", match_string="a"), "g")
 
 
+def test_rerankers_of_single_queries(made):
+    longest = lambda docs: [Doc(d.id, d.fields, float(d.fields["n"])) for d in sorted(docs, key=lambda d: -d.fields["n"])]
+    got = made.query([Query("v", [0.0, 0.0], rerank=longest), Query("title", match_string="word11")], topk=2, reranker=fusion.Rrf(), num_candidates=3)
+    assert [d.id for d in got] == ["d02", "d11"] and got[0].score == pytest.approx(1 / 61)
+
+
 def test_iterate_and_versions(made, spark):
     seen = made.iterate(["n"])
     first = next(seen)
