@@ -6,10 +6,7 @@ Arrow batch, and intermediate tables go to the folder that all executors share.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, work_dir
+
 #: The separators of the word pattern ``[^\x20\x09-\x0D]+``.
 SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Bytes that one call of the word kernel looks at; longer words are still whole.
@@ -34,22 +33,10 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session names none (local tests), the context's checkpoint folder
-    is used, or one is set. The folder is deleted when the driver ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; ``scratch`` deletes it at its end, or else the end of the driver does."""
+    path = work_dir(spark)
     if _OPEN:
         _OPEN[-1].append(path)
-    atexit.register(delete, spark, path)
     return path
 
 
@@ -76,14 +63,6 @@ def release() -> None:
         pass
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session is gone: its owner clears the shared folder
-        pass
-
-
 _HELD: dict[tuple, object] = {}
 
 

@@ -288,6 +288,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose document is kept by near_duplicates()."""
+    """The rows of ``docs``, all columns as they are, whose document is kept by near_duplicates().
+
+    Rows of one id stay or go together; rows of a null id and texts without words stay; an empty table gives no rows.
+    """
     gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -325,7 +325,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files of ``docs`` to the shared folder, read them back and describe each document.
 
-    An empty table gives no rows; other columns are not read.
+    Whole texts are encoded, however long; null and empty ones have the end id alone. Null ids come first, rows of one id are in the
+    order of their texts (equal rows in any), and each has its own place. An empty table gives no rows; other columns are not read.
     """
     folder = f"{shared_dir(docs.sparkSession)}/tokens"
     files = write_tokens(docs, folder, tokenizer, end_id, id_col, text_col)
