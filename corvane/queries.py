@@ -275,13 +275,13 @@ def _(spark, d):
 
 @_register(
     "callback_fusion",
-    f"""SELECT id, round(s, 6) AS score FROM (SELECT id, arg_max(s, t) AS s FROM (SELECT id, s, 1 AS t FROM {_list_sql("l2", 7)} UNION ALL SELECT id, s, 2 AS t FROM {_list_sql("cosine", 19)}) GROUP BY id) ORDER BY id LIMIT 10""",
+    f"""SELECT id, round(s, 6) + CAST(0 AS DOUBLE) AS score FROM (SELECT id, arg_max(s, t) AS s FROM (SELECT id, s, 1 AS t FROM {_list_sql("l2", 7)} UNION ALL SELECT id, s, 2 AS t FROM {_list_sql("cosine", 19)}) GROUP BY id) ORDER BY id LIMIT 10""",
 )
 def _(spark, d):
     """A function of its own: of a document in both lists the second score counts, and the ten first names win."""
     best = lambda lists: sorted({i: s for rows in lists for i, s in rows}.items())[:10]
     out = fusion.fuse([_ranked(spark, d, 7, Metric.L2), _ranked(spark, d, 19, Metric.COSINE)], fusion.Callback(best), 10)
-    return out.select(F.col("_id").alias("id"), F.round("_score", 6).alias("score"))
+    return out.select(F.col("_id").alias("id"), (F.round("_score", 6) + F.lit(0.0)).alias("score"))
 
 
 # -- full text --------------------------------------------------------------------------------
