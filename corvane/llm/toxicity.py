@@ -4,9 +4,9 @@ Strings are compared by their gapped three-letter subsequences: letters at most
 apart in all, each gap damped by DECAY, with marks at both ends of a word. An insult
 with letters put in or left out shares most of these with the insult itself. A word of more than LENGTH letters
 is read in overlapping windows of several widths, and in its parts between signs.
-What is classified is a sentence, read in windows of WORDS words (half of them shared with the next): its kernel value with
-a landmark is the largest that one of its words has, so that an insult of several words, each harmless, is more than
-its words. These values, mapped by the inverse root of the landmarks' own kernel matrix, are the features of
+What is classified is a sentence, read in windows of WORDS words (half of them shared with the next) and in each of its words alone: its kernel value with
+a landmark is the largest that one of the words has, so that an insult of several words, each harmless, is more than
+its words, and one that is a word is not lost among harmless ones. These values, mapped by the inverse root of the landmarks' own kernel matrix, are the features of
 a linear support vector machine. A document has the value of its strongest sentence; training takes the strongest
 sentence of a toxic document as positive and the strongest ones of other documents as negative, round by round.
 A word whose largest kernel value lies under SCREEN is unlike every landmark: it is orthogonal to all of them.
@@ -300,7 +300,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     seen, kernel = machine.words(words)
     row = dict(zip((words[k] for k in seen.tolist()), range(len(seen)), strict=True))
     number: dict[tuple[int, ...], int] = {(): 0}  # 0: a sentence without a word like a landmark
-    own = [np.array(sorted({number.setdefault(tuple(sorted({row[w] for w in x if w in row})), len(number)) for x in d} | {0})) for d in docs]
+    like = [[sorted({row[w] for w in x if w in row}) for x in d] for d in docs]
+    own = [np.array(sorted({number.setdefault(x, len(number)) for s in d for x in (tuple(s), *((k,) for k in s))} | {0})) for d in like]
     sets = list(number)
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))
@@ -375,12 +376,15 @@ class Reader:
     def _forget(self) -> None:
         # half precision: kernel values lie in 0..1, and a worker has many
         self.rows = np.zeros((0, len(self.machine.landmarks) if self.machine else 0), np.float16)
-        self.held, self.most = 0, np.zeros(0, np.float32)
+        self.held, self.most, self.alone = 0, np.zeros(0, np.float32), np.zeros(0, np.float32)
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def _keep(self, rows: np.ndarray) -> np.ndarray:
         first, self.held = self.held, self.held + len(rows)
-        self.most = np.concatenate([self.most, rows @ np.maximum(self.machine.alpha, 0)])
+        rows = rows.astype(np.float16)
+        exact = rows.astype(np.float32)
+        self.most = np.concatenate([self.most, exact @ np.maximum(self.machine.alpha, 0)])
+        self.alone = np.concatenate([self.alone, exact @ self.machine.alpha + self.machine.bias])
         if self.held > len(self.rows):
             self.rows = np.concatenate([self.rows[:first], np.zeros((len(rows) + self.held // 8 + 1024, self.rows.shape[1]), np.float16)])
         self.rows[first : self.held] = rows
@@ -425,6 +429,7 @@ class Reader:
         last = np.maximum(-(-np.diff(np.append(heads, len(start))) // half) - 2, 0)  # last window of each sentence
         base = np.cumsum(last + 1) - last - 1
         near = np.flatnonzero(row >= 0)
+        np.maximum.at(best, doc[near], self.alone[row[near]])
         own = sentence[near]
         block = (near - heads[own]) // half
         here, before = block <= last[own], block > 0  # the windows that begin with a word's block, and with the one before

@@ -143,12 +143,15 @@ def by_hand(machine, text, screen):
     for sentence in toxicity.windows(toxicity.spaced(text)):
         top = np.zeros(len(own))
         for word in sentence:
+            alone = np.zeros(len(own))
             for x in toxicity.pieces(word):
                 if x:
                     t = triples(x)
                     k = np.array([sum(v * o.get(f, 0) for f, v in t.items()) for o in own])
                     if k.max() >= screen:
                         top = np.maximum(top, k**toxicity.POWER)
+                        alone = np.maximum(alone, k**toxicity.POWER)
+            best = max(best, float(alone @ machine.alpha) + machine.bias)
         best = max(best, float(top @ machine.alpha) + machine.bias)
     return float(machine.probability(best))
 
