@@ -306,7 +306,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))
     told = np.array([max((marks.get(x, 0.0) for x in parts[words[k]]), default=0.0) for k in seen.tolist()] or [0.0])
-    value = np.array([max(told[list(x)]) if x else 0.0 for x in sets])
+    value = np.array([told[list(x)].sum() if x else 0.0 for x in sets])  # at first the sentences with most such strings
     y, pool_neg = np.array(labels), {0}
     for _ in range(rounds):
         strongest = np.array([s[np.argmax(value[s])] for s in own])
