@@ -149,18 +149,22 @@ def _product(weights, basis, kind: str):
         table = q.table if kind == "space" else np.vstack([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
         size = table.shape[1] + (kind == "space")
         out = np.zeros((BUCKETS + 1 if kind == "scatter" else size, size))
+        young = np.zeros(out.shape if kind == "scatter" else 0, np.float32)  # half the bytes to move; added up in full precision cell by cell
         for batch in batches:
             for cell in batch.column(0):
+                out += young if kind == "scatter" else 0
+                young[:] = 0
                 whole = np.frombuffer(cell.as_py(), "<u2").reshape(-1, 2 * BLOCK)
                 for at in range(0, len(whole), 512):
                     rows = whole[at : at + 512]
                     z = np.concatenate([table[rows[k : k + 256]].sum(1) for k in range(0, len(rows), 256)])  # what is gathered stays in the processor's cache
                     if kind == "scatter":
-                        _add_rows(out, rows.reshape(-1), z)
+                        _add_rows(young, rows.reshape(-1), z)
                     else:
                         z = np.hstack([np.ones((len(z), 1), np.float32), _unit(z)]) if kind == "space" else z
                         out += z.T @ z
         if kind == "scatter":
+            out += young
             out = (out[:-1] * idf[:, None]).astype(np.float32)  # half the bytes of what is shuffled
         for k in range(0, len(out), 1024):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out[k : k + 1024].tobytes()], pa.binary())], ["block", "part"])
@@ -279,6 +283,7 @@ def _found(items: Items, space: Space, batch: pa.RecordBatch) -> dict[tuple[int,
     known: dict[tuple[int, int, int], tuple[float, float, bool]] = {}
     rows, doc, start = _padded(words, at, BLOCK)
     words, member = items.numbers(words), np.zeros(len(items.vocabulary) + 1, bool)
+    padded = np.append(words, np.full(max(w for w, _ in GRIDS) * BLOCK, len(items.vocabulary), np.int32))
     step = _SLICE // BLOCK
     rows = _distinct(rows)
     blocks = np.concatenate([space.table[rows[k : k + step]].sum(1) for k in range(0, len(rows), step)] or [np.zeros((0, LATENT), np.float32)])
@@ -309,8 +314,10 @@ def _found(items: Items, space: Space, batch: pa.RecordBatch) -> dict[tuple[int,
                 size, d, lo, hi = len(items.words[item]), d_all[a:b], lo_all[a:b], hi_all[a:b]
                 member[items.words[item]] = True
                 slot = lo[:, None] + place
-                hit = member[words[np.minimum(slot, len(words) - 1)]] & (slot < hi[:, None])
-                for r in np.flatnonzero(hit.sum(1) >= SHARED * min(size, width * BLOCK // 2)).tolist():
+                hit = member.take(padded.take(slot))
+                short = np.flatnonzero(hi - lo < len(place))
+                hit[short] &= slot[short] < hi[short, None]
+                for r in np.flatnonzero(np.count_nonzero(hit, axis=1) >= SHARED * min(size, width * BLOCK // 2)).tolist():
                     first, stop = max(int(lo[r]) - size // 2, int(at[d[r]])), min(int(hi[r]) + size // 2, int(at[d[r] + 1]))
                     if (verdict := known.get((item, first, stop))) is None:
                         span = words[first:stop]
