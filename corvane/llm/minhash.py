@@ -36,6 +36,8 @@ FEW = 24
 LENGTHS = 50
 #: Most bits of the filter of ids whose full sets are built: 8 MB on the driver and in a broadcast.
 FILTER_BITS = 26
+#: Most bits of the places of the table that orders shingles: 16 MB in a broadcast.
+PLACE_BITS = 22
 
 _rng = np.random.default_rng(20240)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -121,7 +123,7 @@ def _sets(k: int, bits):
             for batch in slices(whole.filter(pa.array(ok)), limit=2 << 20):
                 words, at = word_hashes(*buffers(batch.column("text")))
                 sets = [shingle_hashes(words[at[r] : at[r + 1]], k) for r in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([*_keys(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["k1", "k2", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *_keys(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "k1", "k2", "shingles"])
 
     return run
 
@@ -142,11 +144,13 @@ def _id_filter(ids: DataFrame, count: int) -> tuple[int, object]:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, count: int, k: int, repeats: bool) -> DataFrame:
-    """(k1, k2, shingles), each set once, of the documents whose id is among ``ids``, and of few others."""
+    """(id, k1, k2, shingles), each set of an id once, of the documents whose id is among ``ids``, and of few others.
+
+    To be joined by id and set: an id that the filter lets pass by chance may be a copy of a wanted one, and a large group has many of these.
+    """
     bits, held = _id_filter(ids, count)
-    sets = docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "k1 long, k2 long, shingles array<long>")
-    # one id has one text and set, unless ids repeat; an id that the filter lets pass by chance may have the set of another
-    return sets.groupBy("k1", "k2").agg(F.first("shingles").alias("shingles")) if repeats else sets
+    sets = docs.select("id", "text", *_hashes("id", bits)).where("id is not null").mapInArrow(_sets(k, held), "id long, k1 long, k2 long, shingles array<long>")
+    return sets.groupBy("id", "k1", "k2").agg(F.first("shingles").alias("shingles")) if repeats else sets
 
 
 #: A pair of classes: the smallest ids of their documents, and the names of their sets.
@@ -230,10 +234,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _place_counts(sets: DataFrame):
+    """Broadcast counts of the shingles of ``sets`` (comp, shingles) by place, their lowest bits; 0 where one component alone has the place."""
+    total = sets.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 0
+    size = 1 << min(PLACE_BITS, max(16, (4 * total).bit_length()))
+    places = sets.select("comp", F.explode("shingles").alias("s")).groupBy((F.col("s").bitwiseAND(size - 1)).cast("int").alias("place"))
+    found = places.agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    found = found.select("place", F.least("c", F.lit((1 << 32) - 1)).alias("c")).toArrow()
+    counts = np.zeros(size, np.uint32)
+    counts[found["place"].to_numpy()] = found["c"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(counts)
+
+
+def _firsts(percent: int, counts):
+    """The first shingles of each set in the order of ``counts``, as many as may hold the first that it shares with a set it links with; left: how many follow, itself included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = counts.value
+        for b in batches:
+            s, n = b.column("shingles").flatten().to_numpy(), b.column("shingles").value_lengths().to_numpy().astype(np.int64)
+            c, row = held[s & (len(held) - 1)], np.repeat(np.arange(len(n)), n)
+            s, c, row = (x[c > 0] for x in (s, c, row))
+            order = np.lexsort((s, c, row))
+            s, row = s[order], row[order]
+            known = np.bincount(row, minlength=len(n))
+            left = np.cumsum(known)[row] - np.arange(len(row))
+            some = known - (n * percent + 99) // 100 + 1
+            ok = known[row] - left < some[row]
+            s, row, left = s[ok], row[ok], left[ok]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s), b.column("cls").take(pa.array(row)), b.column("comp").take(pa.array(row)), pa.array(n[row]), pa.array(left)], ["s", "cls", "comp", "n", "left"]
+            )
+
+    return run
+
+
 def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: str, repeats: bool) -> DataFrame:
     """Pairs (a, b) of classes of different components in ``some`` (cls, comp, cid, k1, k2) that may reach the threshold: no such pair is missing.
 
-    Shingles are put in one order for all: those that only one component has, then by how many sets have them.
+    Shingles are put in one order for all: those that only one component has, then by how many sets have them, as counted by
+    place in a table of bounded size; shingles that share a place only come later in the order than they might.
     Sets of n and m shingles that link share percent / (100 + percent) * (n + m) of them, so their first
     common shingle stands, in both, before so many others are left; in particular within the first n - percent * n / 100 + 1.
     A document that has strayed from its group by more than that shares none of these rare ones with it
@@ -241,17 +281,11 @@ def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: st
     ask only for the lengths that their own place in the order allows.
     """
     ids = some.select(F.col("cid").alias("id"))
-    sets = stored(_full_sets(docs, ids, some.count(), k, repeats).join(some.select("cls", "comp", "k1", "k2"), ["k1", "k2"]).select("cls", "comp", "shingles"), f"{path}/sets")
+    wanted = some.select("cls", "comp", F.col("cid").alias("id"), "k1", "k2")
+    sets = stored(_full_sets(docs, ids, some.count(), k, repeats).join(wanted, ["id", "k1", "k2"]).select("cls", "comp", "shingles"), f"{path}/sets")
     sizes = some.groupBy("comp").agg(F.count(F.lit(1)).alias("volume"))
-    each = sets.select("cls", "comp", F.explode("shingles").alias("s"))
-    known = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("s", "c")
-    known = stored(known, f"{path}/known")
-    order = split_join(each.select("cls", "s"), known, ["s"], ["cls"], sizes=known.withColumnRenamed("c", "_n")).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
-    n, left = F.size("shingles").cast("long"), F.size("order").cast("long")
-    first = n - F.floor((n * percent + 99) / 100) + 1 - (n - left)
-    order = order.join(sets, "cls").select("cls", "comp", n.alias("n"), left.alias("left"), F.slice("order", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("order"))
-    firsts = order.join(sizes, "comp").select("cls", "comp", "volume", "n", "left", F.posexplode("order").alias("i", "x"))
-    firsts = stored(firsts.select(F.col("x.s").alias("s"), "cls", "comp", "volume", "n", (F.col("left") - F.col("i")).alias("left")), f"{path}/firsts")
+    firsts = sets.mapInArrow(_firsts(percent, _place_counts(sets)), "s long, cls long, comp long, n long, left long")
+    firsts = stored(firsts.join(sizes, "comp"), f"{path}/firsts")
     main = firsts.groupBy("s").agg(F.max(F.struct("volume", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     firsts = stored(split_join(firsts, main.select("s", F.col("main.comp").alias("main")), ["s"], ["cls"]), f"{path}/shared")
     length = lambda x: F.floor(F.log(x.cast("double")) * LENGTHS).cast("int")
@@ -280,8 +314,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str
     likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long, a1 long, a2 long, b1 long, b2 long"), f"{path}/likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
     sets = stored(_full_sets(docs, ids, 2 * likely.count(), k, repeats), f"{path}/sets")
-    side = lambda s: sets.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("shingles").alias(f"s{s}"))
-    full = split_join(split_join(likely, side("a"), ["a1", "a2"], ["b1"]), side("b"), ["b1", "b2"], ["a1"], counted=likely)
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("shingles").alias(f"s{s}"))
+    full = split_join(split_join(likely, side("a"), ["a", "a1", "a2"], ["b1"]), side("b"), ["b", "b1", "b2"], ["a1"], counted=likely)
     common = F.size(F.array_intersect("sa", "sb"))
     full = full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
     return stored(full.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("t") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), f"{path}/links")

@@ -141,6 +141,59 @@ def test_groups_of_copies(spark):
     assert minhash.drop_near_duplicates(df, 5, 80).count() == 1
 
 
+def strays(copies, seed=3):
+    """Exact copies of one text, and near copies of it that stray ever further."""
+    rng = random.Random(seed)
+    base = [f"v{k}" for k in range(60)]
+    rows = [(i, " ".join(base)) for i in range(copies)]
+    for i in range(60):
+        near = list(base)
+        for _ in range(i % 9):
+            near[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((10_000 + i, " ".join(near)))
+    return rows
+
+
+def test_copies_add_no_rows_to_the_rare_filter(spark, monkeypatch):
+    """Ids that the id filter lets pass by chance (here nearly all) may be copies of a wanted one: sets and prefixes stay as many."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "FILTER_BITS", 6)
+    whole, join, seen = minhash.stored, minhash.split_join, {}
+
+    def stored(df, path):
+        out = whole(df, path)
+        seen["/".join(path.split("/")[-2:])] = out.count()
+        return out
+
+    def split_join(left, right, keys, *args, **options):
+        if keys == ["s"]:
+            seen["by shingle"] = seen.get("by shingle", 0) + left.count()
+        return join(left, right, keys, *args, **options)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    monkeypatch.setattr(minhash, "split_join", split_join)
+    counts = []
+    for copies in (1, 40):
+        seen.clear()
+        rows = strays(copies)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == by_brute(rows, 2, 80)
+        counts.append((seen["rare/sets"], seen["rare/firsts"]))
+        # joins by shingle take prefixes of a fifth of a set alone, not whole sets of 59
+        assert 0 < seen["by shingle"] <= seen["rare/sets"] * 13
+    assert counts[0] == counts[1]
+
+
+@pytest.mark.parametrize("places", [0, 4, 22])
+def test_shared_places_change_no_result(spark, monkeypatch, places):
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "PLACE_BITS", places)
+    rng = random.Random(places)
+    rows = strays(5) + [(20_000 + rng.randrange(70), t) for t in texts(7, 100)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == by_brute(rows, 2, 80)
+
+
 def test_registers():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 1 << 63, 800, dtype=np.int64).view(np.uint64)
