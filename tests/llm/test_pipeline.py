@@ -1,5 +1,7 @@
 """The pipeline stage by stage: each one's input and output are whole tables whose decisions fit the operators'."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from corvane.llm import decontaminate, minhash, mixing, toxicity
@@ -77,3 +79,27 @@ def test_empty_tables(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert out.columns == TOKENS and out.count() == 0
+
+
+def test_near_dedup_joins_prefixes_alone(spark, sf_dir, monkeypatch):
+    """Joins by shingle take a fifth of a set, not whole sets of 56 five-word shingles, from each near copy."""
+    from corvane.llm import stages
+
+    rng, base, rows = random.Random(5), [f"v{k}" for k in range(60)], []
+    for i in range(50):
+        near = list(base)
+        for _ in range(i % 6):
+            near[rng.randrange(60)] = f"x{i}y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near)))
+    join, left_rows = minhash.split_join, []
+
+    def split_join(left, right, keys, *args, **options):
+        if keys == ["s"]:
+            left_rows.append(left.count())
+        return join(left, right, keys, *args, **options)
+
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "split_join", split_join)
+    kept = stages.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).count()
+    assert 1 < kept < 50
+    assert 0 < sum(left_rows) <= 50 * 13
