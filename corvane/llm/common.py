@@ -82,6 +82,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, table: pa.Table, schema) -> DataFrame:
+    """A table of the driver as a DataFrame. From Python rows Spark would make it in a second set of Python workers, which then stay beside the others."""
+    return spark.createDataFrame(table, schema)
+
+
 #: A key with more than one in so many rows is dealt to several tasks by ``split_join``.
 HOT = 1024
 
@@ -99,10 +104,10 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     parts = F.ceil(F.col("_n") * HOT / F.lit(max(total, 1))).cast("int")
     hot = sizes.select(*keys, parts.alias("_parts")).where("_parts > 1")
-    rows = hot.collect() if total > 16 * HOT else []
+    rows = hot.toArrow() if total > 16 * HOT else None
     if not rows:
         return left.join(right, keys)
-    hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    hot = F.broadcast(small_table(left.sparkSession, rows, hot.schema))
     dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copied = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [*keys, "_salt"]).drop("_salt")

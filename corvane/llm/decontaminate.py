@@ -349,7 +349,7 @@ def _search(held, folding):
 def _clean(held, folding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, limit=4 << 20):
+            for batch in slices(whole, limit=1 << 20):  # what a search needs beside the texts is many times their size
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _ in _found(held.value, folding.value, batch)]] = False
                 yield batch.filter(pa.array(keep))

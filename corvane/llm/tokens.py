@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, buffers, claim, release, shared_dir, slices, stored, word_spans
+from .common import SEPARATOR, buffers, claim, release, shared_dir, slices, small_table, stored, word_spans
 
 MAGIC = b"CVPFOR1\n"
 BLOCK, PERCENTILE = 4096, 95
@@ -256,7 +256,7 @@ def _writer(tokenizer: str, end_id: int, folder: str):
             return pa.RecordBatch.from_arrays([pa.array([f"{name}.pfor"]), pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([size], pa.int64())], ["file", "part", "number", "tokens"])
 
         for batch in batches:
-            for piece in slices(batch, limit=4 << 20):
+            for piece in slices(batch, limit=1 << 20):
                 flat, at = encoder.encode(piece.column(1))
                 for k, doc in enumerate(piece.column(0).to_pylist()):
                     docs.append(doc)
@@ -307,7 +307,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     for part in sorted(totals):
         offsets.append((part, offset))
         offset += totals[part]
-    base = spark.createDataFrame(offsets, "part long, base long")
+    parts, bases = zip(*offsets, strict=True) if offsets else ((), ())
+    base = small_table(spark, pa.table({"part": pa.array(parts, pa.int64()), "base": pa.array(bases, pa.int64())}), "part long, base long")
     from pyspark.sql import Window
 
     within = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -331,5 +332,6 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     folder = f"{shared_dir(docs.sparkSession)}/tokens"
     files = write_tokens(docs, folder, tokenizer, end_id, id_col, text_col)
     if files.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+        columns = ("doc_id", "start", "n_tokens", "ids_crc32")
+        return small_table(docs.sparkSession, pa.table({c: pa.array([], pa.int64()) for c in columns}), ", ".join(f"{c} long" for c in columns))
     return read_tokens(files, folder)

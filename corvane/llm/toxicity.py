@@ -190,14 +190,17 @@ class Machine:
         parts = ((k, x) for k, w in enumerate(words) for x in pieces(w))
         while some := list(islice(parts, 16_384)):
             at, own = self.near([x for _, x in some])
-            places.append(np.array([some[k][0] for k in at.tolist()], np.int64))
-            rows.append(own)
+            place = np.array([some[k][0] for k in at.tolist()], np.int64)
+            order = np.argsort(place, kind="stable")  # the next pieces are of the same word or of later ones
+            places.append(place[order])
+            rows.append(own[order])
         place = np.concatenate([*places, np.zeros(0, np.int64)])
         if not len(place):
             return place, np.zeros((0, len(self.landmarks)), np.float32)
-        order = np.argsort(place, kind="stable")
-        place, rows = place[order], np.concatenate(rows)[order]
+        rows = np.concatenate(rows)
         heads = np.flatnonzero(np.diff(place, prepend=-1))
+        if len(heads) == len(place):
+            return place, rows
         out, many = rows[heads], np.flatnonzero(np.diff(heads, append=len(place)) > 1)  # few words have several pieces
         for k in many.tolist():
             out[k] = rows[heads[k] : heads[k + 1] if k + 1 < len(heads) else None].max(0)
@@ -261,16 +264,17 @@ def _landmarks(sentences: dict[tuple[str, ...], set[int]], parts: dict[str, list
     Counted over distinct sentences, so that copies of a document are no evidence. Beside single strings come
     those of neighbouring words that mark toxic sentences as a pair though neither does alone.
     """
-    bags = {s: {x for w in s for x in parts[w]} for s in sentences}
+    bag = lambda s: {x for w in s for x in parts[w]}  # noqa: E731 -- made when counted: those of all sentences are several times the texts
     count = lambda y, have: Counter(x for s, labels in sentences.items() if y in labels for x in have(s))
     total = [sum(y in labels for labels in sentences.values()) for y in (0, 1)]
-    n_good = count(0, bags.__getitem__)
-    marks = {x: v for x, v in _marks(count(1, bags.__getitem__), n_good, total[1], total[0]).items() if len(x) > 2}
+    n_good = count(0, bag)
+    marks = {x: v for x, v in _marks(count(1, bag), n_good, total[1], total[0]).items() if len(x) > 2}
     toxic = _best(marks, TOXIC_LANDMARKS) or sorted(marks, key=lambda x: (-marks[x], x))[:1]
     told = set(toxic)
     calm = {w for w, own in parts.items() if own and not told.intersection(own)}
     pairs = lambda s: {(a, b) for a, b in zip(s, s[1:], strict=False) if a in calm and b in calm}
-    phrases = _best(_marks(count(1, pairs), count(0, pairs), total[1], total[0]), PHRASE_LANDMARKS)
+    bad = count(1, pairs)
+    phrases = _best(_marks(bad, count(0, lambda s: pairs(s) & bad.keys()), total[1], total[0]), PHRASE_LANDMARKS)
     return list(dict.fromkeys(toxic + [x for p in phrases for w in p for x in parts[w]][:PHRASE_LANDMARKS])), marks, n_good
 
 
@@ -286,6 +290,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
             sentences.setdefault(x, set()).add(label)
     parts = {w: [one.setdefault(x, x) for x in pieces(w) if x] for w in sorted({w for x in sentences for w in x})}
     toxic, marks, n_good = _landmarks(sentences, parts)
+    del sentences  # what is not needed any more goes: a worker's memory counts beside its executor's
     if not toxic:
         return None
     # clean landmarks: the words of clean documents that are most like a toxic one
@@ -294,6 +299,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     like, near = np.zeros(len(pool)), probe.near(pool)
     like[near[0]] = near[1].max(1)
     clean = [pool[k] for k in np.lexsort((np.arange(len(pool)), -like))[:CLEAN_LANDMARKS]]
+    del pool, n_good
     machine = Machine(list(dict.fromkeys(toxic + clean)))
 
     words = list(parts)
@@ -303,6 +309,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 5) -> Machine
     like = [[sorted({row[w] for w in x if w in row}) for x in d] for d in docs]
     own = [np.array(sorted({number.setdefault(x, len(number)) for s in d for x in (tuple(s), *((k,) for k in s))} | {0})) for d in like]
     sets = list(number)
+    del docs, like, number
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))
     told = np.array([max((marks.get(x, 0.0) for x in parts[words[k]]), default=0.0) for k in seen.tolist()] or [0.0])

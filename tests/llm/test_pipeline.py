@@ -1,13 +1,18 @@
 """The pipeline stage by stage: each one's input and output are whole tables whose decisions fit the operators'."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
-from corvane.llm import decontaminate, minhash, mixing, toxicity
-from corvane.llm.common import shared_dir, stored
+from corvane.llm import decontaminate, minhash, mixing, tokens, toxicity
+from corvane.llm.common import shared_dir, split_join, stored
 from corvane.llm.queries import tokenizer_path
 from corvane.llm.tokens import token_output
+from pyspark.sql import functions as F
 
 
 def test_stages(spark, sf_dir):
@@ -103,3 +108,43 @@ def test_near_dedup_joins_prefixes_alone(spark, sf_dir, monkeypatch):
     kept = stages.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).count()
     assert 1 < kept < 50
     assert 0 < sum(left_rows) <= 50 * 13
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_little(monkeypatch, tmp_path):
+    """MB beyond their input that fit, search and token writer of the stages take in a worker, which counts beside its executor."""
+    rng, held = random.Random(3), lambda x: SimpleNamespace(value=x)
+    known = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(2000)]
+    text = lambda n: " ".join(rng.choices(known, k=n))
+    labels = [int(i % 6 == 0) for i in range(300)]
+    texts = [text(600) + " qworble" * y for y in labels]
+    assert _peak(lambda: toxicity.fit(texts, labels)) < 30  # texts of 1.2 MB
+    space = decontaminate.Space(np.random.default_rng(4).normal(size=(decontaminate.BUCKETS, decontaminate.LATENT)), np.ones(decontaminate.BUCKETS))
+    items = decontaminate.Items(list(range(50)), [text(40) for _ in range(50)], space)
+    batch = pa.record_batch({"doc_id": list(range(600)), "text": [text(1000) for _ in range(600)]})  # 4 MB
+    assert _peak(lambda: [None for _ in decontaminate._clean(held(items), held(space))(iter([batch]))]) < 40
+    monkeypatch.setattr(tokens, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    write, first = tokens._writer(tokenizer_path(), 2, f"file://{tmp_path}"), pa.record_batch({"id": [0], "text": [" ".join(known)]})
+    assert _peak(lambda: list(write(iter([first, batch])))) < 35
+
+
+def test_small_tables_start_no_workers_of_their_own(spark, monkeypatch):
+    """Tables of the driver reach Spark without Python rows, for which each executor would start a second set of workers that stays."""
+    rows = spark.createDataFrame([(i, None if i % 2 else f"t {i}") for i in range(20)], "doc_id long, text string")
+    many = stored(spark.range(20_000).selectExpr("if(id < 9000, 7, id) as k", "id as v"), f"{shared_dir(spark)}/many")
+    right = many.where("k = v").select("k", F.col("v").alias("w"))
+    made, parallelize = [], type(spark.sparkContext).parallelize
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda self, c, *a: made.append(c) or parallelize(self, c, *a))
+    assert token_output(rows, tokenizer_path()).count() == 20
+    assert token_output(rows.where("false"), tokenizer_path()).columns == TOKENS
+    joined = split_join(many, right, ["k"], ["v"])
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, many.join(right, ["k"]).collect()))
+    assert "_salt" in joined._jdf.queryExecution().analyzed().toString() and not made
