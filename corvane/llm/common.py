@@ -76,6 +76,24 @@ def claim(name: str, *key, make=lambda: None):
     return _HELD[own]
 
 
+#: Rows of the corpus for which ``files_for`` allows a file.
+FILE_ROWS = 4096
+
+
+def files_for(spark: SparkSession, rows: int) -> int | None:
+    """How many files an intermediate table of a corpus of ``rows`` is to have; None, one a partition, unless the session has far more partitions than the corpus fills.
+
+    Files of a few rows each cost their executor a process on a local disk (Hadoop's chmod), at whose start the JVM's memory counts twice.
+    """
+    files = max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return files if 2 * files < int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, files: int | None) -> DataFrame:
+    """``df`` to be written as so many files, its rows dealt by turns; the work before is split as it was. The rows must not depend on the order in which a task meets them."""
+    return df.repartition(files) if files else df
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: lineage ends at files that outlive executors."""
     df.write.mode("overwrite").parquet(path)

@@ -187,8 +187,9 @@ def _reduced(passages: DataFrame, idf, basis, kind: str) -> np.ndarray:
     columns = LATENT + (1 if kind == "space" else EXTRA)
     held = passages.sparkSession.sparkContext.broadcast(basis)
     parts = passages.mapInArrow(_product(idf, held, kind), "block long, part binary")
-    got = parts.groupBy("block").applyInArrow(_summed(np.float32 if kind == "scatter" else np.float64), "block long, part binary").orderBy("block").collect()
-    return np.concatenate([np.frombuffer(r["part"]).reshape(-1, columns) for r in got]) if got else np.zeros((0, columns))
+    got = parts.groupBy("block").applyInArrow(_summed(np.float32 if kind == "scatter" else np.float64), "block long, part binary").orderBy("block").toArrow()
+    held.destroy()
+    return np.concatenate([np.frombuffer(x.as_buffer()).reshape(-1, columns) for x in got["part"]]) if len(got) else np.zeros((0, columns))
 
 
 def latent_space(docs: DataFrame, path: str) -> Space:
@@ -219,6 +220,8 @@ def latent_space(docs: DataFrame, path: str) -> Space:
     moments = _reduced(passages, idf, space, "space")
     if len(moments):
         space.whiten(moments)
+    idf.destroy()
+    release()
     return space
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, claim, mix64, release, shared_dir, shingle_hashes, slices, split_join, stored, word_hashes
+from .common import buffers, claim, dealt, files_for, mix64, release, shared_dir, shingle_hashes, slices, split_join, stored, word_hashes
 from .components import components
 
 ROWS, BANDS, MANTISSA = 5, 40, 10
@@ -187,11 +187,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     path = shared_dir(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sketches(k), "id long, n long, k1 long, k2 long, regs binary"), f"{path}/rows")
+    files = files_for(spark, rows.count())
     linking = rows.where("n > 0 and id is not null")
     # a class: documents of one set; cls names it, cid (its smallest id, which classes of a repeated id may share) is its node
     classes = linking.groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), f"{path}/classes")
-    repeated = stored(linking.groupBy("id").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("k1", "k2") for f in (F.min, F.max)]).where("c > 1"), f"{path}/repeated")
+    repeated = stored(dealt(linking.groupBy("id").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("k1", "k2") for f in (F.min, F.max)]).where("c > 1"), files), f"{path}/repeated")
     repeats = not repeated.isEmpty()
     some_texts = repeated.where("k1_min != k1_max or k2_min != k2_max").select("id")  # an id of several texts joins their classes
     same_id = None if not repeats or some_texts.isEmpty() else split_join(linking.join(some_texts, "id", "left_semi").select("id", "k1", "k2"), classes.select("k1", "k2", "cid"), ["k1", "k2"], ["id"])
@@ -200,34 +201,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = classes.select("cls", "regs", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("key"), "cls")
     buckets = bands.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("size"))
-    buckets = stored(buckets.where("low < high"), f"{path}/buckets")
-    members = stored(bands.join(buckets.where("size > 2").select("key", "size"), "key"), f"{path}/members")
+    buckets = stored(dealt(buckets.where("low < high"), files), f"{path}/buckets")
+    members = stored(dealt(bands.join(buckets.where("size > 2").select("key", "size"), "key"), files), f"{path}/members")
     central = members.groupBy("cls").agg(F.sum("size").alias("weight"))
     hubs = members.join(central, "cls").groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("cls").alias("turn"), "cls")).alias("hub"))
 
     pairs = buckets.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     star = split_join(members, hubs.select("key", F.col("hub.cls").alias("hub")), ["key"], ["cls"]).where("cls != hub")
-    pairs = stored(pairs.union(star.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))).distinct(), f"{path}/pairs")
-    links = _verified(docs, _with_sketches(pairs, classes), k, percent, f"{path}/star", repeats)
+    pairs = stored(dealt(pairs.union(star.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))).distinct(), files), f"{path}/pairs")
+    links = _verified(docs, _with_sketches(pairs, classes), k, percent, f"{path}/star", repeats, files)
     if same_id is not None:
-        links = stored(links.union(same_id.select(F.col("id").alias("u"), F.col("cid").alias("v")).where("u != v")).distinct(), f"{path}/same")
-    labels = components(links, f"{path}/c1")
+        links = stored(dealt(links.union(same_id.select(F.col("id").alias("u"), F.col("cid").alias("v")).where("u != v")).distinct(), files), f"{path}/same")
+    labels = components(links, f"{path}/c1", files=files)
 
     comp = classes.join(labels, F.col("cid") == labels.node, "left").select("cls", F.coalesce("component", "cid").alias("comp"))
-    rest = stored(members.join(comp, "cls").select("key", "cls", "size", "comp"), f"{path}/rest")
-    mixed = stored(rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), f"{path}/keys")
+    rest = stored(dealt(members.join(comp, "cls").select("key", "cls", "size", "comp"), files), f"{path}/rest")
+    mixed = stored(dealt(rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), files), f"{path}/keys")
     if not mixed.isEmpty():
-        rest = stored(split_join(rest, mixed, ["key"], ["cls"]), f"{path}/mixed")
+        rest = stored(dealt(split_join(rest, mixed, ["key"], ["cls"]), files), f"{path}/mixed")
         x, y = (rest.where(F.col("size") <= FEW).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp")]) for s in "ab")
         new = x.join(y, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         large = rest.where(F.col("size") > FEW).select("cls", "comp").distinct()
-        large = stored(large.join(classes.select("cls", "cid", "k1", "k2"), "cls"), f"{path}/large")
+        large = stored(dealt(large.join(classes.select("cls", "cid", "k1", "k2"), "cls"), files), f"{path}/large")
         if not large.isEmpty():
-            new = new.union(_rare_pairs(docs, large, k, percent, f"{path}/rare", repeats))
-        new = stored(new.distinct(), f"{path}/new")
-        links = links.union(_verified(docs, _with_sketches(new, classes), k, percent, f"{path}/across", repeats))
-        labels = components(links, f"{path}/c2")
-    groups = stored(classes.join(labels, F.col("cid") == labels.node, "left").select("k1", "k2", F.coalesce("component", "cid").alias("component_id")), f"{path}/groups")
+            new = new.union(_rare_pairs(docs, large, k, percent, f"{path}/rare", repeats, files))
+        new = stored(dealt(new.distinct(), files), f"{path}/new")
+        links = links.union(_verified(docs, _with_sketches(new, classes), k, percent, f"{path}/across", repeats, files))
+        labels = components(links, f"{path}/c2", files=files)
+    groups = stored(dealt(classes.join(labels, F.col("cid") == labels.node, "left").select("k1", "k2", F.coalesce("component", "cid").alias("component_id")), files), f"{path}/groups")
     out = split_join(linking.select("id", "n", "k1", "k2"), groups, ["k1", "k2"], ["id"]).select("id", "n", "component_id")
     alone = rows.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("component_id"))
     out = out.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
@@ -269,7 +270,7 @@ def _firsts(percent: int, counts):
     return run
 
 
-def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: str, repeats: bool) -> DataFrame:
+def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: str, repeats: bool, files: int | None = None) -> DataFrame:
     """Pairs (a, b) of classes of different components in ``some`` (cls, comp, cid, k1, k2) that may reach the threshold: no such pair is missing.
 
     Shingles are put in one order for all: those that only one component has, then by how many sets have them, as counted by
@@ -282,12 +283,12 @@ def _rare_pairs(docs: DataFrame, some: DataFrame, k: int, percent: int, path: st
     """
     ids = some.select(F.col("cid").alias("id"))
     wanted = some.select("cls", "comp", F.col("cid").alias("id"), "k1", "k2")
-    sets = stored(_full_sets(docs, ids, some.count(), k, repeats).join(wanted, ["id", "k1", "k2"]).select("cls", "comp", "shingles"), f"{path}/sets")
+    sets = stored(dealt(_full_sets(docs, ids, some.count(), k, repeats).join(wanted, ["id", "k1", "k2"]).select("cls", "comp", "shingles"), files), f"{path}/sets")
     sizes = some.groupBy("comp").agg(F.count(F.lit(1)).alias("volume"))
     firsts = sets.mapInArrow(_firsts(percent, _place_counts(sets)), "s long, cls long, comp long, n long, left long")
-    firsts = stored(firsts.join(sizes, "comp"), f"{path}/firsts")
+    firsts = stored(dealt(firsts.join(sizes, "comp"), files), f"{path}/firsts")
     main = firsts.groupBy("s").agg(F.max(F.struct("volume", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    firsts = stored(split_join(firsts, main.select("s", F.col("main.comp").alias("main")), ["s"], ["cls"]), f"{path}/shared")
+    firsts = stored(dealt(split_join(firsts, main.select("s", F.col("main.comp").alias("main")), ["s"], ["cls"]), files), f"{path}/shared")
     length = lambda x: F.floor(F.log(x.cast("double")) * LENGTHS).cast("int")
     low = F.floor((F.col("n") * percent + 99) / 100)
     high = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("left") * (100 + percent) / percent) - F.col("n"))
@@ -309,16 +310,16 @@ def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return split_join(split_join(pairs, side("a"), ["ca"], ["cb"]), side("b"), ["cb"], ["ca"], counted=pairs).select(*_PAIR, "n_a", "n_b", "regs_a", "regs_b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str, repeats: bool) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, path: str, repeats: bool, files: int | None = None) -> DataFrame:
     """Links (u, v) between nodes among candidate pairs with sketches: estimate first, then count on full sets."""
-    likely = stored(pairs.mapInArrow(_likely(percent / 100), "a long, b long, a1 long, a2 long, b1 long, b2 long"), f"{path}/likely")
+    likely = stored(dealt(pairs.mapInArrow(_likely(percent / 100), "a long, b long, a1 long, a2 long, b1 long, b2 long"), files), f"{path}/likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
-    sets = stored(_full_sets(docs, ids, 2 * likely.count(), k, repeats), f"{path}/sets")
+    sets = stored(dealt(_full_sets(docs, ids, 2 * likely.count(), k, repeats), files), f"{path}/sets")
     side = lambda s: sets.select(F.col("id").alias(s), F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("shingles").alias(f"s{s}"))
     full = split_join(split_join(likely, side("a"), ["a", "a1", "a2"], ["b1"]), side("b"), ["b", "b1", "b2"], ["a1"], counted=likely)
     common = F.size(F.array_intersect("sa", "sb"))
     full = full.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
-    return stored(full.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("t") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), f"{path}/links")
+    return stored(dealt(full.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("t") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), files), f"{path}/links")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

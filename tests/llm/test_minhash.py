@@ -234,3 +234,32 @@ def test_components(spark, small):
     alone = {v for v in low if all(a == b for a, b in edges if v in (a, b))}
     assert got == {v: c for v, c in low.items() if v not in alone}
     assert components(df.where("false"), shared_dir(spark), small).count() == 0
+
+
+def test_tables_between_have_few_files(spark, monkeypatch, tmp_path):
+    """With many more shuffle partitions than documents to fill them, the tables in between are no heap of files of a few rows; the result is the same."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        if i % 4:
+            near = rows[-1][1].split()
+            near[rng.randrange(len(near))] = f"x{i}"
+        else:
+            near = [f"w{rng.randrange(500)}" for _ in range(40)]
+        rows.append((i, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    result = lambda: sorted(map(tuple, minhash.near_duplicates(docs, 2, 80).collect()))
+    expected, held = result(), {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr(minhash, "FEW", 2)
+    monkeypatch.setattr(minhash, "shared_dir", lambda spark: f"file://{tmp_path}")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert result() == expected
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = {}
+    for p in tmp_path.rglob("part-*.parquet"):
+        files[p.parent.name] = files.get(p.parent.name, 0) + 1
+    assert len(files) > 10 and len({g for _, _, g, _ in expected}) < 300
+    assert max(n for name, n in files.items() if name != "classes") <= 2 * spark.sparkContext.defaultParallelism
