@@ -110,6 +110,11 @@ class ProductQuantizer:
             out[:, k] = ((book * book).sum(1) - 2 * part @ book.T).argmin(1)
         return out
 
+    def errors(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of vectors from what their codes stand for."""
+        x = x @ self.turn if self.turn is not None else x
+        return np.linalg.norm(x - np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1), axis=1)
+
     def tables(self, query: np.ndarray, metric: str = "l2") -> np.ndarray:
         """(chunks, centres) parts of the score of a query."""
         q = query @ self.turn if self.turn is not None else query
@@ -143,3 +148,9 @@ def rabitq_products(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, query:
     grid = (codes + 0.5) / (1 << bits) * 2 - 1
     q = hadamard(query[None], seed)[0]
     return norm * (grid @ q) / np.maximum(own, 1e-12)
+
+
+def rabitq_errors(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, bits: int = 7) -> np.ndarray:
+    """Distances of vectors from what their codes stand for: an estimated product is off by no more than that times the query's norm."""
+    grid = (codes + 0.5) / (1 << bits) * 2 - 1
+    return norm * np.sqrt(np.maximum((grid * grid).sum(1) / np.maximum(own, 1e-12) ** 2 - 1, 0))

@@ -191,3 +191,18 @@ def test_coded_search(rows, metric):
             assert ann.recall([r["_id"] for r in pq.search(pq.encode(rows, "v"), "v", Q.tolist(), 10, 6).collect()], exact) >= 0.9
     with pytest.raises(NotSupported):
         coded.RaBitQ(Metric.MIPSL2)
+
+
+@pytest.mark.parametrize("metric", [Metric.L2, Metric.IP, Metric.COSINE])
+def test_coded_search_is_exact_with_poor_codes(spark, metric):
+    """Codes of few centres or bits put some of the best rows far back; all the same none is missing."""
+    x = np.random.default_rng(5).normal(size=(1200, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(f"p{i:05d}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "_id string, v array<float>").cache()
+    for q in (x[3], x[11] / 3):
+        query = q.astype(float).tolist()
+        exact = [r["_id"] for r in vector.dense_top_k(rows, "v", query, metric, 10).collect()]
+        if metric is not Metric.COSINE:
+            pq = coded.Pq.fit(rows, "v", metric, 4, 4)
+            assert [r["_id"] for r in pq.search(pq.encode(rows, "v"), "v", query, 10, 1.0).collect()] == exact
+        codes = coded.RaBitQ(metric, 1)
+        assert [r["_id"] for r in codes.search(codes.encode(rows, "v"), "v", query, 10, 1.0).collect()] == exact
