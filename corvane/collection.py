@@ -234,9 +234,12 @@ class Collection:
         p = f.index.all_params()
         return p, {k: p[k] for k in ("stemmer_lang", "token_chars") if k in p} | p.get("ngram", {})
 
-    def _postings_of(self, field_name: str, kind: str, have: list[dict]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.store.path}/{s['text'][field_name]['path']}/{kind}") for s in have]
-        return reduce(DataFrame.unionByName, parts)
+    def _lengths_of(self, field_name: str, have: list[dict]) -> DataFrame:
+        """(_id, _doc_id, _seq, n) of the documents of segments."""
+        return reduce(DataFrame.unionByName, [postings.lengths(self._terms_of(field_name, s)) for s in have])
+
+    def _terms_of(self, field_name: str, segment: dict) -> DataFrame:
+        return self.spark.read.schema(postings.STORED).parquet(f"{self.store.path}/{segment['text'][field_name]['path']}/terms")
 
     def _search_text(self, f: Field, tree, topk: int, filter: str | None) -> DataFrame:
         """BM25 from the stored postings of the query's own words; rows are looked up for the best documents alone."""
@@ -251,8 +254,8 @@ class Collection:
         if self._superseded() is None:
             documents, total = (sum(s["text"][f.name][k] for s in rows) for k in ("documents", "tokens"))
         else:
-            documents, total = self._live_rows(self._postings_of(f.name, "lengths", rows)).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        parts = [postings.of_terms(self.spark.read.parquet(f"{self.store.path}/{s['text'][f.name]['path']}/terms"), words, s["text"][f.name]["folders"]) for s in rows]
+            documents, total = self._live_rows(self._lengths_of(f.name, rows)).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        parts = [postings.of_terms(self._terms_of(f.name, s), words, s["text"][f.name]["folders"]) for s in rows]
         hits = self._live_rows(reduce(DataFrame.unionByName, parts))
         found = postings.search(hits, tree, documents, total / max(documents, 1), p["k1"], p["b"])
         if where is not None:
@@ -359,12 +362,13 @@ class Collection:
         p, options = self._analysis(f)
         path = f"side/{uuid.uuid4().hex}-{f.name}"
         rows = self.store.segment(name, T.StructType([T.StructField("_id", T.StringType()), T.StructField(f.name, T.StringType()), *_META]))
-        made = postings.lengths(rows, analyze(F.col(f"`{f.name}`"), p["tokenizer"], p["filters"], **options))
-        made.select("_id", "_doc_id", "_seq", "n").write.parquet(f"{self.store.path}/{path}/lengths")
-        documents, total = self.spark.read.parquet(f"{self.store.path}/{path}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        count = postings.folders(documents)
-        postings.build(made, count).write.partitionBy("_folder").parquet(f"{self.store.path}/{path}/terms")
-        return {"path": path, "documents": documents, "tokens": total, "folders": count}
+        count = rows.select("_id").count()
+        tokens = lambda c: analyze(c, p["tokenizer"], p["filters"], **options)
+        made = postings.build(rows, f.name, tokens, count, self.spark.sparkContext.defaultParallelism)
+        made.write.partitionBy("_folder").parquet(f"{self.store.path}/{path}/terms")
+        entry = {"path": path, "folders": postings.folders(count)}
+        documents, total = self._lengths_of(f.name, [{"text": {f.name: entry}}]).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return entry | {"documents": documents, "tokens": total}
 
     def _live(self, ids: list[str]) -> set[str]:
         return {r[0] for r in self.df().where(F.col("_id").isin(*ids)).select("_id").collect()} if ids else set()
@@ -471,15 +475,33 @@ class Collection:
         Internal ids follow the order of the rows. Rows are held to the rules that insert() has; one bad row fails all.
         """
         self._writable()
-        df = self._one_each(self._checked(df), F.min_by)
-        if self.manifest["segments"]:
-            df = df.join(self.df().select("_id"), "_id", "left_anti")
-        self._bulk(df, False)
+        self._bulk(self._turned(self._checked(df)), False, F.min, self.df().select("_id") if self.manifest["segments"] else None)
 
     def upsert_df(self, df: DataFrame) -> None:
         """Upsert a DataFrame with ``_id`` and the fields; of repeated keys the last row stays."""
         self._writable()
-        self._bulk(self._one_each(self._checked(df), F.max_by), True)
+        self._bulk(self._turned(self._checked(df)), True, F.max)
+
+    @staticmethod
+    def _turned(df: DataFrame) -> DataFrame:
+        return df.withColumn("_turn", F.monotonically_increasing_id())
+
+    def _one_of_each(self, name: str, pick, taken: DataFrame | None) -> str:
+        """The segment, or one in its place, with one row of each key, by ``pick`` (min or max) of their order, and none of the keys ``taken``.
+
+        Only keys move, or their digests; the rows move where some of them have to go.
+        """
+        rows = self.store.segment(name, self._stored())
+        keys = rows.select("_id", "_doc_id")
+        twice = not keys.groupBy(F.xxhash64("_id").alias("_digest")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+        met = taken is not None and not keys.join(taken, "_id", "left_semi").isEmpty()
+        if not twice and not met:
+            return name
+        stay = keys.groupBy("_id").agg(pick("_doc_id").alias("_doc_id")) if twice else keys
+        stay = stay.join(taken, "_id", "left_anti") if met else stay
+        again = self.store.write_segment(rows.join(stay.select("_doc_id"), "_doc_id", "left_semi").select(*rows.columns))
+        self.store.drop_segment(name)
+        return again
 
     def update_df(self, df: DataFrame) -> None:
         """Merge a DataFrame with ``_id`` and some fields into live rows, on the executors; of repeated keys the last row stays, unknown keys are left out."""
@@ -497,13 +519,16 @@ class Collection:
         rows = gone.select("_id", *[F.lit(None).cast(f.type.spark()).alias(f.name) for f in self.schema.fields], "_doc_id", F.lit(self.manifest["version"] + 1).alias("_seq"), F.lit(True).alias("_deleted"))
         self._commit(segments=[*self.manifest["segments"], self._segment(self.store.write_segment(rows), True, True)], dirty=True)
 
-    def _bulk(self, df: DataFrame, dirty: bool) -> None:
+    def _bulk(self, df: DataFrame, dirty: bool, pick=None, taken: DataFrame | None = None) -> None:
+        """Write rows with ``_turn`` as a segment; of repeated keys the one that ``pick`` takes, unless all are known to differ."""
         try:
             name = self.store.write_segment(self._numbered(df))
         except Exception as e:
             if _BAD_ROW in str(e):
                 raise InvalidArgument(str(e).split(_BAD_ROW + "]")[1].split("\n")[0].strip()) from None
             raise
+        if pick is not None:
+            name = self._one_of_each(name, pick, taken)
         top = self.store.segment(name, self._stored()).agg(F.max("_doc_id")).first()[0]
         self._commit(segments=[*self.manifest["segments"], self._segment(name, dirty)], next_doc_id=self.manifest["next_doc_id"] if top is None else top + 1, dirty=self.manifest["dirty"] or dirty)
 

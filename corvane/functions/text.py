@@ -17,16 +17,21 @@ from .stem import stem
 _HAN = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 _PART = r"\p{L}(?:[.:'’]\p{L})*|\p{Nd}(?:[.,;'’]\p{Nd})*"
 STANDARD = rf"_*(?:{_PART})(?:{_PART}|_)*"
+#: The same words by steps over whole runs of letters or digits that never step back. For Java alone.
+_RUN = r"\p{L}++(?:[.:'’]\p{L}++)*+|\p{Nd}++(?:[.,;'’]\p{Nd}++)*+"
+_RUNS = rf"_*+(?:{_RUN})(?:{_RUN}|_++)*+"
 MAX_TOKEN = 255
 #: Letters whose lower case depends on what stands beside them or is more than a letter.
 _UNEVEN = "[\u0130\u03a3]"
+#: What a text has to hold for the careful way of ``standard``: such letters, ideographs, or a run longer than a token.
+_RARE = rf"[\u0130\u03a3{_HAN}]|(?<!\S)\S{{{MAX_TOKEN + 1}}}"
 
 
 def _standard(text: Column) -> Column:
     spaced = F.when(text.rlike(f"[{_HAN}]"), F.regexp_replace(text, f"([{_HAN}])", " $1 ")).otherwise(text)
-    found = F.regexp_extract_all(spaced, F.lit(STANDARD), F.lit(0))
+    found = F.regexp_extract_all(spaced, F.lit(_RUNS), F.lit(0))
     cut = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{MAX_TOKEN}}}"), F.lit(0))
-    return F.when(text.rlike(rf"\S{{{MAX_TOKEN + 1}}}"), F.flatten(F.transform(found, cut))).otherwise(found)
+    return F.when(text.rlike(rf"(?<!\S)\S{{{MAX_TOKEN + 1}}}"), F.flatten(F.transform(found, cut))).otherwise(found)
 
 
 def _whitespace(text: Column) -> Column:
@@ -93,7 +98,10 @@ def analyze(text: Column, tokenizer: str = "standard", filters: tuple[str, ...]
         split = _standard if tokenizer == "standard" else _whitespace
         out = split(text)
         if native:  # the whole text at once is lowered in generated code; its words alone where that could differ
-            out = F.when(text.rlike(_UNEVEN), F.transform(out, F.lower)).otherwise(split(F.lower(text)))
+            if tokenizer == "standard":  # one look at most texts, instead of one for each thing that is rare
+                out = F.when(text.rlike(_RARE), F.transform(out, F.lower)).otherwise(F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(0)))
+            else:
+                out = F.when(text.rlike(_UNEVEN), F.transform(out, F.lower)).otherwise(split(F.lower(text)))
             native = []
     elif tokenizer == "ngram":
         out = _ngram(text, options.get("min_gram", 2), options.get("max_gram", 2), tuple(options.get("token_chars", ("letter", "digit"))))

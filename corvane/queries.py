@@ -311,7 +311,8 @@ _TEXTS = [Field("doc_id", D.INT64), Field("lang", D.STRING, True), Field("n_char
 def _documents(spark, d, path) -> Collection:
     """All documents with postings of their texts, and their vectors where they have one."""
     fields = [*_TEXTS, Field("v", D.VECTOR_FP32, True, 64, Index(metric=Metric.L2))]
-    rows = _table(spark, d, "documents").join(_embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id", "left")
+    vectors = _embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    rows = _table(spark, d, "documents").join(vectors.hint("shuffle_hash"), "doc_id", "left")  # texts are not sorted for it
     return _filled(spark, path, fields, _keyed(rows, "doc_id"))
 
 

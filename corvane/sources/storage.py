@@ -77,6 +77,10 @@ class Store:
     def segment(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def drop_segment(self, name: str) -> None:
+        """Delete a segment that no manifest names."""
+        self._fs.delete(self._p(name), True)
+
     def vacuum(self, keep: int = 1) -> int:
         """Drop manifests but the last ``keep``, and segments and index tables that none of these names; how many files went."""
         have = self.versions()

@@ -5,6 +5,9 @@ import math
 import pytest
 
 from corvane.errors import InvalidArgument, NotSupported
+from pyspark.sql import functions as F
+
+from corvane.functions import text
 from corvane.functions.stem import stem
 from corvane.functions.text import analyze, analyze_query, fold
 from corvane.operators import fulltext
@@ -137,3 +140,31 @@ def test_no_tokens_and_one_string(spark, docs):
 def test_one_look_at_the_tokens(spark, docs):
     plan = fulltext.search(docs, "text", fulltext.query_tree(spark, query_string='"the quick brown" fox'), 3, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 12  # twice (statistics and rows), each in a few branches of one expression
+
+
+def test_runs_give_the_words_of_the_rule(spark):
+    """The pattern that steps over runs cuts as the one that is written after Unicode's rules."""
+    import random
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abcß9٣_.:,;'’ -\n漢かé\U0001d400\u0301") for _ in range(draw.randrange(60))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    careful = F.transform(text._standard(F.col("t")), F.lower)
+    both = rows.select(F.regexp_extract_all("t", F.lit(text.STANDARD), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(text._RUNS), F.lit(0)).alias("b"), careful.alias("c"), text.analyze(F.col("t")).alias("d"))
+    assert both.where("a != b or c != d").count() == 0 and both.where("size(a) > 5").count() > 100
+
+
+def test_postings_are_grouped_where_the_texts_lie(spark):
+    """One exchange deals the texts; words do not move, and every document has one row of its length."""
+    from corvane.operators import postings
+
+    rows = spark.createDataFrame([(f"k{i}", i, 1, None if i == 5 else "b a b " * (i % 3) + f"w{i % 4}") for i in range(40)], "_id string, _doc_id long, _seq long, text string")
+    made = postings.build(rows, "text", text.analyze, 40, 3)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1 and "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["term"], r["_doc_id"]): (r["_id"], r["n"], r["tf"], r["at"]) for r in made.collect()}
+    want = {}
+    for i in range(40):
+        words = [] if i == 5 else ("b a b " * (i % 3) + f"w{i % 4}").split()
+        want |= {(None, i): (f"k{i}", len(words), len(words), [])} if i != 5 else {}
+        want |= {(w, i): (f"k{i}", len(words), words.count(w), [k for k, x in enumerate(words) if x == w]) for w in words}
+    assert got == want and made.count() == len(want)
