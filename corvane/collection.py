@@ -18,7 +18,7 @@ from .plans.filters import compile_filter
 from .functions import metrics
 from .sources.storage import Store
 from .functions.text import analyze
-from .types import MAX_BATCH, MAX_KEY, MAX_SPARSE, NUMERIC_RANGES, Field, Index, IndexType, Metric, Schema, check_index, check_key, check_value
+from .types import MAX_BATCH, MAX_KEY, MAX_SPARSE, NUMERIC_RANGES, DataType, Field, Index, IndexType, Metric, Schema, check_index, check_key, check_value
 
 
 @dataclass
@@ -83,9 +83,34 @@ class Collection:
     def _log(self, segments: list[dict] | None = None) -> DataFrame:
         """Rows of segments, by default of all that hold rows."""
         segments = [s for s in self.manifest["segments"] if not s.get("deletes")] if segments is None else segments
-        parts = [self.store.segment(s["name"], self._stored()) for s in segments]
+        parts = [self._changed_since(s) for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self._stored())
 
+    def _changed_since(self, segment: dict) -> DataFrame:
+        """Rows of a segment with the schema's columns: changes of columns that came after it are made as it is read."""
+        changes = self.manifest.get("changes", [])[segment.get("since", 0) :]
+        if not changes:
+            return self.store.segment(segment["name"], self._stored())
+        schemas = [*(Schema.from_json(c["before"]) for c in changes), self.schema]
+        df = self.store.segment(segment["name"], T.StructType([*schemas[0].spark().fields, *_META]))
+        for change, before, after in zip(changes, schemas, schemas[1:], strict=False):
+            df = self._with_change(df, change, before, [f.name for f in after.fields])
+        return df
+
+    @staticmethod
+    def _with_change(df: DataFrame, change: dict, before: Schema, names: list[str]) -> DataFrame:
+        """``df`` after one change: a column ``name`` that is new (``of`` an expression, or null), is ``old`` renamed or has another type."""
+        made = {}
+        if change["name"] is not None:
+            kind = DataType(change["type"])
+            if change["old"] is None:
+                value = wrap(compile_expression(change["of"], before), kind) if change["of"] else F.lit(None).cast(kind.spark())
+            else:
+                col = F.col(f"`{change['old']}`")
+                value = F.when(col.isNotNull(), wrap(col, kind)) if change["old"] == change["name"] else col
+            made[change["name"]] = value
+        return df.select("_id", *[made.get(n, F.col(f"`{n}`")).alias(n) for n in names], *[f.name for f in _META])
+
     def _superseded(self) -> DataFrame | None:
         """(_key, _last): the keys that upserts, updates and deletes have touched, and when last; no other column is read."""
         touched = [s for s in self.manifest["segments"] if s.get("dirty")]
@@ -352,7 +377,7 @@ class Collection:
 
     def _segment(self, name: str, dirty: bool = False, deletes: bool = False, schema: Schema | None = None) -> dict:
         """A manifest's entry of a written segment; the postings of its texts are written beside it."""
-        entry: dict = {"name": name, "dirty": dirty, "deletes": deletes}
+        entry: dict = {"name": name, "dirty": dirty, "deletes": deletes, "since": len(self.manifest.get("changes", []))}
         texts = [f for f in (schema or self.schema).fields if f.index is not None and f.index.kind is IndexType.FTS]
         if not deletes and texts:
             entry["text"] = {f.name: self._write_postings(f, name) for f in texts}
@@ -540,13 +565,13 @@ class Collection:
         segments = self.manifest["segments"]
         if not segments:
             return
-        if len(segments) > 1 or self.manifest["dirty"] or partitions is not None:
+        if len(segments) > 1 or self.manifest["dirty"] or self.manifest.get("changes") or partitions is not None:
             df = self.df().select("_id", *[F.col(f"`{f.name}`") for f in self.schema.fields], "_doc_id", F.lit(0).cast("long").alias("_seq"), F.lit(False).alias("_deleted"))
-            segments = [self._segment(self.store.write_segment(df if partitions is None else df.repartition(partitions, "_id")))]
+            segments = [self._segment(self.store.write_segment(df if partitions is None else df.repartition(partitions, "_id"))) | {"since": 0}]
         elif any(f.name not in segments[0].get("text", {}) for f in self._texts()):
             segments = [self._segment(segments[0]["name"])]
         side = {f.name: self._build_cells(f, segments[0]["name"]) for f in self.schema.fields if f.type.is_dense and f.index.kind is not IndexType.FLAT}
-        self._commit(segments=segments, dirty=False, side={k: v for k, v in side.items() if v})
+        self._commit(segments=segments, dirty=False, side={k: v for k, v in side.items() if v}, changes=[])
 
     def _texts(self) -> list[Field]:
         return [f for f in self.schema.fields if f.index is not None and f.index.kind is IndexType.FTS]
@@ -582,10 +607,16 @@ class Collection:
         f.index = Index(metric=f.index.metric) if f.type.is_vector else None
         self._commit(schema=self.schema.to_json(), side={k: v for k, v in self.manifest["side"].items() if k != name})
 
-    def _rewrite(self, schema: Schema, columns: dict[str, Column]) -> None:
-        df = self.df().select("_id", *[columns.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields], "_doc_id", F.lit(0).cast("long").alias("_seq"), F.lit(False).alias("_deleted"))
-        names = [self._segment(self.store.write_segment(df), schema=schema)] if self.manifest["segments"] else []
-        self._commit(schema=schema.to_json(), segments=names, dirty=False, side={})
+    def _change(self, schema: Schema, name: str | None = None, old: str | None = None, of: str = "") -> None:
+        """Publish a schema with one change of a column. No row is written: segments are read with the changes that came after them, until optimize() writes them so.
+
+        What a row's value would fail at fails here, as the values are computed once.
+        """
+        change = {"before": self.schema.to_json(), "name": name, "old": old, "of": of, "type": None if name is None else schema[name].type.value}
+        if self.manifest["segments"] and (of or name is not None and old == name):
+            self._with_change(self.df().withColumns({"_seq": F.lit(0), "_deleted": F.lit(False)}), change, self.schema, [f.name for f in schema.fields]).agg(F.max(f"`{name}`")).first()
+        changes = [*self.manifest.get("changes", []), change] if self.manifest["segments"] else []
+        self._commit(schema=schema.to_json(), changes=changes, side={k: v for k, v in self.manifest["side"].items() if k in schema})
 
     def add_column(self, new: Field, expression: str = "") -> None:
         """Add a numeric column, computed from others, or all null if it may be."""
@@ -598,16 +629,15 @@ class Collection:
         if not expression.strip():
             if not new.nullable:
                 raise InvalidArgument(f"{new.name} needs an expression or must be nullable")
-            value = F.lit(None).cast(new.type.spark())
         else:
-            value = wrap(compile_expression(expression, self.schema), new.type)
-        self._rewrite(Schema(self.schema.name, [*self.schema.fields, new], self.schema.max_docs_per_segment).check(), {new.name: value})
+            compile_expression(expression, self.schema)  # one that cannot be read fails
+        self._change(Schema(self.schema.name, [*self.schema.fields, new], self.schema.max_docs_per_segment).check(), new.name, of=expression.strip())
 
     def drop_column(self, name: str) -> None:
         self._writable()
         if not self.schema[name].type.is_numeric or len(self.schema.fields) == 1:
             raise InvalidArgument("only numeric columns that are not the last are dropped")
-        self._rewrite(Schema(self.schema.name, [f for f in self.schema.fields if f.name != name], self.schema.max_docs_per_segment), {})
+        self._change(Schema(self.schema.name, [f for f in self.schema.fields if f.name != name], self.schema.max_docs_per_segment))
 
     def alter_column(self, name: str, rename: str | None = None, new: Field | None = None) -> None:
         """Rename a numeric column, or give it another numeric type; not both."""
@@ -623,9 +653,7 @@ class Collection:
             raise AlreadyExists(rename)
         target = Field(rename or name, new.type if new else f.type, new.nullable if new else f.nullable, 0, f.index)
         target.check()
-        col = F.col(f"`{name}`")
-        value = F.when(col.isNotNull(), wrap(col, target.type)) if new else col
-        self._rewrite(Schema(self.schema.name, [target if x.name == name else x for x in self.schema.fields], self.schema.max_docs_per_segment), {target.name: value})
+        self._change(Schema(self.schema.name, [target if x.name == name else x for x in self.schema.fields], self.schema.max_docs_per_segment), target.name, name)
 
     def view(self, name: str) -> None:
         """Register the live rows as a view, for ``spark.sql``."""

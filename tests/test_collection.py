@@ -233,3 +233,25 @@ def test_extensions(spark):
     rows = df.select(F.col("i").cast("string").alias("_id"), bm.encode_documents(F.col("t")).alias("s"))
     got = vector.sparse_top_k(rows.where("s is not null"), "s", bm.encode_query(spark, "aa"), 1).collect()
     assert [r["_id"] for r in got] == ["1"] and got[0]["_score"] > 0
+
+
+def test_changes_of_columns_write_no_rows(spark, tmp_path):
+    """Columns are changed as segments are read, each from when it was written; optimize() writes the rows so."""
+    c = Collection.create(spark, f"file://{tmp_path}/changes", Schema("t", [Field("a", D.INT32, True), Field("b", D.DOUBLE, True)]))
+    c.insert([Doc("x", {"a": 3, "b": 1.5}), Doc("y", {"a": None, "b": 2.5})])
+    segments = [s["name"] for s in c.manifest["segments"]]
+    c.add_column(Field("twice", D.INT32, True), "a * 2")
+    c.alter_column("a", rename="was")
+    c.insert([Doc("z", {"was": 10, "b": 7.9, "twice": 1})])
+    c.update([Doc("x", {"was": 100})])  # what was computed stays
+    c.alter_column("b", new=Field("b", D.INT64, True))
+    c.add_column(Field("a", D.DOUBLE, True), "was + b")
+    c.drop_column("was")
+    want = {"x": (1, 6, 101.0), "y": (2, None, None), "z": (7, 1, 17.0)}
+    assert [s["name"] for s in c.manifest["segments"]][:1] == segments and c.schema.scalars() == ["b", "twice", "a"]
+    for _ in range(2):
+        c = Collection.open(spark, c.store.path)
+        assert {r["_id"]: (r["b"], r["twice"], r["a"]) for r in c.scan().collect()} == want
+        assert [r["_id"] for r in c.filtered("twice = 6").collect()] == ["x"]
+        c.optimize()
+    assert len(c.manifest["segments"]) == 1 and not c.manifest["changes"]
